@@ -78,9 +78,10 @@ def block_id(block: pa.Table) -> int:
     return int(np.uint64(digest.intdigest()).astype(np.int64))
 
 
-def bucket_bounds(ordered: np.ndarray, buckets: int) -> np.ndarray:
-    """Borders of the buckets in a sorted array of hashes: bucket b has the b-th part of the hash space."""
-    edges = np.array([((b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+def bucket_bounds(ordered: np.ndarray, buckets: int, low_bits: int = 0) -> np.ndarray:
+    """Borders of the buckets in a sorted array of hashes: bucket b has the b-th part of the hash space. Hashes that differ
+    in their low_bits only are never parted."""
+    edges = np.array([(b << 64) // buckets >> low_bits << low_bits for b in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(ordered, edges), [len(ordered)]])
 
 
