@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm import quality
 from quillon.llm.decontam import contaminated, decontaminate
+from quillon.llm.lines import dedup_lines
 from quillon.llm.lm import base_score, score_texts
+from quillon.llm.neardup import near_duplicates
 from quillon.llm.substrings import dedup_substrings
 from quillon.shared import table
 
@@ -18,6 +20,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("n_train").alias("train_tokens"), base_score().alias("base_score"), "score")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("too_few_words", "repeated_windows")
     out = quality.judge(quality.ledger(table(spark, sf_dir, "documents")))
@@ -28,7 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 w AS (
   SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS five FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM w) WHERE n > 1),
@@ -51,6 +57,32 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_chars_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH raw AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+line AS (
+  SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, len(regexp_extract_all(line, '[^ 	-]+')) AS words,
+    regexp_replace(regexp_replace(line, '^[ 	-]+', ''), '[ 	-]+$', '') AS id
+  FROM raw WHERE regexp_matches(line, '[^ 	-]')),
+run AS (
+  SELECT a.doc_id, a.i, n.n, string_agg(b.id, chr(10) ORDER BY b.i) AS ids, sum(b.words) AS words
+  FROM line a, (SELECT unnest(range(1, 9)) AS n) n, line b WHERE b.doc_id = a.doc_id AND b.i >= a.i AND b.i < a.i + n.n GROUP BY ALL HAVING count(*) = n.n),
+first AS (SELECT doc_id, i, n, words, min((doc_id, i)) OVER (PARTITION BY n, ids) AS place FROM run),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM first WHERE words >= 8 AND place < (doc_id, i)),
+kept AS (
+  SELECT raw.doc_id, string_agg(CASE WHEN gone.i IS NULL THEN raw.line END, chr(10) ORDER BY raw.k) AS text
+  FROM raw LEFT JOIN line ON line.doc_id = raw.doc_id AND line.k = raw.k LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.i = line.i GROUP BY raw.doc_id),
+n AS (SELECT line.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.i = line.i GROUP BY line.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  (length(coalesce(d.text, '')) - length(coalesce(kept.text, '')))::BIGINT AS n_chars_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.concat_ws(",", "items"), 256)
@@ -77,6 +109,13 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op3_quality_rules": op3_quality_rules, "op9_decontaminate": op9_decontaminate, "op5_substring_dedup": op5_substring_dedup}
+QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
+}
 
-ORACLES = {"op3_quality_rules": OP3_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {"op7_line_dedup": OP7_SQL, "op3_quality_rules": OP3_SQL, "op9_decontaminate": OP9_SQL}
