@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import quality
+from quillon.llm import mixing, quality
 from quillon.llm.decontam import contaminated, decontaminate
 from quillon.llm.lines import dedup_lines
 from quillon.llm.lm import base_score, score_texts
 from quillon.llm.neardup import near_duplicates
 from quillon.llm.substrings import dedup_substrings
+from quillon.llm.toxicity import score_toxicity
 from quillon.shared import table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     out = score_texts(table(spark, sf_dir, "documents"), ~held_out)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("n_train").alias("train_tokens"), base_score().alias("base_score"), "score")
 
@@ -57,6 +58,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", "n_chars_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -65,9 +72,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH raw AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 line AS (
-  SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, len(regexp_extract_all(line, '[^ 	-]+')) AS words,
-    regexp_replace(regexp_replace(line, '^[ 	-]+', ''), '[ 	-]+$', '') AS id
-  FROM raw WHERE regexp_matches(line, '[^ 	-]')),
+  SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, len(regexp_extract_all(line, '[^ 	-
+]+')) AS words,
+    regexp_replace(regexp_replace(line, '^[ 	-
+]+', ''), '[ 	-
+]+$', '') AS id
+  FROM raw WHERE regexp_matches(line, '[^ 	-
+]')),
 run AS (
   SELECT a.doc_id, a.i, n.n, string_agg(b.id, chr(10) ORDER BY b.i) AS ids, sum(b.words) AS words
   FROM line a, (SELECT unnest(range(1, 9)) AS n) n, line b WHERE b.doc_id = a.doc_id AND b.i >= a.i AND b.i < a.i + n.n GROUP BY ALL HAVING count(*) = n.n),
@@ -83,6 +94,12 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_i
 """
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    names = [F.col(f"mix_{d}").alias(d) for d in mixing.DIMENSIONS]
+    return mixed.select("doc_id", *names, F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("prob"), F.col("mix_kept").alias("kept"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.concat_ws(",", "items"), 256)
@@ -114,8 +131,10 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_source_mix": op8_source_mix,
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLES = {"op7_line_dedup": OP7_SQL, "op3_quality_rules": OP3_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {"op7_line_dedup": OP7_SQL, "op8_source_mix": mixing.oracle(), "op3_quality_rules": OP3_SQL, "op9_decontaminate": OP9_SQL}
