@@ -128,12 +128,20 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFram
     return docs.mapInArrow(task, SCHEMA)
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+
+
+def _shards(items: DataFrame, width: int, max_pattern_bytes: int) -> int:
+    total = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * width
+    return max(1, -(-total // max_pattern_bytes))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """Per row: n_words, n_hit, the items that occur (sorted strings), hit runs of words, and their spans in the original text."""
     docs = docs.select("doc_id", "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
-    total = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * width
-    shards = max(1, -(-total // max_pattern_bytes))
+    items = _items(benchmark)
+    shards = _shards(items, width, max_pattern_bytes)
     if shards == 1:
         return _scan(docs, [tuple(r) for r in items.collect()], width)
     parts = None
@@ -163,6 +171,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ma
     return keyed.select("doc_id", "text", "items", "hits").mapInArrow(merge, SCHEMA)
 
 
+def apply(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """docs, all columns, without contaminated rows."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    items = _items(benchmark)
+    if _shards(items, width, MAX_PATTERN_BYTES) > 1:
+        bad = decontaminate(keyed, benchmark, width).where(contaminated()).select(F.col("doc_id").alias("decontam_row")).distinct()
+        return docs.withColumn("decontam_row", F.xxhash64("doc_id", "text")).join(bad, "decontam_row", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+    def task(batches):
+        scanner = _scanner(shared.value, width)
+        for batch in batches:
+            keep = []
+            for text in batch.column("text"):
+                n, hits, _ = scanner.scan(text.as_py())
+                n_hit = sum(b - a for a, b in hits)
+                keep.append(not (n_hit and 20 * n_hit >= n))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def contaminated():
     """The contract's rule: at least one hit word, and hits on a twentieth of the words or more."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

@@ -15,7 +15,7 @@ line that a third of all documents hold costs one entry a block; buckets answer
 and whether an earlier place exists. A rank is its bucket in the high bits and an offset below, so no global sums are needed.
 
 Defined cases: null and blank texts have no lines; rows that share an id share its line numbers, so the lesser number is the
-earlier; a null id comes after all others; equal places keep their lines; other columns stay as they are in `apply`.
+earlier; a null id comes after all others; equal places keep their lines; `apply` carries other columns as they are.
 """
 
 from __future__ import annotations
@@ -193,7 +193,8 @@ def _update(step: int | None, depths: tuple[int, ...], buckets: int, min_words:
     return group
 
 
-def _finish(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+def _kept(block: pa.Table, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Lines, removed lines and the text that stays, of each row."""
     state = pickle.loads(B.unsqueeze(B.reply(replies, 0)))
     lines = _lines(block)
     cover = np.zeros(state["total"] + 1, np.int64)
@@ -203,25 +204,40 @@ def _finish(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
     gone = np.cumsum(cover[:-1]) > 0
     borders = np.concatenate([[0], np.cumsum(lines["count"])])
     n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[borders])
-    texts = block.column("text").to_pylist()
+    texts = [x or "" for x in block.column("text").to_pylist()]
     for i in np.flatnonzero(n_removed):
         raw = texts[i].split("\n")
         filled = [k for k, x in enumerate(raw) if not _blank(x)]
         out = {filled[k] for k in np.flatnonzero(gone[borders[i] : borders[i + 1]])}
         texts[i] = "\n".join(x for k, x in enumerate(raw) if k not in out)
-    texts = [x or "" for x in texts]
+    return lines["count"].astype(np.int64), n_removed.astype(np.int64), texts
+
+
+def _finish(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+    n_lines, n_removed, texts = _kept(block, replies)
     removed = [len(a or "") - len(b) for a, b in zip(block.column("text").to_pylist(), texts)]
     return pa.table(
         {
             "doc_id": block.column("doc_id").cast(pa.int64()),
-            "n_lines": lines["count"].astype(np.int64),
-            "n_removed": n_removed.astype(np.int64),
+            "n_lines": n_lines,
+            "n_removed": n_removed,
             "n_chars_removed": pa.array(removed, pa.int64()),
             "kept_text": pa.array(texts, pa.string()),
         }
     )
 
 
+def _finish_rows(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+    n_lines, n_removed, texts = _kept(block, replies)
+    new = {"text": pa.array([x if n else old for x, n, old in zip(texts, n_removed, block.column("text").to_pylist())], block.schema.field("text").type)}
+    if "n_chars" in block.column_names:
+        old = block.column("n_chars").to_pylist()
+        new["n_chars"] = pa.array([len(x) if n else was for x, n, was in zip(texts, n_removed, old)], block.schema.field("n_chars").type)
+    for name, column in new.items():
+        block = block.set_column(block.column_names.index(name), name, column)
+    return block.filter(pa.array((n_lines == 0) | (n_removed < n_lines)))
+
+
 def _blank(line: str) -> bool:
     return not line.encode().split()
 
@@ -236,9 +252,7 @@ def rounds(min_words: int) -> list[tuple[int | None, tuple[int, ...]]]:
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int | None = None) -> DataFrame:
-    """Per row: n_lines, n_removed, n_chars_removed, and the text without later copies of runs of lines."""
-    docs = docs.select("doc_id", "text")
+def _run(docs: DataFrame, finish, schema, min_words: int, block_bytes: int | None) -> DataFrame:
     sizes = B.plan(docs, block_bytes)
     lots = max(8, sizes.buckets // 4)
 
@@ -250,4 +264,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int |
     for step, depths in rounds(min_words):
         answers = B.answer(state.mapInArrow(_send(step, depths, lots), B.ROW), _reduce(step, len(depths)))
         state = cut(state.unionByName(answers).groupBy("block").applyInArrow(_update(step, depths, lots, min_words), B.ROW))
-    return B.meet(docs, state.withColumn("bucket", F.lit(0)), sizes, _finish, SCHEMA)
+    return B.meet(docs, state.withColumn("bucket", F.lit(0)), sizes, finish, schema)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int | None = None) -> DataFrame:
+    """Per row: n_lines, n_removed, n_chars_removed, and the text without later copies of runs of lines (null: empty)."""
+    return _run(docs.select("doc_id", "text"), _finish, SCHEMA, min_words, block_bytes)
+
+
+def apply(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int | None = None) -> DataFrame:
+    """docs, all columns, with the text (and n_chars, if there) that stays; rows whose every line is a later copy go."""
+    return _run(docs, _finish_rows, docs.schema, min_words, block_bytes)

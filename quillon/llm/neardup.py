@@ -187,11 +187,13 @@ def _solve_task(batches):
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[component])], ["node", "label"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: n_shingles, component_id (the least doc_id that links reach), kept (doc_id is component_id)."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each row's set (doc_id, row, n_shingles, node, check), and each set's label, least id and least row."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     rows = cut(docs.mapInArrow(_sketch_task, SKETCH_SCHEMA))
-    nodes = cut(rows.where("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("sketch").alias("sketch")))
+    place = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    nodes = rows.where("n_shingles > 0").groupBy("node", "check", "n_shingles").agg(place.alias("least"), F.min("row").alias("row"), F.first("sketch").alias("sketch"))
+    nodes = cut(nodes)
     bands = nodes.select("node", "sketch").mapInArrow(_band_task, "key long, node long")
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("node") % (1 << 40)).alias("s"), F.bit_xor("node").alias("x")).where("n > 1")
     buckets = buckets.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
@@ -201,9 +203,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.join(nodes.select("row", "node").join(roots, "node"), "row").select("root", "node", "text")
     sets = texts.mapInArrow(_set_task, "root long, node long, members binary")
     labels = sets.repartition("root").sortWithinPartitions("root").mapInArrow(_solve_task, "node long, label long")
-    labelled = cut(nodes.select("node", "check", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component"))
+    return rows.drop("sketch"), cut(nodes.select("node", "check", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row: n_shingles, component_id (the least doc_id that links reach), kept (doc_id is component_id)."""
+    rows, labelled = _classes(docs)
+    least = labelled.groupBy("label").agg(F.min("least.doc_id").alias("component"))
     answers = labelled.join(least, "label").select("node", "check", "component")
-    out = rows.drop("sketch", "row").join(answers, ["node", "check"], "left")
+    out = rows.drop("row").join(answers, ["node", "check"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def apply(docs: DataFrame) -> DataFrame:
+    """docs, all columns: of each component the row of the least id stays (rows without an id come last, and equal rows
+    are one), and rows without words."""
+    rows, labelled = _classes(docs)
+    kept = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row").alias("near_row"))
+    kept = kept.unionByName(rows.where("n_shingles = 0").select(F.col("row").alias("near_row"))).distinct()
+    return docs.withColumn("near_row", F.xxhash64("doc_id", "text")).join(kept, "near_row", "left_semi").select(*docs.columns)

@@ -10,10 +10,13 @@ gives one row, with repeated or null ids as they are; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.blocks import cut_blocks
 from quillon.llm.words import BLANK, U, Words, mix, rolling, runs
@@ -104,6 +107,22 @@ def judge(entries: DataFrame, policy: str = "v1") -> DataFrame:
     return entries.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
 
 
+def apply(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The rows of docs that the policy keeps, with all their columns."""
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"quality_{f.name}", f.dataType) for f in T._parse_datatype_string(SCHEMA).fields[1:]]])
+
+    def task(batches):
+        for block in cut_blocks(batches, "text", BLOCK):
+            measured = _measure(block)
+            for name in measured.column_names[1:]:
+                block = block.append_column(f"quality_{name}", measured.column(name))
+            yield from block.to_batches()
+
+    rules = [(name, re.sub(r"\b(n_\w+|word_chars)\b", r"quality_\1", test)) for name, test in RULES]
+    kept = docs.mapInArrow(task, schema).where(failed_mask(rules).bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
+    return kept.select(*docs.columns)
+
+
 def ablate(entries: DataFrame, policy: str = "v1") -> DataFrame:
     """Per rule of the policy: rows that fail it, and rows that only it rejects (kept if it were dropped). One pass that
     groups by the mask: at most 2**rules groups leave it."""

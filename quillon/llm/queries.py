@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing, quality
@@ -10,6 +10,10 @@ from quillon.llm.decontam import contaminated, decontaminate
 from quillon.llm.lines import dedup_lines
 from quillon.llm.lm import base_score, score_texts
 from quillon.llm.neardup import near_duplicates
+from quillon.llm.pii import BASE as PII_BASE
+from quillon.llm.pii import find_personal_data
+from quillon.llm.secret_scan import KINDS as SECRET_KINDS
+from quillon.llm.secret_scan import find_secrets
 from quillon.llm.substrings import dedup_substrings
 from quillon.llm.toxicity import score_toxicity
 from quillon.shared import table
@@ -53,6 +57,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def _numbers(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    return [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *_numbers(base, PII_BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -126,15 +144,23 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "other")
+    return found.select("doc_id", *_numbers(base, SECRET_KINDS[:3]), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {"op7_line_dedup": OP7_SQL, "op8_source_mix": mixing.oracle(), "op3_quality_rules": OP3_SQL, "op9_decontaminate": OP9_SQL}

@@ -73,6 +73,10 @@ class Words:
         self.before = np.searchsorted(self.start, offsets)  # words before each text, and in all
         self.count = np.diff(self.before)
 
+    @staticmethod
+    def lowered(data: np.ndarray) -> bytes:
+        return data.tobytes().lower()
+
     @property
     def text(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
