@@ -5,8 +5,8 @@ raked in turn to the target marginals of each dimension, so each pass multiplies
 present mass. A cell's weight is its raked over its original mass, and its documents are kept with probability weight / largest
 weight: the largest sample whose expected token marginals are the raked ones. The draw is a hash of the document id.
 
-A raking pass is a window over the cells, so the plan grows by one small exchange a pass and nothing is collected; cells are
-pre-aggregated, hence a source with a third of all rows is a few rows here. The cells are joined back by broadcast only
+A raking pass is a window over the cells, so the plan grows by one small exchange a pass, and the driver sees single totals
+only; cells are pre-aggregated, hence a source with a third of all rows is a few rows here. The cells are joined back by broadcast only
 if they are at most `BROADCAST_CELLS`, which is counted first; beyond that by a shuffled join that Spark splits where skewed.
 
 Defined cases: a null source, language or topic is a category of its own, "(none)"; a null or blank text has no tokens, and a cell
@@ -59,17 +59,15 @@ def rake(docs: DataFrame, powers: dict[str, float] | None = None, passes: int =
     powers = POWERS | (powers or {})
     keys = [f"mix_{d}" for d in DIMENSIONS]
     cells = docs.groupBy(*keys).agg(F.sum("mix_tokens").cast("double").alias("tokens"), F.count("*").alias("documents"))
-    whole = Window.partitionBy()
-    # Sums of all cells are built from sums by source, so no step needs every row in one place but for a few totals.
+    cells = cut(cells)
+    total = cells.agg(F.sum("tokens")).first()[0] or 1.0
+    cells = cells.withColumn("share", F.col("tokens") / F.lit(total or 1.0))
     by = {d: Window.partitionBy(f"mix_{d}") for d in DIMENSIONS}
-    cells = cells.withColumn("share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(whole)), F.lit(0.0)))
     for d in DIMENSIONS:
-        cells = cells.withColumn(f"share_{d}", F.sum("share").over(by[d]))
-    for d in DIMENSIONS:
-        # each cell adds its part of its category's tempered share, so that the sum over cells is the sum over categories
-        part = F.coalesce(F.try_divide(F.pow(f"share_{d}", F.lit(powers[d])) * F.col("share"), F.col(f"share_{d}")), F.lit(0.0))
-        cells = cells.withColumn(f"norm_{d}", F.sum(part).over(whole))
-        cells = cells.withColumn(f"target_{d}", F.when(F.col(f"share_{d}") > 0, F.pow(f"share_{d}", F.lit(powers[d])) / F.col(f"norm_{d}")).otherwise(0.0))
+        power = F.lit(powers[d])
+        tempered = cells.groupBy(f"mix_{d}").agg(F.sum("share").alias("s")).where("s > 0").agg(F.sum(F.pow("s", power))).first()[0] or 1.0
+        share = F.sum("share").over(by[d])
+        cells = cells.withColumn(f"target_{d}", F.when(share > 0, F.pow(share, power) / F.lit(tempered)).otherwise(0.0))
     cells = cells.withColumn("mass", F.col("share"))
     for _ in range(passes):
         for d in DIMENSIONS:

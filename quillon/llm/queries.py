@@ -62,7 +62,8 @@ def _listed(spans: Column) -> Column:
 
 
 def _numbers(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
-    return [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    number = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    return [number(k).alias(f"n_{k}") for k in kinds]
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
