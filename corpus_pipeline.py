@@ -9,8 +9,9 @@ document's tokens, weight and probability.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import decontam, lines, mixing, neardup, quality
+from quillon.llm import decontam, lines, mixing, neardup, oracles, quality
 from quillon.shared import cut, table
 
 
@@ -31,7 +32,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where("mix_kept").select(*docs.columns, "mix_tokens", "mix_weight", "mix_prob")
+    mixed = mixing.mix(docs).where("mix_kept")
+    return mixed.select(*docs.columns, "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_prob", 6).alias("mix_prob"))
 
 
 STAGES = [
@@ -42,8 +44,7 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: Near-duplicate classes are connected components of a similarity join; the whole is held against brute force in tests.
-ORACLE_SQL = None
+ORACLE_SQL = oracles.pipeline()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

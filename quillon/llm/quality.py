@@ -109,16 +109,16 @@ def judge(entries: DataFrame, policy: str = "v1") -> DataFrame:
 
 def apply(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of docs that the policy keeps, with all their columns."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"quality_{f.name}", f.dataType) for f in T._parse_datatype_string(SCHEMA).fields[1:]]])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__quality_{f.name}", f.dataType) for f in T._parse_datatype_string(SCHEMA).fields[1:]]])
 
     def task(batches):
         for block in cut_blocks(batches, "text", BLOCK):
             measured = _measure(block)
             for name in measured.column_names[1:]:
-                block = block.append_column(f"quality_{name}", measured.column(name))
+                block = block.append_column(f"__quality_{name}", measured.column(name))
             yield from block.to_batches()
 
-    rules = [(name, re.sub(r"\b(n_\w+|word_chars)\b", r"quality_\1", test)) for name, test in RULES]
+    rules = [(name, re.sub(r"\b(n_\w+|word_chars)\b", r"__quality_\1", test)) for name, test in RULES]
     kept = docs.mapInArrow(task, schema).where(failed_mask(rules).bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
     return kept.select(*docs.columns)
 

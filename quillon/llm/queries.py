@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, quality
+from quillon.llm import mixing, oracles, quality
 from quillon.llm.decontam import contaminated, decontaminate
 from quillon.llm.lines import dedup_lines
 from quillon.llm.lm import base_score, score_texts
@@ -36,27 +36,6 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "n_lines", "failed")
 
 
-OP3_SQL = r"""
-WITH d AS (
-  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
-w AS (
-  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS five FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM w) WHERE n > 1),
-rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY doc_id),
-m AS (
-  SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
-    (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
-  FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
-f AS (
-  SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (2 * n_symbols > n_words)::BIGINT
-    + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 25 * n_words)::BIGINT
-    + 32 * (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT)::BIGINT AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM f
-"""
-
-
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
@@ -88,31 +67,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", "n_chars_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-OP7_SQL = r"""
-WITH raw AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-line AS (
-  SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, len(regexp_extract_all(line, '[^ 	-
-]+')) AS words,
-    regexp_replace(regexp_replace(line, '^[ 	-
-]+', ''), '[ 	-
-]+$', '') AS id
-  FROM raw WHERE regexp_matches(line, '[^ 	-
-]')),
-run AS (
-  SELECT a.doc_id, a.i, n.n, string_agg(b.id, chr(10) ORDER BY b.i) AS ids, sum(b.words) AS words
-  FROM line a, (SELECT unnest(range(1, 9)) AS n) n, line b WHERE b.doc_id = a.doc_id AND b.i >= a.i AND b.i < a.i + n.n GROUP BY ALL HAVING count(*) = n.n),
-first AS (SELECT doc_id, i, n, words, min((doc_id, i)) OVER (PARTITION BY n, ids) AS place FROM run),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM first WHERE words >= 8 AND place < (doc_id, i)),
-kept AS (
-  SELECT raw.doc_id, string_agg(CASE WHEN gone.i IS NULL THEN raw.line END, chr(10) ORDER BY raw.k) AS text
-  FROM raw LEFT JOIN line ON line.doc_id = raw.doc_id AND line.k = raw.k LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.i = line.i GROUP BY raw.doc_id),
-n AS (SELECT line.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.i = line.i GROUP BY line.doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
-  (length(coalesce(d.text, '')) - length(coalesce(kept.text, '')))::BIGINT AS n_chars_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
-"""
-
-
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     names = [F.col(f"mix_{d}").alias(d) for d in mixing.DIMENSIONS]
@@ -125,26 +79,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-OP9_SQL = r"""
-WITH b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-bw AS (
-  SELECT DISTINCT item, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram FROM (
-    SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
-dw AS (
-  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (
-    SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
-hits AS (SELECT dw.doc_id, dw.i, dw.k, bw.item FROM dw JOIN bw ON dw.gram = bw.gram AND dw.k = bw.k),
-n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
-"""
-
-
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "other")
@@ -164,4 +98,4 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES = {"op7_line_dedup": OP7_SQL, "op8_source_mix": mixing.oracle(), "op3_quality_rules": OP3_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {name: oracles.SQL[name] for name in QUERIES if name in oracles.SQL}
