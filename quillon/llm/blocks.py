@@ -14,6 +14,7 @@ read, as tables in files do: a block whose answers are missing raises an error a
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,19 @@ def plan(docs: DataFrame, block_bytes: int | None = None) -> Plan:
     return Plan(total or 0, block_bytes)
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: its allocator is left alone
+    _libc = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system after a block, so a worker holds its present block only."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def cut_blocks(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) -> Iterator[pa.Table]:
     """Tables of whole rows, each of about block_bytes of text (one row may be longer)."""
     waiting, held = [], 0
@@ -62,8 +76,10 @@ def cut_blocks(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int)
             if at < batch.num_rows or held >= block_bytes:
                 yield pa.Table.from_batches(waiting).combine_chunks()
                 waiting, held = [], 0
+                release()
     if waiting:
         yield pa.Table.from_batches(waiting).combine_chunks()
+    release()
 
 
 def block_id(block: pa.Table) -> int:
@@ -165,6 +181,7 @@ def answer(sent: DataFrame, reduce: Callable[[int, list[bytes]], tuple[list[byte
         for name in names:
             values = list(figures.get(name, []))
             columns[name] = pa.array([None] * (len(blocks) - len(values)) + values, pa.int64())
+        release()
         return pa.table(columns)
 
     return sent.groupBy("bucket").applyInArrow(group, ROW + (", " + extra if extra else ""))
@@ -190,7 +207,9 @@ def meet(docs: DataFrame, answers: DataFrame, sizes: Plan, finish: Callable[[pa.
                 replies[bucket] = payload.as_py()
         if not blocks:
             raise RuntimeError("a block's answers came without its rows: the input changed between two reads")
-        return pa.concat_tables([finish(pa.ipc.open_stream(b).read_all().combine_chunks(), replies) for b in blocks])
+        out = pa.concat_tables([finish(pa.ipc.open_stream(b).read_all().combine_chunks(), replies) for b in blocks])
+        release()
+        return out
 
     return docs.mapInArrow(pack, ROW).unionByName(answers.select("block", "bucket", "payload")).groupBy("block").applyInArrow(group, schema)
 
