@@ -61,34 +61,31 @@ def postings(papers: DataFrame) -> DataFrame:
 _PIECE = re.compile(r'(-?)(?:"([^"]*)"|([^\s"]+))')
 
 
-def parse(query: str) -> list[list[tuple[bool, tuple[str, ...]]]]:
-    """Alternatives ("or") of conjunctions of (negated, phrase): words are joined by AND, quotes make a phrase, - negates."""
+Phrase = tuple[tuple[str, int], ...]
+
+
+def parse(query: str) -> list[list[tuple[bool, Phrase]]]:
+    """Alternatives ("or") of conjunctions of (negated, phrase): words are joined by AND, quotes make a phrase, - negates. A phrase is its
+    lexemes with their distance from the first; stop words inside it keep their places."""
     groups: list[list] = [[]]
     for minus, quoted, word in _PIECE.findall(query):
         if not minus and word.lower() == "or":
             if groups[-1]:
                 groups.append([])
             continue
-        terms = [t for t, _ in lexemes(quoted or word)]
-        if not terms:
-            continue
-        groups[-1].append((bool(minus), tuple(terms)))
+        terms = lexemes(quoted or word)
+        if terms:
+            groups[-1].append((bool(minus), tuple((t, p - terms[0][1]) for t, p in terms)))
     return [g for g in groups if g]
 
 
-def _spots(phrase: tuple[str, ...], index: dict[str, list[tuple[int, float]]]) -> list[tuple[int, int, float]]:
-    """(first, last, weight) of each occurrence of a phrase: its lexemes at increasing positions within one of each other."""
+def _spots(phrase: Phrase, index: dict[str, list[tuple[int, float]]]) -> list[tuple[int, int, float]]:
+    """(first, last, mean weight) of each occurrence of a phrase: its lexemes at their distances."""
+    rest = [(dict(index.get(t, [])), d) for t, d in phrase[1:]]
     out = []
-    rest = [dict(index.get(t, [])) for t in phrase[1:]]
-    for p, w in index.get(phrase[0], []):
-        at, weight = p, w
-        for positions in rest:
-            step = next((at + d for d in (1, 2) if at + d in positions), None)
-            if step is None:
-                break
-            at, weight = step, weight + positions[step]
-        else:
-            out.append((p, at, weight / len(phrase)))
+    for p, w in index.get(phrase[0][0], []):
+        if all(p + d in positions for positions, d in rest):
+            out.append((p, p + phrase[-1][1], (w + sum(positions[p + d] for positions, d in rest)) / len(phrase)))
     return out
 
 
@@ -120,8 +117,8 @@ def web_search(query: str, post: DataFrame, papers: DataFrame, limit: int = CAND
 
     Only the query's terms are read from the postings; each paper's positions meet in one small group."""
     groups = parse(query)
-    terms = sorted({t for g in groups for _, p in g for t in p})
-    positive = sorted({t for g in groups for minus, p in g if not minus for t in p})
+    terms = sorted({t for g in groups for _, p in g for t, _ in p})
+    positive = sorted({t for g in groups for minus, p in g if not minus for t, _ in p})
     if not positive:
         return papers.select("paper_id", F.lit(0.0).alias("rank"), F.lit(1).alias("krank")).limit(0)
     own = post.where(F.col("term").isin(terms)).groupBy("paper_id").agg(F.collect_list(F.struct("term", "positions", "weights")).alias("found"))

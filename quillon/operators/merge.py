@@ -12,14 +12,14 @@ FULL_TEXT = ("html", "pdf")
 
 
 def newest(rows: DataFrame) -> DataFrame:
-    """Of several arrivals of one paper the one that would stand after applying them all in any order: the highest version, full
-    text before abstract, then the latest arrival."""
+    """Of several arrivals of one paper in a batch one: the highest version, full text before abstract, then the latest arrival."""
     order = Window.partitionBy("paper_id").orderBy(F.desc("version"), F.col("source").isin(*FULL_TEXT).desc(), F.desc("processed_at"), "source")
     return rows.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
 def accepted(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new that may replace what is stored: an abstract never replaces full text of the same or a later version."""
+    """Rows of new that may replace what is stored: an abstract never replaces full text of the same or a later version. Full text always
+    may, also of an older version that arrives late."""
     old = current.select("paper_id", F.col("source").alias("old_source"), F.col("version").alias("old_version"))
     downgrade = (F.col("source") == "abstract") & F.col("old_source").isin(*FULL_TEXT) & (F.col("old_version") >= F.col("version"))
     return new.join(old, "paper_id", "left").where(~F.coalesce(downgrade, F.lit(False))).drop("old_source", "old_version")
