@@ -13,23 +13,32 @@ from pyspark.sql.window import Window
 
 from quillon.functions.stem import lexemes
 
-CANDIDATES = 50
+CANDIDATES, MAX_TERMS = 50, 5000
 #: Weight of a title (A) and an abstract (B) position.
 WEIGHTS = {"A": 1.0, "B": 0.4}
 TOKEN = r"[^a-z0-9]+"
 
 
-def exact_postings(papers: DataFrame) -> DataFrame:
-    """(term, paper_id, tf, length): exact lower-case tokens of title and abstract, without stemming."""
-    tokens = F.filter(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), TOKEN), lambda t: t != "")
+def exact_postings(papers: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(term, paper_id, tf, length): exact lower-case tokens of title and abstract, without stemming; of `terms` alone if given."""
+    tokens = F.array_remove(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), TOKEN), "")
     # the length is made below the explode: above it, it would be made again for each token
-    rows = papers.select("paper_id", F.size(tokens).cast("long").alias("length"), tokens.alias("tokens")).select("paper_id", "length", F.explode("tokens").alias("term"))
+    rows = papers.select("paper_id", tokens.alias("tokens")).select("paper_id", F.size("tokens").cast("long").alias("length"), "tokens")
+    # explode() would add a test for empty arrays that splits the text once more
+    rows = rows.select("paper_id", "length", F.explode_outer("tokens").alias("term")).where("term is not null")
+    if terms is not None:
+        rows = rows.where(F.col("term").isin(terms))
     return rows.groupBy("term", "paper_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def exact_search(queries: DataFrame, postings: DataFrame, papers: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """(query_id, paper_id, kscore, krank) of papers that hold every term of a query (query_id, text)."""
+def exact_search(queries: DataFrame, postings: DataFrame | None, papers: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """(query_id, paper_id, kscore, krank) of papers that hold every term of a query (query_id, text).
+
+    Without stored postings they are made of the queries' terms alone, if those are at most MAX_TERMS, else of all terms."""
     terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), TOKEN), lambda t: t != ""))).alias("term"))
+    if postings is None:
+        wanted = [r.term for r in terms.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+        postings = exact_postings(papers, wanted if len(wanted) <= MAX_TERMS else None)
     needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
     hits = postings.join(terms, "term").groupBy("query_id", "paper_id").agg(F.count("*").alias("found"), F.round(F.sum("tf") / (1 + F.log(F.first("length").cast("double"))), 6).alias("kscore"))
     hits = hits.join(needed, "query_id").where("found = needed").join(papers.select("paper_id", "published_at"), "paper_id")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators.keyword import exact_postings, exact_search
-from quillon.operators.vectors import best_per_paper, top_matches
+from quillon.operators.keyword import exact_search
+from quillon.operators.vectors import DIGITS, best_per_paper, cosine, top_matches
 
 CANDIDATES, RRF_K, K = 200, 60, 10
 #: Named windows, in days.
@@ -77,11 +77,9 @@ def hybrid(queries: DataFrame, texts: DataFrame, chunks: DataFrame, papers: Data
     every = best_per_paper(candidates(queries, chunks, papers, filters, n))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "paper_id")
     dense_list = every.withColumn("rank", F.row_number().over(order))
-    keyword_list = exact_search(texts, exact_postings(allowed) if postings is None else postings.join(allowed.select("paper_id"), "paper_id", "left_semi"), allowed)
+    keyword_list = exact_search(texts, None if postings is None else postings.join(allowed.select("paper_id"), "paper_id", "left_semi"), allowed)
     fused = fuse(dense_list, keyword_list, k)
     first = chunks.where("idx = 0").select("paper_id", F.col("embedding").alias("first"))
-    from quillon.operators.vectors import DIGITS, cosine
-
     out = fused.join(first, "paper_id", "left").join(queries, "query_id", "left")
     score = F.coalesce("score", F.round(cosine(F.col("first"), F.col("vector")), DIGITS))
     idx = F.coalesce("idx", F.when(F.col("first").isNotNull(), F.lit(0)))

@@ -96,8 +96,7 @@ klist AS (
 
 @query(", " + _KEYWORD.strip() + "\nSELECT * FROM klist")
 def keyword_exact(spark, d):
-    papers = V.papers(spark, d)
-    return longs(keyword.exact_search(asked_texts(spark, d), keyword.exact_postings(papers), papers), "krank")
+    return longs(keyword.exact_search(asked_texts(spark, d), None, V.papers(spark, d)), "krank")
 
 
 @query(

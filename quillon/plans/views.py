@@ -17,7 +17,7 @@ TARGETS = 200
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:
-    words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")
+    words = F.filter(F.split("text", r"[ \t\n\r]+", 10), lambda w: w != "")  # eight words, perhaps a blank before, and the rest
     hours = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("paper_id"),

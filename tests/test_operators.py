@@ -570,3 +570,48 @@ def test_logs(spark, tmp_path):
     ends = got.groupBy("partition").agg((F.max("offset") + 1).alias("next"))
     log.append(log.records(messages, "t", F.lit(T0), first=ends), path)
     assert log.read_all(spark, path).groupBy("partition", "offset").count().where("count > 1").count() == 0 and log.read_all(spark, path, "other").count() == 0
+
+
+def feed_page(keys, total):
+    entry = "<entry><id>http://arxiv.org/abs/{k}v1</id><title>T</title><summary>s</summary><published>2026-09-01T00:00:00Z</published><updated>2026-09-0{d}T00:00:00Z</updated><category term='c'/></entry>"
+    body = "".join(entry.format(k=k, d=9 - n % 8) for n, k in enumerate(keys))
+    return f'<feed xmlns="http://www.w3.org/2005/Atom" xmlns:o="http://a9.com/-/spec/opensearch/1.1/"><o:totalResults>{total}</o:totalResults>{body}</feed>'
+
+
+def test_paged_walk():
+    from quillon.sources import poll
+
+    keys = [f"2609.{k:05d}" for k in range(50)]
+    fetch = lambda c, start, size: feed_page(keys[start : start + size], len(keys))
+    seen = {f"{k}v1" for k in keys[25:]}
+    last, got = None, []
+    for state, papers in poll.walk("c", fetch, seen, "2026-09-10T00:00:00Z", page=10):
+        got += [p["arxiv_id"] for p in papers]
+        last = state
+    assert got == keys[:25] and last.fetched == 40 and last.duplicates == 15 and not last.capped and len(seen) == 50
+    capped = list(poll.walk("c", fetch, set(), "2026-09-10T00:00:00Z", page=10, max_pages=2))[-1][0]
+    assert capped.capped and capped.oldest == "2026-09-02T00:00:00Z"
+
+    def broken(c, start, size):
+        if start:
+            raise poll.Transient("503")
+        return fetch(c, start, size)
+
+    parts = list(poll.walk("c", broken, set(), "2026-09-10T00:00:00Z", page=10))
+    assert len(parts[0][1]) == 10 and parts[-1][0].error == "Transient: 503"
+    lost = set()
+    next(poll.walk("c", fetch, lost, "2026-09-10T00:00:00Z", page=10))
+    assert not lost
+
+
+def test_feed_source(spark, tmp_path):
+    from quillon.sources import poll
+
+    for category, n in (("a", 2), ("b", 1)):
+        (tmp_path / category).mkdir()
+        for k in range(n):
+            (tmp_path / category / f"{k * 5}.xml").write_text(feed_page([f"2609.{k:05d}"], 2))
+    raw = poll.pages(spark, tmp_path.as_uri(), ["a", "b"], size=5)
+    assert rows(raw, "category", "start") == [("a", 0), ("a", 5), ("b", 0)]
+    papers = feeds.papers_of_pages(raw.withColumn("polled_at", F.lit("2026-09-10T00:00:00Z")))
+    assert papers.count() == 3

@@ -92,3 +92,22 @@ def test_windowed_counts(spark, tmp_path):
     parts = [[("v", T0), ("v", T0 + timedelta(minutes=1))], [("v", T0 + timedelta(minutes=30))]]
     got = collect(spark, dedup.windowed_counts(stream_of(spark, tmp_path, parts, "event_type string, ts timestamp_ntz")), "counts", "complete")
     assert sorted(r.n for r in got) == [1, 2]
+
+
+def test_metrics_of_streams(spark, tmp_path):
+    import time
+
+    from quillon.streaming import observe
+
+    metrics = observe.Metrics()
+    spark.streams.addListener(metrics)
+    df = stream_of(spark, tmp_path, [[("a", 1, T0)], [("b", 2, T0)]], "paper_id string, version int, ts timestamp")
+    collect(spark, observe.counted(df, "papers", versions=F.sum("version")), "observed")
+    for _ in range(50):
+        if metrics.totals["papers", "rows"] >= 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(metrics)
+    assert metrics.totals["papers", "rows"] == 2 and metrics.totals["papers", "versions"] == 3
+    assert 'quillon_rows_total{name="papers"} 2' in metrics.text()
+    assert observe.snapshot(a=spark.range(3), b=spark.range(2)).first().asDict() == {"a": 3, "b": 2}
