@@ -15,6 +15,7 @@ text, also for texts of one endless word.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -220,10 +221,16 @@ def find(texts: list[str], net: Net) -> list[list[tuple[str, int, int, float]]]:
     return [sorted(s, key=lambda x: (x[1], KINDS.index(x[0]))) for s in out]
 
 
+@lru_cache(1)
+def default_net() -> Net:
+    """Trained once in a driver's life: the findings and the seeds are fixed."""
+    return train(labelled_findings())
+
+
 def find_secrets(docs: DataFrame, findings: list[tuple[str, int, int, int]] | None = None) -> DataFrame:
     """Per row: its spans, by start and then kind. findings: labelled candidates to learn from (default: labelled_findings())."""
     docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(train(findings or labelled_findings()))
+    shared = docs.sparkSession.sparkContext.broadcast(train(findings) if findings else default_net())
 
     def task(batches):
         for block in cut_blocks(batches, "text", BLOCK):
