@@ -32,6 +32,17 @@ def stream_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def spread(rows: DataFrame, key: str, size: str, node: str, limit: int) -> DataFrame:
+    """Groups of over `limit` rows as groups of at most about `limit`: a group's nodes are dealt to blocks of half a limit, and
+    each two blocks meet as one group (key becomes a hash of it and the two blocks). So any two nodes of a group still meet,
+    in bounded memory, and the work on a large group is dealt to many tasks. Smaller groups stay as they are."""
+    n = F.when(F.col(size) > limit, F.ceil(F.col(size) / max(1, limit // 2))).otherwise(F.lit(1)).cast("int")
+    rows = rows.withColumn("own_block", F.pmod(F.xxhash64(node), n).cast("int"))
+    rows = rows.withColumn("other_block", F.explode(F.sequence(F.lit(0), n - 1)))
+    pair = F.xxhash64(key, F.least("own_block", "other_block"), F.greatest("own_block", "other_block"))
+    return rows.withColumn(key, F.when(F.col(size) > limit, pair).otherwise(F.col(key))).drop("own_block", "other_block")
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
     return row[0], row[1] or 0

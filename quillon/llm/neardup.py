@@ -15,7 +15,8 @@ similar they are (SetSketch: Ertl, 2021).
    >= 85 * |A | B| are confirmed on them exactly, pair by pair until the class is one component or all pairs that could
    still join two components have been compared.
 
-Step 4 holds one candidate class of *different* texts in a task (8 bytes a shingle); equal texts are one row there.
+Equal texts are one row in steps 2 to 4. A bucket of over MOST_IN_BUCKET sketches, or a class of over MOST_IN_CLASS sets, is dealt
+to blocks of which each two meet in a task of bounded size (graph.spread); the parts are joined by the nodes they share.
 
 Defined cases: a text without words has the empty set, is linked with nothing, and is its own component; a row without an id
 links others but gives no id to a component (a component of such rows alone has a null id); rows that share an id are
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.blocks import cut_blocks
-from quillon.llm.graph import components, stream_groups
+from quillon.llm.graph import components, spread, stream_groups
 from quillon.llm.words import U, Words, mix, rolling, runs
 from quillon.shared import cut
 
 WIDTH, REGISTERS, BANDS, BASE, OFFSET = 5, 192, 32, 1.1, 31.0
 LINK, JOIN = 85, 0.75
+MOST_IN_BUCKET, MOST_IN_CLASS = 200_000, 20_000
 BLOCK = 4 << 20
 SKETCH_SCHEMA = "doc_id long, row long, n_shingles long, node long, check long, sketch binary"
 _A = (mix(np.arange(1, REGISTERS + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -151,7 +153,7 @@ def _set_task(batches):
     for block in cut_blocks(batches, "text", BLOCK):
         hashes, borders = shingle_sets(block.column("text"))
         sets = [hashes[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])]
-        yield pa.RecordBatch.from_arrays([block.column(c).combine_chunks() for c in ("root", "node")] + [pa.array(sets, pa.binary())], ["root", "node", "members"])
+        yield pa.RecordBatch.from_arrays([block.column(c).combine_chunks() for c in ("root", "n", "node")] + [pa.array(sets, pa.binary())], ["root", "n", "node", "members"])
 
 
 def linked(sets: list[np.ndarray]) -> np.ndarray:
@@ -196,13 +198,17 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = cut(nodes)
     bands = nodes.select("node", "sketch").mapInArrow(_band_task, "key long, node long")
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("node") % (1 << 40)).alias("s"), F.bit_xor("node").alias("x")).where("n > 1")
-    buckets = buckets.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
-    members = bands.join(buckets, "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    buckets = buckets.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
+    members = spread(bands.join(buckets, "key"), "key", "n", "node", MOST_IN_BUCKET).join(nodes.select("node", "n_shingles", "sketch"), "node")
     edges = members.repartition("key").sortWithinPartitions("key").select("key", "node", "n_shingles", "sketch").mapInArrow(_bucket_task, "a long, b long")
     roots = components(edges)
-    texts = docs.join(nodes.select("row", "node").join(roots, "node"), "row").select("root", "node", "text")
-    sets = texts.mapInArrow(_set_task, "root long, node long, members binary")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    places = roots.join(sizes, "root")
+    texts = docs.join(nodes.select("row", "node").join(places, "node"), "row").select("root", "n", "node", "text")
+    sets = spread(texts.mapInArrow(_set_task, "root long, n long, node long, members binary"), "root", "n", "node", MOST_IN_CLASS)
     labels = sets.repartition("root").sortWithinPartitions("root").mapInArrow(_solve_task, "node long, label long")
+    if not sizes.where(F.col("n") > MOST_IN_CLASS).isEmpty():  # parts of one class are joined by the nodes they share
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).withColumnRenamed("root", "label")
     return rows.drop("sketch"), cut(nodes.select("node", "check", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
 

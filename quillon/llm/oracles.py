@@ -36,9 +36,9 @@ m AS (
     len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
 f AS (
-  SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (2 * n_symbols > n_words)::BIGINT
+  SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (5 * n_symbols > n_words)::BIGINT
     + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 25 * n_words)::BIGINT
-    + 32 * (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT)::BIGINT AS failed FROM m)
+    + 32 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::BIGINT)::BIGINT AS failed FROM m)
 """
 
 LINES = rf"""

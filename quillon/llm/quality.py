@@ -31,10 +31,10 @@ _NEWLINE = np.arange(256) == 0x0A
 RULES = (
     ("too_few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    ("symbols", "2 * n_symbols > n_words"),
+    ("symbols", "5 * n_symbols > n_words"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 25 * n_words"),
-    ("repeated_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
 )
 #: Policies by version: the rules that reject.
 POLICIES = {

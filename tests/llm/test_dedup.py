@@ -148,6 +148,25 @@ def test_near_duplicates_around_one_original(spark):
     assert by_row(neardup.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute_classes(rows)
 
 
+def test_large_groups_are_dealt(docs, rows, monkeypatch, spark):
+    """Blocks of large groups give the same classes, whatever the limits are."""
+    import random
+
+    monkeypatch.setattr(neardup, "MOST_IN_BUCKET", 4)
+    monkeypatch.setattr(neardup, "MOST_IN_CLASS", 6)
+    assert by_row(neardup.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute_classes(rows)
+    r = random.Random(2)
+    base = [f"v{r.randrange(10**6)}" for _ in range(300)]
+    many = [(77, " ".join(base))]
+    for k in range(40):
+        w = list(base)
+        for i in r.sample(range(0, 300, 10), 4):
+            w[i] = f"n{k}x{i}"
+        many.append((100 + k, " ".join(w)))
+    table = spark.createDataFrame(many, "doc_id long, text string")
+    assert by_row(neardup.near_duplicates(table), "n_shingles", "component_id", "kept") == brute_classes(many)
+
+
 def test_near_dup_apply_keeps_one_of_a_group(docs, rows):
     got = neardup.apply(docs)
     assert got.columns == docs.columns
