@@ -86,6 +86,14 @@ def hybrid(queries: DataFrame, texts: DataFrame, chunks: DataFrame, papers: Data
     return out.select("query_id", F.col("position").cast("long").alias("position"), "paper_id", idx.cast("long").alias("idx"), score.alias("score"), "rrf", "keyword")
 
 
+def answer(queries: DataFrame, texts: DataFrame | None, chunks: DataFrame, papers: DataFrame, k: int = K, filters: Filters | None = None, keyword: bool = True, postings: DataFrame | None = None) -> DataFrame:
+    """(query_id, position, paper_id, idx, score, rrf, keyword): hybrid, or dense alone without texts or with the keyword side off."""
+    if keyword and texts is not None:
+        return hybrid(queries, texts, chunks, papers, k, filters, postings=postings)
+    found = dense(queries, chunks, papers, k, filters)
+    return found.select("query_id", F.col("rank").cast("long").alias("position"), "paper_id", "idx", "score", F.lit(None).cast("double").alias("rrf"), F.lit(False).alias("keyword"))
+
+
 def hits(found: DataFrame, papers: DataFrame, authors: DataFrame, base_url: str = "https://arxiv.org/abs/") -> DataFrame:
     """Wide rows of found papers: title, authors in order, rounded score, link. Joined after the limits."""
     names = author_lists(authors)

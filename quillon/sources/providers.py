@@ -137,6 +137,46 @@ def valid_pdfs(files: DataFrame, limit: int = PDF_LIMIT) -> DataFrame:
     return files.where((F.col("length") <= limit) & (F.substring("content", 1, 4) == F.lit(b"%PDF")))
 
 
+def pdf_texts(files: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:
+    """(path, text, error) of PDF files: `convert` wraps an outside tool and is called in the tasks; it raises on a timeout."""
+
+    def task(batches):
+        for batch in batches:
+            texts, errors = [], []
+            for content in batch.column("content").to_pylist():
+                value, error, _ = attempt(lambda: convert(content or b""), 1)  # noqa: B023
+                texts.append(value)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
+
+    return valid_pdfs(files).select("path", "content").mapInArrow(task, "path string, text string, error string")
+
+
+def citation_records(papers: DataFrame, fetch: Callable[[list[str]], list[dict | None]], batch_size: int = 500, pause: Callable[[int], None] | None = None) -> DataFrame:
+    """(paper_id, record json, error): at most `batch_size` ids a call, answers aligned with the ids (a miss is null). A busy service is tried
+    again after each of BACKOFF; `pause` gets the number of the try."""
+    ids = papers.select(F.col("paper_id").cast("string").alias("paper_id"))
+
+    def task(batches):
+        for batch in batches:
+            own = batch.column("paper_id").to_pylist()
+            records, errors = [], []
+            for a in range(0, len(own), batch_size):
+                part = own[a : a + batch_size]
+                got, error, _ = attempt(lambda: _aligned(fetch(part), len(part)), len(BACKOFF) + 1, pause)  # noqa: B023
+                records += [json.dumps(r) if r else None for r in got] if error is None else [None] * len(part)
+                errors += [error] * len(part)
+            yield pa.RecordBatch.from_arrays([batch.column("paper_id"), pa.array(records, pa.string()), pa.array(errors, pa.string())], ["paper_id", "record", "error"])
+
+    return ids.mapInArrow(task, "paper_id string, record string, error string")
+
+
+def _aligned(answer: list, n: int) -> list:
+    if len(answer) != n:
+        raise ValueError(f"{len(answer)} records for {n} ids")
+    return answer
+
+
 def complete_json(call: Callable[[int], dict], required: Sequence[str], tries: int = 2) -> dict:
     """A JSON answer with the required keys: a truncated answer is an error, one retry."""
     error = ""

@@ -615,3 +615,37 @@ def test_feed_source(spark, tmp_path):
     assert rows(raw, "category", "start") == [("a", 0), ("a", 5), ("b", 0)]
     papers = feeds.papers_of_pages(raw.withColumn("polled_at", F.lit("2026-09-10T00:00:00Z")))
     assert papers.count() == 3
+
+
+def test_outside_tools(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF good")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF slow")
+
+    def convert(content):
+        if b"slow" in content:
+            raise TimeoutError("90 s")
+        return content.decode()[5:]
+
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert sorted((r.path[-5:], r.text, r.error) for r in providers.pdf_texts(files, convert).collect()) == [("a.pdf", "good", None), ("b.pdf", None, "TimeoutError: 90 s")]
+
+    def fetch(ids):
+        if len(ids) > 3:
+            raise ValueError("too many")
+        return [{"paperId": i} if i != "2" else None for i in ids]
+
+    papers = spark.range(7).select(F.col("id").alias("paper_id")).coalesce(1)
+    got = {r.paper_id: (r.record, r.error) for r in providers.citation_records(papers, fetch, 3).collect()}
+    assert got["2"] == (None, None) and got["0"][0] == '{"paperId": "0"}' and len(got) == 7
+    assert all(r.error for r in providers.citation_records(papers, lambda ids: [], 3).collect())
+
+
+def test_keyword_side_off(spark):
+    _, chunks = vector_tables(spark)
+    papers = spark.createDataFrame([(k, f"word{k}", "text", T0, ["c"]) for k in range(10)], "paper_id long, title string, abstract string, published_at timestamp, categories array<string>")
+    queries = chunks.where("paper_id = 1 and idx = 0").select(F.lit(1).cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    texts = spark.createDataFrame([(1, "word7")], "query_id long, text string")
+    plain = search.answer(queries, texts, chunks, papers, 5, keyword=False)
+    assert plain.columns == search.answer(queries, texts, chunks, papers, 5).columns and not any(r.keyword for r in plain.collect())
+    both = {r.paper_id: r.keyword for r in search.answer(queries, texts, chunks, papers, 10).collect()}
+    assert both[7] and search.answer(queries, None, chunks, papers, 5).count() == 5
