@@ -9,6 +9,7 @@ an interval keeps its lines; at any other place the run is a later copy, and is
 Every line has a word, so a longer run of copies is the union of its copies of min_words lines, and a shorter one is an
 interval of its own depth. Thus doubling stops at depth min_words, and the depths between powers of two come from two
 overlapping ranks. Lines and suffixes that occur once leave at the first round that tells.
+Ranks keep the order of the ids: sorted by rank, the places are the suffix array to that depth.
 
 A round is one block exchange (see blocks.py): blocks send each distinct pair once, with its number and least place, so a
 line that a third of all documents hold costs one entry a block; buckets answer with the new rank, whether the run repeats,
@@ -252,8 +253,9 @@ def rounds(min_words: int) -> list[tuple[int | None, tuple[int, ...]]]:
     return out
 
 
-def _run(docs: DataFrame, finish, schema, min_words: int, block_bytes: int | None) -> DataFrame:
-    sizes = B.plan(docs, block_bytes)
+def suffix_ranks(docs: DataFrame, sizes: B.Plan, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per block its state after all rounds. rank1, rank2, rank4, ... of it hold each repeated line's rank at that depth (0: the run
+    occurs once): sorted by rank the lines are the suffix array to that depth, and equal ranks are its LCP intervals."""
     lots = max(8, sizes.buckets // 4)
 
     def states(batches):
@@ -264,6 +266,12 @@ def _run(docs: DataFrame, finish, schema, min_words: int, block_bytes: int | Non
     for step, depths in rounds(min_words):
         answers = B.answer(state.mapInArrow(_send(step, depths, lots), B.ROW), _reduce(step, len(depths)))
         state = cut(state.unionByName(answers).groupBy("block").applyInArrow(_update(step, depths, lots, min_words), B.ROW))
+    return state
+
+
+def _run(docs: DataFrame, finish, schema, min_words: int, block_bytes: int | None) -> DataFrame:
+    sizes = B.plan(docs, block_bytes)
+    state = suffix_ranks(docs, sizes, min_words)
     return B.meet(docs, state.withColumn("bucket", F.lit(0)), sizes, finish, schema)
 
 

@@ -95,6 +95,27 @@ def test_lines_of_other_lengths(docs, rows):
         assert by_row(lines.dedup_lines(docs, min_words=least), "n_lines", "n_removed", "kept_text") == brute_lines(rows, least)
 
 
+@pytest.mark.parametrize("block_bytes", [None, 3000])
+def test_ranks_are_a_suffix_array(docs, block_bytes):
+    """Order and equality of ranks are those of the sequences of line ids, at every depth."""
+    from quillon.llm import blocks
+
+    own = docs.select("doc_id", "text")
+    ranked = {1: [], 2: [], 4: [], 8: []}
+    for r in lines.suffix_ranks(own, blocks.plan(own, block_bytes)).collect():
+        state = __import__("pickle").loads(blocks.unsqueeze(r.payload))
+        for depth, out in ranked.items():
+            for i, rank in enumerate(state[f"rank{depth}"].tolist()):
+                if rank:
+                    assert (np.diff(state["number"][i : i + depth]) == 1).all() and len(set(state["text"][i : i + depth].tolist())) == 1
+                    out.append((rank, tuple(state["hash"][i : i + depth].tolist())))
+    assert len(ranked[1]) > 20 and len(ranked[4]) > 5
+    for out in ranked.values():
+        out.sort()
+        for (a, x), (b, y) in zip(out, out[1:]):
+            assert (a == b) == (x == y) and x <= y
+
+
 def test_lines_apply_keeps_rows_and_columns(docs, rows):
     got = lines.apply(docs)
     assert got.columns == docs.columns
