@@ -38,8 +38,17 @@ class Plan:
         self.buckets = max(8, -(-2 * total_bytes // (3 * self.block_bytes)))
 
 
+#: Bytes of text a byte of a table's files is taken for. Only sizes of blocks and numbers of buckets follow from it.
+TEXT_A_BYTE = 2
+
+
 def plan(docs: DataFrame, block_bytes: int | None = None) -> Plan:
-    """One pass over the text column's lengths."""
+    """From the size of the files if docs is a plain scan of them (no further pass over the texts), else from the texts' lengths."""
+    logical = docs._jdf.queryExecution().optimizedPlan()
+    if logical.collectLeaves().size() == 1 and "Relation [" in (shown := logical.toString()) and not any(x in shown for x in ("Aggregate", "Generate", "Expand", "Join")):
+        size = int(logical.collectLeaves().head().stats().sizeInBytes())
+        if size < 1 << 55:
+            return Plan(TEXT_A_BYTE * size, block_bytes)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     return Plan(total or 0, block_bytes)
 
