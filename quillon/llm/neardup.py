@@ -85,7 +85,7 @@ def _sketch_task(batches):
         size = np.diff(borders)
         full = np.flatnonzero(size)
         first = borders[:-1][full]
-        node, check = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        node, check = np.asarray(block.column("row")).astype(np.int64), np.zeros(len(size), np.int64)  # empty sets: spread, never joined
         sketches: list[bytes | None] = [None] * len(size)
         if len(full):
             node[full] = np.add.reduceat(mix(hashes), first).astype(np.int64)
