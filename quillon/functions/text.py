@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Fixed patterns of paper ids.
 NEW_ID = r"[0-9]{4}\.[0-9]{4,5}"
 OLD_ID = r"[a-z\-]+(?:\.[A-Z]{2})?/[0-9]{7}"
 #: Fixed translation of typographic dashes, signs and quotes.

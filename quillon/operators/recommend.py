@@ -10,6 +10,7 @@ from quillon.functions.text import similar_weight
 from quillon.operators.trail import reading_order, recent
 from quillon.operators.vectors import neighbors
 
+#: Fixed parameters of scoring and picking.
 RECENT, DECAY, SIMILAR, PER_SOURCE, LIMIT, EXTERNAL_SHARE = 8, 0.85, 12, 4, 12, 0.34
 WEIGHTS = {"builds_on": 0.35, "follow_up": 0.6}
 DIGITS = 6
