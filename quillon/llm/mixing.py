@@ -5,6 +5,10 @@ raked in turn to the target marginals of each dimension, so each pass multiplies
 present mass. A cell's weight is its raked over its original mass, and its documents are kept with probability weight / largest
 weight: the largest sample whose expected token marginals are the raked ones. The draw is a hash of the document id.
 
+That rule, which the SQL fixes, lets the largest weight of any cell, however small, set the rate of all others. With `keep`, a share of
+all tokens, the probability is min(1, factor * weight) instead, the factor solved over the cells so that the expected tokens are that
+share; cells at 1 give less than their raked mass, and `marginals` reports what each category then lacks.
+
 A raking pass is a window over the cells, so the plan grows by one small exchange a pass, and the driver sees single totals
 only; cells are pre-aggregated, hence a source with a third of all rows is a few rows here. The cells are joined back by broadcast only
 if they are at most `BROADCAST_CELLS`, which is counted first; beyond that by a shuffled join that Spark splits where skewed.
@@ -82,13 +86,41 @@ def draw() -> Column:
     return F.conv(F.substring(F.md5(name), 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
-def mix(docs: DataFrame, topic_column: str | None = None, powers: dict[str, float] | None = None, passes: int = PASSES) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_prob and mix_kept."""
+def calibrated(cells: DataFrame, keep: float | None = None) -> DataFrame:
+    """cells of rake with prob: weight / largest weight, or min(1, factor * weight) for an expected `keep` of all tokens.
+
+    The factor rises from keep's share over the raked one and each round counts more cells as full, until none is added."""
+    if keep is None:
+        return cells.withColumn("prob", F.col("weight") / F.lit(cells.agg(F.max("weight")).first()[0] or 1.0))
+    if not 0 < keep <= 1:
+        raise ValueError(f"keep is a share of the tokens in (0, 1], not {keep}")
+    factor, full = 0.0, -1
+    while True:
+        is_full = (F.col("weight") > 0) & (F.col("weight") * F.lit(factor) >= 1)
+        own = cells.agg(F.sum("tokens"), F.sum(F.when(is_full, F.col("tokens"))), F.sum(F.when(~is_full, F.col("tokens") * F.col("weight"))), F.count(F.when(is_full, 1))).first()
+        total, certain, rest, n = (x or 0.0 for x in own)
+        if n == full or not rest:
+            break
+        factor, full = max(factor, (keep * total - certain) / rest), n
+    return cells.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(factor)))
+
+
+def marginals(cells: DataFrame) -> DataFrame:
+    """Per dimension and category of calibrated cells: the target, the expected share of the kept tokens, and the tokens of cells kept whole."""
+    total = cells.agg(F.sum(F.col("tokens") * F.col("prob"))).first()[0] or 1.0
+    kept = (F.sum(F.col("tokens") * F.col("prob")) / F.lit(total)).alias("expected")
+    whole = F.coalesce(F.sum(F.when(F.col("prob") >= 1, F.col("tokens"))), F.lit(0.0)).alias("tokens_kept_whole")
+    parts = [cells.groupBy(F.lit(d).alias("dimension"), F.col(f"mix_{d}").alias("category")).agg(F.max(f"target_{d}").alias("target"), kept, whole) for d in DIMENSIONS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def mix(docs: DataFrame, topic_column: str | None = None, powers: dict[str, float] | None = None, passes: int = PASSES, keep: float | None = None) -> DataFrame:
+    """docs with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_prob and mix_kept. keep: the share of all tokens to keep (see calibrated)."""
     docs = measured(docs, topic_column)
     keys = [f"mix_{d}" for d in DIMENSIONS]
-    cells = cut(rake(docs, powers, passes).select(*keys, "weight"))
-    n, largest = cells.agg(F.count("*"), F.max("weight")).first()
-    cells = cells.select(*keys, F.col("weight").alias("mix_weight"), (F.col("weight") / F.lit(largest or 1.0)).alias("mix_prob"))
+    cells = cut(rake(docs, powers, passes).select(*keys, "tokens", "weight"))
+    n = cells.count()
+    cells = calibrated(cells, keep).select(*keys, F.col("weight").alias("mix_weight"), F.col("prob").alias("mix_prob"))
     out = docs.join(F.broadcast(cells) if n <= BROADCAST_CELLS else cells, keys)
     return out.withColumn("mix_kept", draw() < F.col("mix_prob"))
 

@@ -193,6 +193,21 @@ def test_mix_reaches_the_targets(spark):
     assert mixed.agg(F.max("mix_prob")).first()[0] == 1.0
 
 
+def test_one_odd_document_does_not_set_the_rate(spark):
+    docs = spark.createDataFrame([(k, "w " * 60, "en", f"s{k % 3 % 2}", "k") for k in range(3000)], "doc_id long, text string, lang string, source string, kind string")
+    odd = docs.unionByName(spark.createDataFrame([(9000, "w " * 50, "en", None, "k")], docs.schema))
+    share = lambda m: m.agg(F.sum(F.col("mix_tokens") * F.col("mix_prob")) / F.sum("mix_tokens")).first()[0]
+    assert share(mixing.mix(docs, "kind")) > 0.5 > 0.1 > share(mixing.mix(odd, "kind"))  # the SQL's rule
+    for keep in (0.3, 0.9, 1.0):
+        assert math.isclose(share(mixing.mix(odd, "kind", keep=keep)), keep, rel_tol=1e-9)
+    cells = mixing.calibrated(mixing.rake(mixing.measured(odd, "kind")), 0.3)
+    own = {r.category: r for r in mixing.marginals(cells).where("dimension = 'source'").collect()}
+    assert own["(none)"].tokens_kept_whole == 50 and own["(none)"].expected < own["(none)"].target
+    assert math.isclose(own["s0"].expected / own["s1"].expected, own["s0"].target / own["s1"].target, rel_tol=1e-6)
+    with pytest.raises(ValueError):
+        mixing.mix(odd, "kind", keep=0.0)
+
+
 def test_mix_edges(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
