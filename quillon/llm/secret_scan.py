@@ -37,7 +37,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+")
 _SAID = re.compile(r"""(?ai:password|passwd|passphrase|pwd|secret|token|api[ _-]?key)(?:\x20(?:is|was)|\x20?(?:->|=>))\x20["']?([^\x00-\x20"']{6,64})""")
-_NAMED = (b"passw", b"passp", b"pwd", b"secret", b"token", b"api")
+_NAMED = (b"passw", b"passp", b"pwd", b"secret", b"token", b"api", b"akia")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
