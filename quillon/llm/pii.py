@@ -7,7 +7,8 @@ security numbers, names after a cue. Added spans never touch a pattern's span.
 
 The field is trained on the driver from `labelled_table`, some hundred tagged phrases made by rule with a fixed seed, by
 maximum likelihood (forward-backward in numpy). Decoding is Viterbi over batches of word windows. A window reaches `REACH` words to
-either side of each word that has a digit or an @, or is a cue; other words cannot begin a span.
+either side of each word that has a digit, an @, a cue, "dot" or a bracketed "at" (`_OPEN`). A bare "at" opens none: every spelled-out
+address has one of the others within reach, and "laughed at him" has not.
 
 Defined cases: a null or empty text has no spans; every row gives one row; other columns are ignored. Time is linear in the
 text, also for texts of one endless word.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.blocks import cut_blocks
 from quillon.llm.nets import Adam
-from quillon.llm.words import NOT_ALNUM, Words
+from quillon.llm.words import text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "name")
 BASE = KINDS[:4]
@@ -43,8 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_GATE = re.compile(r"[0-9@]")
-_PLAIN = re.compile(r"[^\W_]+")
+#: What opens a window, wherever it stands in a word.
+_OPEN = re.compile(rf"[0-9@]|(?<![^\W_])(?:{'|'.join(CUES)}|dot)(?![^\W_])|(?<=[\[({{<])at(?=[\])}}>])", re.I)
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -288,7 +289,7 @@ def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]
         tokens = [m.span() for m in _TOKEN.finditer(text)]
         near: list[int] = []
         for i, (a, b) in enumerate(tokens):
-            if _GATE.search(text, a, min(b, a + 64)) or (b - a <= 14 and any(x in CUES for x in _PLAIN.findall(text[a:b].lower()))):
+            if _OPEN.search(text, a, min(b, a + 64)):
                 near.append(i)
         at = 0
         while at < len(near):
@@ -326,15 +327,15 @@ def find_personal_data(docs: DataFrame, table: list[tuple[list[str], list[str]]]
     """Per row: its spans, by kind and then start. table: tagged phrases to learn from (default: labelled_table())."""
     docs = docs.select("doc_id", "text")
     field = docs.sparkSession.sparkContext.broadcast(Field().fit(table) if table else default_field())
-    cues = Words(pa.array(CUES), blank=NOT_ALNUM).hashes()
 
     def task(batches):
         for block in cut_blocks(batches, "text", BLOCK):
-            words = Words(block.column("text"), lower=True, blank=NOT_ALNUM)
-            marks = np.isin(words.data[:-8], np.frombuffer(b"0123456789@", np.uint8))
-            able = np.diff(np.concatenate([[0], np.cumsum(marks)])[words.offsets]) > 0
-            able |= np.diff(np.concatenate([[0], np.cumsum(np.isin(words.hashes(), cues))])[words.before]) > 0
+            data, offsets = text_bytes(block.column("text"))
+            marks = np.isin(data[:-8], np.frombuffer(b"0123456789@", np.uint8))
+            able = np.diff(np.concatenate([[0], np.cumsum(marks)])[offsets]) > 0
             texts = block.column("text")
+            for i in np.flatnonzero(~able):
+                able[i] = _OPEN.search(texts[int(i)].as_py() or "") is not None
             which = np.flatnonzero(able)
             spans: list[list] = [[] for _ in range(block.num_rows)]
             found = find([texts[int(i)].as_py() or "" for i in which], field.value)

@@ -100,6 +100,13 @@ def test_pii_rows(docs, empty, rows):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_spelled_out_addresses_open_the_gate(spark):
+    texts = ["please write to jane at acme dot com before friday", "write to john [at] acme [dot] org today", "send all to ta_ren(at)moli.net tonight", "she laughed at him and left", "thanks from Herr Renmo today"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.stop]) for s in r.spans] for r in pii.find_personal_data(table).collect()}
+    assert got == {0: [("email", "jane at acme dot com")], 1: [("email", "john [at] acme [dot] org")], 2: [("email", "ta_ren(at)moli.net")], 3: [], 4: [("name", "Renmo")]}
+
+
 SECRETS = [
     'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" rest',
     "PASSWORD: hunter2x; passwd=abc Api_Key='A/b+c=.-9' apikey  :  zzzzzz secret=;token",
