@@ -8,7 +8,9 @@ security numbers, names after a cue. Added spans never touch a pattern's span.
 The field is trained on the driver from `labelled_table`, some hundred tagged phrases made by rule with a fixed seed, by
 maximum likelihood (forward-backward in numpy). Decoding is Viterbi over batches of word windows. A window reaches `REACH` words to
 either side of each word that has a digit, an @, a cue, "dot" or a bracketed "at" (`_OPEN`). A bare "at" opens none: every spelled-out
-address has one of the others within reach, and "laughed at him" has not.
+address has one of the others within reach, and "laughed at him" has not. Words of over `LONG` characters (JSON, URLs, text without
+spaces) are read in parts: split at punctuation, and parts that are still longer, or mix Latin letters or digits with other scripts, at changes of class
+(`parts`). What stays longer has no number set apart in it.
 
 Defined cases: a null or empty text has no spans; every row gives one row; other columns are ignored. Time is linear in the
 text, also for texts of one endless word.
@@ -33,7 +35,7 @@ BASE = KINDS[:4]
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Words that announce a name, with case and punctuation dropped.
 CUES = ("mr", "mrs", "ms", "dr", "prof", "name", "named", "contact", "herr", "frau", "mme", "monsieur", "madame", "señor", "señora", "sincerely", "regards")
-REACH, FEATURES, BLOCK = 5, 1 << 14, 4 << 20
+REACH, LONG, FEATURES, BLOCK = 5, 40, 1 << 14, 4 << 20
 SPAN = "struct<kind:string,start:long,stop:long,base:boolean>"
 SCHEMA = f"doc_id long, spans array<{SPAN}>"
 _PA_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("base", pa.bool_())]))
@@ -44,6 +46,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_PART = re.compile(r"""[^\x00-\x20\x7F"'`,;:=&?/|<>{}\[\]\\!#$%*~^]+""")
+_UNIT = re.compile(
+    r"([0-9]*+[A-Za-z\xC0-\u024F][0-9A-Za-z\xC0-\u024F]*+)"  # Latin letters and digits
+    r"|[+(]*+[0-9]++(?:[().+-]{1,2}+[0-9]++)*+"  # digits with the marks of a number
+    r"|[+(]++|[^0-9A-Za-z+(\x80-\U0010FFFF]++|[\x80-\xBF\u0250-\U0010FFFF]++"
+)
+#: In a longer run of letters and digits, numbers stand apart if they all have as many digits as a phone or an account: keys and hashes stay whole.
+_SHORT = re.compile(r"(?<![0-9])[0-9]{1,6}(?![0-9])")
+_NUMBER = re.compile(r"[A-Z]{2}[0-9]{14,}+|[0-9]{7,}+|(?:(?![A-Z]{2}[0-9]{14}|[0-9]{7}).)++")
+#: What a span with a part of a long word must be: the field never saw pieces of keys.
+_FORM = {k: re.compile(r"[^A-Za-z]+") for k in ("ip", "card", "phone", "ssn")} | {"iban": re.compile(r"[A-Z]{2}[^A-Za-z]+"), "email": re.compile(r".*(?:@|(?<![A-Za-z0-9])at(?![A-Za-z0-9])).*", re.S | re.I), "name": re.compile(r"[^0-9]+")}
+_MIXED = re.compile(r"[0-9A-Za-z][\x80-\xBF\u0250-\U0010FFFF]|[\x80-\xBF\u0250-\U0010FFFF][+(]*+[0-9A-Za-z]")
 #: What opens a window, wherever it stands in a word.
 _OPEN = re.compile(rf"[0-9@]|(?<![^\W_])(?:{'|'.join(CUES)}|dot)(?![^\W_])|(?<=[\[({{<])at(?=[\])}}>])", re.I)
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -88,6 +102,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The word at a to b as the field reads it: whole, or if it is long in parts."""
+    if b - a <= LONG:
+        return [(a, b)]
+    own = [m.span() for m in _PART.finditer(text, a, b)]
+    if len(own) < 2:
+        own = [(a, b)]
+    out = []
+    for c, d in own:
+        if d - c <= LONG and not _MIXED.search(text, c, d):
+            out.append((c, d))
+            continue
+        for m in _UNIT.finditer(text, c, d):
+            out += [x.span() for x in _NUMBER.finditer(text, *m.span())] if m[1] and m.end() - m.start() > LONG and not _SHORT.search(m[1]) else [m.span()]
+    return out
+
+
+def _formed(text: str, kind: str, a: int, b: int, own: list[tuple[int, int]]) -> bool:
+    """Whether the words of a span are whole, or its text has the kind's form."""
+    whole = all((not c or _TOKEN.match(text[c - 1]) is None) and (d == len(text) or _TOKEN.match(text[d]) is None) for c, d in own)
+    return whole or _FORM[kind].fullmatch(text, a, b) is not None
+
+
 def shape(word: str) -> str:
     """Letters as X and x, digits as 9; three or more alike as two and a +."""
     out = re.sub("[0-9]", "9", re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", word[:40]))
@@ -103,7 +140,7 @@ def features(words: list[str]) -> np.ndarray:
     own = []
     for w in words:
         c = core(w)
-        digits = sum(x.isdigit() for x in c[:64])
+        digits = sum(x.isdigit() for x in c)
         low = c.lower()
         names = [f"s{shape(c)}", f"d{min(digits, 20)}", f"n{min(len(c), 24)},{digits == len(c)}", f"m{'@' in c}{c.count('.')}{c.count('-')}{'(' in c}{':' in c}", f"e{w[-1:] if not w[-1:].isalnum() else ''}"]
         names.append(f"w{low}" if low in CUES or low in _WORDS else f"t{c[:1].isupper()}{c[1:].islower()}{c.isalpha()}")
@@ -286,10 +323,10 @@ def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]
     for k, text in enumerate(texts):
         base = base_spans(text)
         out.append([(*s, True) for s in base])
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        tokens = [p for m in _TOKEN.finditer(text) for p in parts(text, *m.span())]
         near: list[int] = []
         for i, (a, b) in enumerate(tokens):
-            if _OPEN.search(text, a, min(b, a + 64)):
+            if _OPEN.search(text, a, b):
                 near.append(i)
         at = 0
         while at < len(near):
@@ -309,7 +346,7 @@ def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]
                 while j < len(tags) and tags[j] == tags[i] + 1:
                     j += 1
                 a, b = _trim(texts[k], tokens[i][0], tokens[j - 1][1])
-                if a < b and all(b <= s[1] or a >= s[2] for s in out[k]):
+                if a < b and all(b <= s[1] or a >= s[2] for s in out[k]) and _formed(texts[k], TAGS[tags[i]][2:], a, b, tokens[i:j]):
                     out[k].append((TAGS[tags[i]][2:], a, b, False))
                 i = j
             else:

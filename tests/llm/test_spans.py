@@ -107,6 +107,25 @@ def test_spelled_out_addresses_open_the_gate(spark):
     assert got == {0: [("email", "jane at acme dot com")], 1: [("email", "john [at] acme [dot] org")], 2: [("email", "ta_ren(at)moli.net")], 3: [], 4: [("name", "Renmo")]}
 
 
+@pytest.mark.parametrize("filler", ['{"id":"x","city":"berlin","note":"some words","lang":"en","state":"new",', "http://www.example.com/some/long/path/to/customers/list?city=berlin&note=", "电话号码" * 25])
+@pytest.mark.parametrize("kind,item", [("ssn", "123-45-6789"), ("phone", "555-123-4567"), ("iban", "DE89370400440532013000"), ("card", "7536784127813051")])
+def test_personal_data_behind_the_start_of_a_long_word(field, filler, kind, item):
+    text = filler + item + ("," if filler[0] == "{" else "&") + 'x"'
+    assert len(filler) > 64 and " " not in filler.replace("some words", "")
+    text = text.replace(" ", "_")
+    at = text.index(item)
+    assert (kind, at, at + len(item), False) in pii.find([text], field)[0]
+
+
+def test_parts_of_long_words():
+    cut = lambda w: [w[a:b] for a, b in pii.parts(w, 0, len(w))]
+    assert cut('{"ssn":"123-45-6789"}') == ['{"ssn":"123-45-6789"}']
+    assert cut('{"id":"7","name":"Ren","ssn":"123-45-6789"}') == ["id", "7", "name", "Ren", "ssn", "123-45-6789"]
+    assert cut("x" * 50000) == ["x" * 50000] and cut("1" * 50000) == ["1" * 50000]
+    for w in ("aB3" * 5000, "x7@a." * 4000, "é1" * 3000, "(+" * 9000, "_" * 9000, "١a" * 100, "a_" * 50 + "123-45-6789"):
+        assert "".join(cut(w)) == w
+
+
 SECRETS = [
     'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" rest',
     "PASSWORD: hunter2x; passwd=abc Api_Key='A/b+c=.-9' apikey  :  zzzzzz secret=;token",
