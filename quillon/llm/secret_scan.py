@@ -2,7 +2,8 @@
 
 The patterns find assignments to a secret's name, access keys and long lower-case hex strings. A candidate of the network
 is any run of 16 or more key characters with a letter and a digit, or the word that a phrase such as "password is" announces,
-unless it meets a pattern's span. The network reads the candidate's first 48 characters with 24 before and 8 behind it:
+unless it meets a pattern's span. The network reads 48 characters of the candidate with 24 before and 8 behind it; a longer
+candidate is read in windows (every 24 characters, at its end, and behind each separator) and has the highest of their scores:
 character vectors, two convolutions of width 5 (one over all, one within the candidate), their highest values, a logistic layer.
 
 It is trained on the driver from `labelled_findings`, candidates labelled by rule with a fixed seed. Scores are calibrated
@@ -26,9 +27,9 @@ from quillon.llm.nets import Adam, platt, sigmoid
 from quillon.llm.words import Words
 
 KINDS = ("assign", "access", "hex", "other")
-BEFORE, INSIDE, AFTER = 24, 48, 8
+BEFORE, INSIDE, AFTER, STRIDE = 24, 48, 8, 24
 WIDTH, FILTERS, DIM, RECALL = 5, 24, 10, 0.98
-BLOCK = 4 << 20
+BLOCK, MOST = 4 << 20, 16_384
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,stop:long,score:double>>"
 _PA_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 
@@ -36,6 +37,7 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+")
+_PART = re.compile(r"(?<=[/.=+-])[A-Za-z0-9_]{16,}+")
 _SAID = re.compile(r"""(?ai:password|passwd|passphrase|pwd|secret|token|api[ _-]?key)(?:\x20(?:is|was)|\x20?(?:->|=>))\x20["']?([^\x00-\x20"']{6,64})""")
 _NAMED = (b"passw", b"passp", b"pwd", b"secret", b"token", b"api", b"akia")
 
@@ -68,12 +70,20 @@ for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012
 SIZE = int(_CLASS.max()) + 1
 
 
-def encode(text: str, a: int, b: int) -> np.ndarray:
-    """Character classes of the candidate and its context; 0 where there is none."""
+def windows(text: str, a: int, b: int) -> list[int]:
+    """Where the network reads a candidate: each character is in a window, and each part of it that could be a key starts one."""
+    if b - a <= INSIDE:
+        return [a]
+    return sorted({*range(a, b - INSIDE, STRIDE), b - INSIDE, *(m.start() for m in _PART.finditer(text, a, b))})
+
+
+def encode(text: str, a: int, b: int, at: int | None = None) -> np.ndarray:
+    """Character classes of the candidate (from `at`, else from its start) and its context; 0 where there is none."""
+    at = a if at is None else at
     part = lambda s, n, right: (lambda x: np.concatenate([np.zeros(n - len(x), np.int64), x] if right else [x, np.zeros(n - len(x), np.int64)]))(
         _CLASS[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
     )
-    return np.concatenate([part(text[max(0, a - BEFORE) : a], BEFORE, True), part(text[a : min(b, a + INSIDE)], INSIDE, False), part(text[b : b + AFTER], AFTER, False)])
+    return np.concatenate([part(text[max(0, a - BEFORE) : a], BEFORE, True), part(text[at : min(b, at + INSIDE)], INSIDE, False), part(text[b : b + AFTER], AFTER, False)])
 
 
 class Net:
@@ -208,16 +218,27 @@ def train(findings: list[tuple[str, int, int, int]], epochs: int = 8, seed: int
 def find(texts: list[str], net: Net) -> list[list[tuple[str, int, int, float]]]:
     """All spans of each text by start and then kind; strict patterns score 1."""
     out, codes, places = [], [], []
+
+    def flush():
+        best: dict[tuple[int, int, int], float] = {}
+        for place, score in zip(places, net.scores(np.stack(codes)) if codes else ()):
+            best[place] = max(best.get(place, 0.0), float(score))
+        for (k, a, b), score in best.items():
+            if score >= net.threshold:
+                out[k].append(("other", a, b, score))
+        codes.clear()
+        places.clear()
+
     for k, text in enumerate(texts):
         base = base_spans(text)
         out.append([(*s, 1.0) for s in base])
         for a, b in candidates(text, base):
-            codes.append(encode(text, a, b))
-            places.append((k, a, b))
-    if codes:
-        for (k, a, b), score in zip(places, net.scores(np.stack(codes))):
-            if score >= net.threshold:
-                out[k].append(("other", a, b, float(score)))
+            for at in windows(text, a, b):
+                codes.append(encode(text, a, b, at).astype(np.uint8))
+                places.append((k, a, b))
+        if len(codes) >= MOST:
+            flush()
+    flush()
     return [sorted(s, key=lambda x: (x[1], KINDS.index(x[0]))) for s in out]
 
 

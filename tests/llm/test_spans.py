@@ -208,6 +208,22 @@ def test_each_secret_pattern_alone_in_its_text(spark):
         assert want and [(s.kind, s.start, s.stop) for s in r.spans if s.kind != "other"] == want
 
 
+def test_keys_behind_the_start_of_a_candidate(net):
+    path = "srv/app/config/production/payments/billing/keys/v2/"
+    for key in ("sk_live_9aZ8bY7cX6dW5eV4fU3gT2", "ghp_Qm3xZ9pL2vK8sT5nR7wB4cD1", "9fK2mQ7xV4bN8zT1cR6wY3pL5dH0"):
+        for text in (f"see {path}{key} now", f"see {path}{key}/{path}index.html now", f"see {path}name={key} now"):
+            (span,) = secret_scan.find([text], net)[0]
+            assert text[span[1] : span[2]] == text.split()[1] and len(text.split()[1]) > 48 + 24
+    assert not secret_scan.find([f"see {path}index.html now"], net)[0]
+
+
+def test_windows_cover_a_candidate():
+    for text in ("a1" * 24, "a1" * 25, "a1" * 5000, "ab/" * 40 + "k" * 30, "=" * 500 + "a1"):
+        at = secret_scan.windows(text, 0, len(text))
+        assert at[0] == 0 and max(at[i + 1] - at[i] for i in range(len(at) - 1)) <= 24 if len(at) > 1 else len(text) <= 48
+        assert any(x + 48 >= len(text) for x in at) and len(at) <= 2 + len(text) / 24 + len(text) / 17
+
+
 def norm(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
 
