@@ -107,9 +107,11 @@ def author_lists(authors: DataFrame) -> DataFrame:
     return authors.groupBy("paper_id").agg(F.transform(rows, lambda x: x["name"]).alias("authors"))
 
 
-def similar(paper_id: int, chunks: DataFrame, papers: DataFrame, k: int = K) -> DataFrame:
-    """Papers like one: its first passage as the query over all passages, itself dropped after asking for one more."""
-    query = chunks.where((F.col("idx") == 0) & (F.col("paper_id") == paper_id)).select(F.col("paper_id").alias("query_id"), F.col("embedding").alias("vector"))
+def similar(paper_id: int | DataFrame, chunks: DataFrame, papers: DataFrame, k: int = K) -> DataFrame:
+    """Papers like one, or like each of a table of paper_id: its first passage as the query over all passages, itself dropped after asking for one more."""
+    first = chunks.where("idx = 0")
+    own = first.join(paper_id.select("paper_id").distinct(), "paper_id", "left_semi") if isinstance(paper_id, DataFrame) else first.where(F.col("paper_id") == paper_id)
+    query = own.select(F.col("paper_id").alias("query_id"), F.col("embedding").alias("vector"))
     found = dense(query, chunks, papers, k + 1).where("paper_id <> query_id")
     return _ranked(found.drop("rank"), k)
 

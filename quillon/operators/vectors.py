@@ -7,7 +7,7 @@ Query sets are read to the driver in blocks of at most `QUERY_BLOCK` vectors and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def top_matches(queries: DataFrame, base: DataFrame, n: int, keys: Sequence[str] = ("paper_id", "idx"), not_self: str | None = None) -> DataFrame:
+def top_matches(queries: DataFrame, base: DataFrame, n: int, keys: Sequence[str] = ("paper_id", "idx"), not_self: str | None = None, probe: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Each query's n nearest rows of base: (query_id, *keys, score), by rounded cosine and then keys.
 
-    queries: (query_id long, vector). base: (*keys longs, embedding). not_self: the key that must differ from query_id."""
-    base = base.where(F.col("embedding").isNotNull()).select(*[F.col(k).cast("long").alias(k) for k in keys], "embedding")
+    queries: (query_id long, vector). base: (*keys longs, embedding). not_self: the key that must differ from query_id.
+    probe: which cells (columns) each query (a row of unit vectors) reads, as booleans; base then has a column cell."""
+    base = base.where(F.col("embedding").isNotNull()).select(*[F.col(k).cast("long").alias(k) for k in keys], "embedding", *(["cell"] if probe else []))
     queries = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
@@ -57,21 +58,30 @@ def top_matches(queries: DataFrame, base: DataFrame, n: int, keys: Sequence[str]
         rows = own.collect()
         ids = np.array([r.query_id for r in rows], np.int64)
         matrix = _unit(np.array([r.vector for r in rows], np.float64)) if rows else np.zeros((0, 1))
-        shared = base.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = base.sparkSession.sparkContext.broadcast((ids, matrix, probe(matrix) if probe else None))
+
+        def best(q, m, batch):
+            values = [np.asarray(batch.column(k)) for k in keys]
+            scores = np.round(_unit(_matrix(batch.column("embedding"))) @ m.T, DIGITS)
+            if not_self:
+                scores[values[keys.index(not_self)][:, None] == q] = -np.inf
+            order = np.lexsort((*[np.broadcast_to(v[:, None], scores.shape) for v in reversed(values)], -scores), axis=0)[:n]
+            rank, column = np.nonzero(np.isfinite(np.take_along_axis(scores, order, 0)))
+            row = order[rank, column]
+            return pa.RecordBatch.from_arrays([pa.array(q[column]), *[pa.array(v[row]) for v in values], pa.array(scores[row, column])], ["query_id", *keys, "score"])
 
         def task(batches, shared=shared):
-            q, m = shared.value
+            q, m, probed = shared.value
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
-                values = [np.asarray(batch.column(k)) for k in keys]
-                scores = np.round(_unit(_matrix(batch.column("embedding"))) @ m.T, DIGITS)
-                if not_self:
-                    scores[values[keys.index(not_self)][:, None] == q] = -np.inf
-                order = np.lexsort((*[np.broadcast_to(v[:, None], scores.shape) for v in reversed(values)], -scores), axis=0)[:n]
-                rank, column = np.nonzero(np.isfinite(np.take_along_axis(scores, order, 0)))
-                row = order[rank, column]
-                yield pa.RecordBatch.from_arrays([pa.array(q[column]), *[pa.array(v[row]) for v in values], pa.array(scores[row, column])], ["query_id", *keys, "score"])
+                if probed is None:
+                    yield best(q, m, batch)
+                    continue
+                cell = np.asarray(batch.column("cell"))
+                for c in np.unique(cell):  # a cell's rows meet the queries that read the cell
+                    if probed[:, c].any():
+                        yield best(q[probed[:, c]], m[probed[:, c]], batch.take(pa.array(np.flatnonzero(cell == c))))
 
         part = base.mapInArrow(task, schema)
         out = part if out is None else out.unionByName(part)
@@ -124,8 +134,15 @@ class CellIndex:
 
         self.indexed = base.where(F.col("embedding").isNotNull()).mapInArrow(task, ", ".join([*[f"{k} long" for k in self.keys], "embedding array<float>", "cell int"]))
 
-    def search(self, vector: Sequence[float], n: int, probes: int = 4, query_id: int = 0) -> DataFrame:
-        near = np.argsort(-(self.centroids @ np.asarray(vector, np.float64)))[:probes]
-        spark = self.indexed.sparkSession
-        query = spark.createDataFrame([(query_id, [float(x) for x in vector])], "query_id long, vector array<double>")
-        return top_matches(query, self.indexed.where(F.col("cell").isin([int(c) for c in near])), n, keys=self.keys)
+    def probed(self, queries: np.ndarray, probes: int) -> np.ndarray:
+        """Whether each query (a row) reads each cell: its `probes` nearest."""
+        out = np.zeros((len(queries), len(self.centroids)), bool)
+        if len(queries) and queries.shape[1] == self.centroids.shape[1]:  # an index of an empty table has no dimension
+            np.put_along_axis(out, np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")[:, :probes], True, 1)
+        return out
+
+    def search(self, queries: DataFrame | Sequence[float], n: int, probes: int = 4, query_id: int = 0) -> DataFrame:
+        """Each query's n nearest rows in its nearest cells, as top_matches. queries: (query_id, vector), or one vector, named query_id."""
+        if not isinstance(queries, DataFrame):
+            queries = self.indexed.sparkSession.createDataFrame([(query_id, [float(x) for x in queries])], "query_id long, vector array<double>")
+        return top_matches(queries, self.indexed, n, keys=self.keys, probe=lambda m: self.probed(m, probes))

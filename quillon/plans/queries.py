@@ -80,6 +80,21 @@ def similar_papers(spark, d):
     return longs(search.similar(0, V.chunks(spark, d), V.papers(spark, d)), "rank")
 
 
+@query(
+    """
+, q AS (SELECT paper_id AS query_id, embedding AS vector FROM chunks WHERE paper_id % 100 = 0 AND idx = 0),
+scored AS (SELECT query_id, paper_id, idx, round(list_cosine_similarity(embedding::DOUBLE[], vector::DOUBLE[]), 6) AS score FROM q, chunks WHERE paper_id IN (SELECT paper_id FROM papers)),
+near AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id, idx) <= 200),
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY score DESC, idx) = 1),
+top AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) <= 11)
+SELECT query_id, paper_id, idx, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS rank FROM top WHERE paper_id <> query_id QUALIFY rank <= 10
+"""
+)
+def similar_papers_asked(spark, d):
+    """similar_papers for every paper whose id is divisible by 100."""
+    return longs(search.similar(V.papers(spark, d).where("paper_id % 100 = 0"), V.chunks(spark, d), V.papers(spark, d)), "rank")
+
+
 _KEYWORD = """
 tok AS (SELECT paper_id, list_filter(regexp_split_to_array(lower(title || ' ' || abstract), '[^a-z0-9]+'), lambda t: t <> '') AS toks FROM papers),
 post AS (SELECT term, paper_id, count(*) AS tf, any_value(length) AS length FROM (SELECT paper_id, len(toks) AS length, unnest(toks) AS term FROM tok) GROUP BY term, paper_id),
@@ -731,9 +746,10 @@ def sampled_papers(spark, d):
     return evaluate.sample_by_hash(V.papers(spark, d), 20, "7").select("paper_id")
 
 
+CELLS, PROBES = 16, 8
+
+
 @query()
 def cell_index_search(spark, d):
-    """Inverted-file search of the query set's first vector over the cells nearest to it."""
-    index = vectors.CellIndex(V.chunks(spark, d))
-    first = asked(spark, d).orderBy("query_id").first()
-    return index.search(first.vector, 10, probes=8)
+    """Inverted-file search of the whole query set, each query over the cells nearest to it."""
+    return vectors.CellIndex(V.chunks(spark, d), cells=CELLS).search(asked(spark, d), 10, probes=PROBES)
