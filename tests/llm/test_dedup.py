@@ -1,6 +1,7 @@
 """Deduplication operators against plain brute force."""
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -207,6 +208,26 @@ def test_estimate_follows_similarity():
         assert abs(got - shared / (2 * n - shared)) < 0.12
 
 
+@pytest.mark.parametrize("ratio", [1.0, 0.93, 0.86])
+def test_joint_loss_of_bands_and_estimate(ratio):
+    """A pair at the limit is lost where it shares no band or its estimate is too low: summed over all counts of greater and less registers."""
+    n, size, similar = neardup.REGISTERS, 1000.0, neardup.LINK / 100
+    u = 1 / (1 + ratio)
+    step = lambda x: -math.log1p(-x * (neardup.BASE - 1) / neardup.BASE) / math.log(neardup.BASE)
+    up, down = step(u - (1 - u) * similar), step((1 - u) - u * similar)
+    loss = (1 - (1 - up - down) ** (n // neardup.BANDS)) ** neardup.BANDS
+    for greater in range(n + 1):
+        less = np.arange(n - greater + 1)
+        others = np.ones((len(less), n), np.uint8)
+        others[:, :greater] = 0
+        for k in less:
+            others[k, greater : greater + k] = 2
+        lost = less[~neardup._near(np.ones(n, np.uint8), size, others, np.full(len(less), size * ratio))]
+        ways = lambda k, m: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
+        loss += sum(math.exp(ways(greater, n) + ways(int(k), n - greater) + greater * math.log(up) + int(k) * math.log(down) + (n - greater - int(k)) * math.log(1 - up - down)) for k in lost)
+    assert loss < 2e-7
+
+
 def test_sketches_merge():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 1 << 63, (2, 300)).astype(np.uint64)
