@@ -1,15 +1,15 @@
 """Block exchange: count, over a whole corpus, hashes that are made in numpy, and bring the answers back to the texts.
 
-Rows of (hash, document) for every token or window would cost more shuffle than the text itself. Instead each task cuts
-its rows into blocks of text, combines equal hashes in a block (so a hot hash costs one entry a block, however often it
-occurs), and sends each range of the hash space ("bucket") one compact sorted run. A bucket meets the runs of all
-blocks, sums them and answers each block in that block's own order. Last, a block's rows and its answers meet again
-under the block's id, a hash of its content.
+Rows of (hash, document) for every token or window would cost more shuffle than the text itself. Instead the rows are cut
+once into blocks of text, which stand in the shared checkpoint folder and are all that later steps read. A block combines
+equal hashes (so a hot hash costs one entry a block, however often it occurs), and sends each range of the hash space
+("bucket") one compact sorted run. A bucket meets the runs of all blocks, sums them and answers each block in that block's own
+order. Last, a block and its answers meet again under the block's id, a hash of its content.
 
 Scale: both the block and the bucket hold about `block_bytes` of text. It is at least 8 MB and grows with the square
 root of the input, so that a (block, bucket) run never falls below some 16 entries (100 TB: blocks of about 100 MB), and
-memory a task stays at a small multiple of it. The input must give the same rows in the same order each time it is
-read, as tables in files do: a block whose answers are missing raises an error and never passes silently.
+memory a task stays at a small multiple of it. As blocks are stored, it does not matter how a later read would split the
+input: executors may come and go between the steps. A block whose answers are missing raises an error and never passes silently.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.shared import cut
+
 ROW = "block long, bucket int, payload binary"
 LEAST, MOST = 8 << 20, 256 << 20
 
@@ -43,14 +46,13 @@ TEXT_A_BYTE = 2
 
 
 def plan(docs: DataFrame, block_bytes: int | None = None) -> Plan:
-    """From the size of the files if docs is a plain scan of them (no further pass over the texts), else from the texts' lengths."""
-    logical = docs._jdf.queryExecution().optimizedPlan()
-    if logical.collectLeaves().size() == 1 and "Relation [" in (shown := logical.toString()) and not any(x in shown for x in ("Aggregate", "Generate", "Expand", "Join")):
-        size = int(logical.collectLeaves().head().stats().sizeInBytes())
-        if size < 1 << 55:
-            return Plan(TEXT_A_BYTE * size, block_bytes)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
-    return Plan(total or 0, block_bytes)
+    """From the sizes of the files that docs reads (their names and sizes alone are read), else from the texts' lengths."""
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+        total = TEXT_A_BYTE * (files.agg(F.sum("size")).first()[0] or 0)
+    except AnalysisException:  # docs is not a plain read of files
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return Plan(total, block_bytes)
 
 
 try:
@@ -146,12 +148,15 @@ def split_parts(payload: bytes) -> list[bytes]:
     return parts
 
 
+_squeeze, _unsqueeze = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _squeeze.compress(raw)
 
 
 def unsqueeze(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return _unsqueeze.decompress(raw)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -160,16 +165,40 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def send(docs: DataFrame, sizes: Plan, make: Callable[[pa.Table], list[tuple[int, bytes]]]) -> DataFrame:
-    """Each block's entries: make(block) gives (bucket, payload) pairs."""
+def pack_table(block: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(block)
+    return sink.getvalue().to_pybytes()
+
+
+def open_table(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all().combine_chunks()
+
+
+def cut_once(docs: DataFrame, sizes: Plan, state: Callable[[pa.Table], bytes] = pack_table) -> DataFrame:
+    """The blocks of docs (block, bucket -1, payload state(block)), computed once into the shared checkpoint."""
     block_bytes = sizes.block_bytes
 
     def task(batches):
         for block in cut_blocks(batches, "text", block_bytes):
-            own = block_id(block)
-            yield _rows([(own, bucket, payload) for bucket, payload in make(block)])
+            yield _rows([(block_id(block), -1, state(block))])
+
+    return cut(docs.mapInArrow(task, ROW))
 
-    return docs.mapInArrow(task, ROW)
+
+def send(blocks: DataFrame, make: Callable[[bytes], list[tuple[int, bytes]]]) -> DataFrame:
+    """Each block's entries: make(payload) gives (bucket, payload) pairs."""
+
+    def task(batches):
+        for batch in batches:
+            for own, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                entries = make(payload.as_py())
+                if entries:
+                    yield _rows([(own, bucket, x) for bucket, x in entries])
+                release()
+
+    return blocks.mapInArrow(task, ROW)
 
 
 def answer(sent: DataFrame, reduce: Callable[[int, list[bytes]], tuple[list[bytes], dict]], extra: str = "") -> DataFrame:
@@ -196,34 +225,26 @@ def answer(sent: DataFrame, reduce: Callable[[int, list[bytes]], tuple[list[byte
     return sent.groupBy("bucket").applyInArrow(group, ROW + (", " + extra if extra else ""))
 
 
-def meet(docs: DataFrame, answers: DataFrame, sizes: Plan, finish: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """Blocks again, each with its answers: finish(block, {bucket: answer}) gives the block's rows of the result."""
-    block_bytes = sizes.block_bytes
-
-    def pack(batches):
-        for block in cut_blocks(batches, "text", block_bytes):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(block)
-            yield _rows([(block_id(block), -1, sink.getvalue().to_pybytes())])
+def meet(blocks: DataFrame, answers: DataFrame, finish: Callable[[bytes, dict[int, bytes]], pa.Table], schema) -> DataFrame:
+    """Blocks again, each with its answers: finish(payload, {bucket: answer}) gives the block's rows of the result."""
 
     def group(table: pa.Table) -> pa.Table:
-        replies, blocks = {}, []
+        replies, own = {}, []
         for bucket, payload in zip(table.column("bucket").to_pylist(), table.column("payload")):
             if bucket < 0:
-                blocks.append(payload.as_buffer())
+                own.append(payload)
             else:
                 replies[bucket] = payload.as_py()
-        if not blocks:
-            raise RuntimeError("a block's answers came without its rows: the input changed between two reads")
-        out = pa.concat_tables([finish(pa.ipc.open_stream(b).read_all().combine_chunks(), replies) for b in blocks])
+        if not own:
+            raise RuntimeError("a block's answers came without the block")
+        out = pa.concat_tables([finish(payload.as_py(), replies) for payload in own])
         release()
         return out
 
-    return docs.mapInArrow(pack, ROW).unionByName(answers.select("block", "bucket", "payload")).groupBy("block").applyInArrow(group, schema)
+    return blocks.unionByName(answers.select("block", "bucket", "payload")).groupBy("block").applyInArrow(group, schema)
 
 
 def reply(replies: dict[int, bytes], bucket: int) -> bytes:
     if bucket not in replies:
-        raise RuntimeError("a block has no answer from a bucket: the input changed between two reads")
+        raise RuntimeError("a block has no answer from a bucket: its answers are not whole")
     return replies[bucket]

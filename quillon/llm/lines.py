@@ -214,7 +214,8 @@ def _kept(block: pa.Table, replies: dict[int, bytes]) -> tuple[np.ndarray, np.nd
     return lines["count"].astype(np.int64), n_removed.astype(np.int64), texts
 
 
-def _finish(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+def _finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
+    block = B.open_table(payload)
     n_lines, n_removed, texts = _kept(block, replies)
     removed = [len(a or "") - len(b) for a, b in zip(block.column("text").to_pylist(), texts)]
     return pa.table(
@@ -228,7 +229,8 @@ def _finish(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
     )
 
 
-def _finish_rows(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+def _finish_rows(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
+    block = B.open_table(payload)
     n_lines, n_removed, texts = _kept(block, replies)
     new = {"text": pa.array([x if n else old for x, n, old in zip(texts, n_removed, block.column("text").to_pylist())], block.schema.field("text").type)}
     if "n_chars" in block.column_names:
@@ -253,16 +255,12 @@ def rounds(min_words: int) -> list[tuple[int | None, tuple[int, ...]]]:
     return out
 
 
-def suffix_ranks(docs: DataFrame, sizes: B.Plan, min_words: int = MIN_WORDS) -> DataFrame:
+def suffix_ranks(blocks: DataFrame, sizes: B.Plan, min_words: int = MIN_WORDS) -> DataFrame:
     """Per block its state after all rounds. rank1, rank2, rank4, ... of it hold each repeated line's rank at that depth (0: the run
     occurs once): sorted by rank the lines are the suffix array to that depth, and equal ranks are its LCP intervals."""
     lots = max(8, sizes.buckets // 4)
 
-    def states(batches):
-        for block in B.cut_blocks(batches, "text", sizes.block_bytes):
-            yield B._rows([(B.block_id(block), -1, B.squeeze(pickle.dumps(_state(block), 5)))])
-
-    state = cut(docs.mapInArrow(states, B.ROW))
+    state = cut(B.send(blocks, lambda payload: [(-1, B.squeeze(pickle.dumps(_state(B.open_table(payload)), 5)))]))
     for step, depths in rounds(min_words):
         answers = B.answer(state.mapInArrow(_send(step, depths, lots), B.ROW), _reduce(step, len(depths)))
         state = cut(state.unionByName(answers).groupBy("block").applyInArrow(_update(step, depths, lots, min_words), B.ROW))
@@ -271,8 +269,9 @@ def suffix_ranks(docs: DataFrame, sizes: B.Plan, min_words: int = MIN_WORDS) ->
 
 def _run(docs: DataFrame, finish, schema, min_words: int, block_bytes: int | None) -> DataFrame:
     sizes = B.plan(docs, block_bytes)
-    state = suffix_ranks(docs, sizes, min_words)
-    return B.meet(docs, state.withColumn("bucket", F.lit(0)), sizes, finish, schema)
+    blocks = B.cut_once(docs, sizes)
+    state = suffix_ranks(blocks, sizes, min_words)
+    return B.meet(blocks, state.withColumn("bucket", F.lit(0)), finish, schema)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int | None = None) -> DataFrame:

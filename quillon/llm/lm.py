@@ -1,18 +1,22 @@
-"""Language-model scoring with a weighted backoff automaton of smoothed bigrams.
+"""Language-model scoring with a weighted backoff automaton of smoothed trigrams.
 
-States are contexts: the root (no context), the text's start, and each training word. A state h has an arc for every word
-w that followed it in training, with weight log10 P(w|h), and one failure arc to the root with weight log10 of the mass that
-h leaves to unseen words; the root has an arc for every word. A text is scored in one traversal from left to right: take the
-arc of the present state, or its failure arc and then the root's; the word read is the next state. Because the next state
-is a function of the word alone, the states of all positions of a block are known at once and numpy walks them together.
+States are the contexts that training has seen: the root (no context), the text's start, each word, and each pair of words that
+followed each other. A state h has an arc for every word w that followed it in training, with weight log10 P(w|h), and one failure
+arc, with weight log10 of the mass that h leaves to its shorter context: from two words to the last of them, from one to the
+root, which has an arc for every word. A text is scored in one traversal from left to right: at each word the present state's arc
+is taken, or its failure arcs until there is one; the arc leads to the longest context that is a state.
 
-Smoothing is Witten-Bell: P(w|h) = (c(hw) + T(h) P(w)) / (c(h) + T(h)), T(h) the distinct words seen after h, and
-P(w) = (c(w) + 1) / (N + V + 1), so each state's probabilities sum to one, with one share for all unknown words together.
+Smoothing is by Dirichlet priors (MacKay and Peto, 1995): P(w|h) = (c(hw) + k P(w|h')) / (c(h) + k), h' the context without its first
+word and k from `PRIOR`; at the root P(w) = (c(w) + 1) / (N + V + 1). So each state's probabilities sum to one, with one share for
+all unknown words together, and an unseen word has k / (c(h) + k), the failure arc's mass, of what h' gives it.
 
-All counts are of the whole training side and nothing of the model is sent to every task: unigrams and bigrams are counted by
-block exchange (see blocks.py), and each block gets back the counts of its own n-grams only. Bigrams of one context stand
-together, which gives T(h); contexts with over 1/HOT of all tokens (so at most HOT of them) are dealt over all buckets, and
-their partial T are summed.
+The model is of the whole training side and grows with it; nothing of it is sent to every task. A block of texts is kept as word
+codes, so the texts are read once; its words, pairs and triples are counted by block exchange (see blocks.py), by hashes of 64 bits
+that fall evenly on the buckets, however frequent a word is. With the counts of its own n-grams a block has the part of the
+automaton that its texts can reach, and all places of its texts walk there together: the state before a place is the longest
+known context there, and a walk is at most two failure arcs and one arc.
+
+Two n-grams of n are taken for one with probability n**2 / 2**65: at 100 TB (some 10**12 different triples) for about 3 in 10**8 of them.
 
 Defined cases: a null or empty text is the end token alone; rows that repeat are scored and counted each time; a null id
 is in training (its crc32 is null); an empty training side gives the uniform share of unknown words; other columns are ignored.
@@ -21,6 +25,7 @@ is in training (its crc32 is null); an empty training side gives the uniform sha
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -28,206 +33,196 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import blocks as B
-from quillon.llm.words import U, Words, mix, runs
+from quillon.llm.words import U, Words, mix
 from quillon.shared import cut
 
-HOT = 500
+ORDER = 3
+#: Strength k of the prior at contexts of one and two words, in occurrences.
+PRIOR = (4.0, 2.0)
 END, START = U(0x51ED270B0C7A4C9D), U(0xA3B195354A39B70D)
-#: Of a bigram's key, the bits that name its context; the others tell its words apart.
-CONTEXT_BITS = 36
-_REST = U(64 - CONTEXT_BITS)
+_PAIR, _TRIPLE = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double"
 
 
-class _Tokens:
-    """A block's tokens (words, then one end for each text), their contexts and n-gram keys."""
-
-    def __init__(self, block: pa.Table, hot: np.ndarray):
-        words = Words(block.column("text"), lower=True)
-        n = len(words.count)
-        self.train = np.asarray(block.column("train"))
-        self.first = words.before[:-1] + np.arange(n)
-        self.count = words.count + 1
-        last = self.first + words.count
-        self.word = np.empty(len(words.start) + n, U)
-        inner = np.ones(len(self.word), bool)
-        inner[last] = False
-        self.word[inner], self.word[last] = words.hashes(), END
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[self.first] = START
-        self.text = np.repeat(np.arange(n), self.count)
-        self.hot_index = np.searchsorted(hot, self.context).astype(np.int64)
-        self.hot = np.zeros(len(self.word), bool)
-        if len(hot):
-            self.hot = hot[np.minimum(self.hot_index, len(hot) - 1)] == self.context
-        pair = mix(self.word * U(0x9E3779B97F4A7C15) ^ mix(self.context))
-        self.pair = np.where(self.hot, pair, (mix(self.context) >> _REST << _REST) | (pair >> U(CONTEXT_BITS)))
-
-
-def _counted(keys: np.ndarray, weight: np.ndarray):
-    """Distinct sorted keys, the summed weight of each, and the place of each input among them."""
-    names, back = np.unique(keys, return_inverse=True)
-    return names, np.bincount(back, weight, len(names)).astype(np.int64), back
+def _state(block: pa.Table) -> bytes:
+    """A block's texts as codes of its distinct words; each text has one end token behind its words."""
+    words = Words(block.column("text"), lower=True)
+    n = len(words.count)
+    last = words.before[1:] + np.arange(n)
+    every = np.empty(len(words.start) + n, U)
+    inner = np.ones(len(every), bool)
+    inner[last] = False
+    every[inner], every[last] = words.hashes(), END
+    names, code = np.unique(every, return_inverse=True)
+    ids = block.column("doc_id").cast(pa.int64()).combine_chunks()
+    state = {
+        "doc": np.asarray(ids.fill_null(0)).astype(np.int64),
+        "null": np.asarray(ids.is_null()),
+        "train": np.asarray(block.column("train")),
+        "count": (words.count + 1).astype(np.int64),
+        "names": names,
+        "code": code.astype(np.uint16 if len(names) < 1 << 16 else np.uint32),
+    }
+    return B.squeeze(pickle.dumps(state, 5))
+
+
+class _Grams:
+    """A block's n-grams by order: sorted distinct hashes, own training counts, and the n-gram that ends at each place.
+
+    Order 1 also counts the start of each text; at a text's first place there is no triple, as the start is its whole context."""
+
+    def __init__(self, payload: bytes):
+        own = pickle.loads(B.unsqueeze(payload))
+        self.doc, self.null, self.train, self.count = (own[k] for k in ("doc", "null", "train", "count"))
+        n = len(own["code"])
+        self.first = np.cumsum(self.count) - self.count
+        weight = np.repeat(self.train, self.count).astype(np.float64)
+        word = own["names"][own["code"]]
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[self.first] = START
+        pair = mix(word * _PAIR ^ mix(before))
+        self.inner = np.ones(n, bool)
+        self.inner[self.first] = False
+        at = np.flatnonzero(self.inner)
+        triple = mix(pair[at] * _TRIPLE ^ mix(before[at - 1]))
+        starts = np.full(len(self.first), START, U)
+        names, back, counts = [], [], []
+        for keys, own_weight in ((np.concatenate([word, starts]), np.concatenate([weight, self.train.astype(np.float64)])), (pair, weight), (triple, weight[at])):
+            distinct, place = np.unique(keys, return_inverse=True)
+            names.append(distinct)
+            back.append(place)
+            counts.append(np.bincount(place, own_weight, len(distinct)).astype(np.int64))
+        self.names, self.counts = names, counts
+        self.word, self.start = back[0][:n], back[0][n] if len(self.first) else 0
+        self.pair = back[1]
+        self.triple = np.zeros(n, np.int64)
+        self.triple[at] = back[2]
+
+    def bounds(self, buckets: int) -> list[np.ndarray]:
+        return [B.bucket_bounds(x, buckets) for x in self.names]
 
 
 def _small(counts: np.ndarray) -> bytes:
     kind = np.uint8 if not len(counts) or counts.max() < 256 else np.uint32 if counts.max() < 1 << 32 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + B.squeeze(counts.astype(kind).tobytes())
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
 
 
 def _large(packed: bytes) -> np.ndarray:
-    return np.frombuffer(B.unsqueeze(packed[1:]), f"<u{packed[0]}").astype(np.int64)
-
-
-def _ngrams(block: pa.Table, hot: np.ndarray, buckets: int):
-    """The block's tokens, and its three lists of n-grams (words; bigrams; bigrams of hot contexts), each with bucket borders.
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
 
-    The start of a text is counted as a word of its own among the contexts."""
-    t = _Tokens(block, hot)
-    weight = t.train[t.text].astype(np.float64)
-    starts = np.full(len(t.first), START, U)
-    lists = [_counted(np.concatenate([t.word, starts]), np.concatenate([weight, t.train.astype(np.float64)]))]
-    for part in (~t.hot, t.hot):
-        lists.append(_counted(t.pair[part], weight[part]))
-    owner = np.zeros(len(lists[2][0]), np.uint16)
-    owner[lists[2][2]] = t.hot_index[t.hot]
-    return t, lists, owner, [B.bucket_bounds(names, buckets, low) for (names, _, _), low in zip(lists, (0, 64 - CONTEXT_BITS, 0))]
 
-
-def _make(hot: np.ndarray, buckets: int):
-    def make(block: pa.Table) -> list[tuple[int, bytes]]:
-        _, lists, owner, bounds = _ngrams(block, hot, buckets)
-        out = []
+def _make(buckets: int):
+    def make(payload: bytes) -> list[tuple[int, bytes]]:
+        grams = _Grams(payload)
+        bounds, out = grams.bounds(buckets), []
         for b in range(buckets):
             parts = []
-            for (names, counts, _), edge in zip(lists, bounds):
+            for names, counts, edge in zip(grams.names, grams.counts, bounds):
                 own = slice(edge[b], edge[b + 1])
                 parts += [B.pack_sorted(names[own]), _small(counts[own])]
-            parts.append(B.squeeze(owner[bounds[2][b] : bounds[2][b + 1]].tobytes()))
             out.append((b, B.join_parts(parts)))
         return out
 
     return make
 
 
-def _merge(lists: list[np.ndarray], counts: list[np.ndarray]):
-    """Distinct keys and total counts over all blocks, and the place of each block's keys among them."""
-    keys = np.concatenate(lists)
-    names, back = np.unique(keys, return_inverse=True)
-    total = np.bincount(back, np.concatenate(counts), len(names)).astype(np.int64)
-    return names, total, np.split(back, np.cumsum([len(x) for x in lists])[:-1])
-
-
-def _reduce(n_hot: int):
-    def reduce(bucket: int, payloads: list[bytes]) -> tuple[list[bytes], dict]:
-        parts = [B.split_parts(p) for p in payloads]
-        answers: list[list[bytes]] = [[] for _ in payloads]
-        figures = {"kind": [], "name": [], "n": []}
-
-        def tell(kind: int, name: int, n: int) -> None:
-            for k, v in zip(("kind", "name", "n"), (kind, name, n)):
-                figures[k].append(int(v))
-
-        for k in range(3):
-            names, total, places = _merge([B.unpack_sorted(p[2 * k]) for p in parts], [_large(p[2 * k + 1]) for p in parts])
-            for a, place in zip(answers, places):
-                a.append(_small(total[place]))
-            if k == 0:
-                words = names != START
-                tell(0, 0, total[words].sum())
-                tell(1, 0, (total[words] > 0).sum())
-            elif k == 1:  # distinct followers of each context: they all meet in this bucket
-                context = names >> _REST
-                first = runs(context)
-                followers = np.add.reduceat((total > 0).astype(np.int64), first) if len(first) else first
-                context = context[first]
-                for a, p in zip(answers, parts):
-                    own = B.unpack_sorted(p[2]) >> _REST
-                    a.append(_small(followers[np.searchsorted(context, own[runs(own)])]))
-            elif n_hot:
-                owner = np.zeros(len(names), np.int64)
-                for p, place in zip(parts, places):
-                    owner[place] = np.frombuffer(B.unsqueeze(p[6]), np.uint16)
-                for i, n in enumerate(np.bincount(owner, total > 0, n_hot)):
-                    tell(2, i, n)
-        return [B.join_parts(a) for a in answers], figures
-
-    return reduce
-
-
-def _finish(hot: np.ndarray, hot_followers: np.ndarray, n_train: int, n_types: int, buckets: int):
-    def finish(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
-        t, lists, _, bounds = _ngrams(block, hot, buckets)
-        totals = [np.zeros(len(names), np.int64) for names, _, _ in lists]
-        own_context = lists[1][0] >> _REST
-        followers = np.zeros(len(own_context), np.int64)
+def _reduce(bucket: int, payloads: list[bytes]) -> tuple[list[bytes], dict]:
+    """Total counts of each block's n-grams; figures: kind 0 training tokens, 1 distinct training tokens, 2 training texts."""
+    parts = [B.split_parts(p) for p in payloads]
+    answers: list[list[bytes]] = [[] for _ in payloads]
+    figures: dict[str, list[int]] = {"kind": [], "n": []}
+    for k in range(ORDER):
+        lists = [B.unpack_sorted(p[2 * k]) for p in parts]
+        names, back = np.unique(np.concatenate(lists), return_inverse=True)
+        total = np.bincount(back, np.concatenate([_large(p[2 * k + 1]) for p in parts]), len(names)).astype(np.int64)
+        for a, place in zip(answers, np.split(back, np.cumsum([len(x) for x in lists])[:-1])):
+            a.append(_small(total[place]))
+        if k == 0:
+            words = names != START
+            for kind, n in enumerate((total[words].sum(), (total[words] > 0).sum(), total[~words].sum())):
+                figures["kind"].append(kind)
+                figures["n"].append(int(n))
+    return [B.squeeze(B.join_parts(a)) for a in answers], figures
+
+
+class _Automaton:
+    """The part of the automaton that a block's texts reach: arcs are the block's n-grams that training has, states are their ends."""
+
+    def __init__(self, grams: _Grams, totals: list[np.ndarray], n_train: int, n_types: int):
+        one, two, three = (x.astype(np.float64) for x in totals)
+        context, ends = np.zeros(len(two), np.int64), np.zeros(len(two), np.int64)  # of each pair: its first word (or the start), and its second
+        before = np.empty_like(grams.word)
+        before[1:] = grams.word[:-1]
+        before[grams.first] = grams.start
+        context[grams.pair], ends[grams.pair] = before, grams.word
+        at = np.flatnonzero(grams.inner)
+        head, tail = np.zeros(len(three), np.int64), np.zeros(len(three), np.int64)  # of each triple: its first and its second pair
+        head[grams.triple[at]], tail[grams.triple[at]] = grams.pair[at - 1], grams.pair[at]
+        k2, k3 = PRIOR
+        p1 = (one + 1) / (n_train + n_types + 1)
+        p2 = (two + k2 * p1[ends]) / (one[context] + k2)
+        p3 = (three + k3 * p2[tail]) / (two[head] + k3)
+        #: Weights of arcs (from the root, a word, a pair), whether training has the arc, and weights of failure arcs (from a word, a pair).
+        self.arc = [np.log10(p) for p in (p1, p2, p3)]
+        self.known = [np.ones(len(one), bool), two > 0, three > 0]
+        self.fail = [np.log10(k2 / (one + k2)), np.log10(k3 / (two + k3))]
+        self.is_state = [one > 0, two > 0]
+
+    def walk(self, grams: _Grams) -> np.ndarray:
+        """The log10 probability at each place: failure arcs from the state before it until one has an arc for its word."""
+        n = len(grams.word)
+        before_word, before_pair = np.empty(n, np.int64), np.empty(n, np.int64)
+        before_word[1:], before_pair[1:] = grams.word[:-1], grams.pair[:-1]
+        before_word[grams.first], before_pair[grams.first] = grams.start, 0
+        order = np.where(grams.inner & self.is_state[1][before_pair], 2, np.where(self.is_state[0][before_word], 1, 0))
+        total = np.zeros(n)
+        for length, context, gram in ((2, before_pair, grams.triple), (1, before_word, grams.pair)):
+            stands = order == length
+            found = stands & self.known[length][np.minimum(gram, len(self.known[length]) - 1)] if len(self.known[length]) else np.zeros(n, bool)
+            total[found] += self.arc[length][gram[found]]
+            fails = stands & ~found
+            total[fails] += self.fail[length - 1][context[fails]]
+            order[found], order[fails] = -1, length - 1
+        rest = order == 0
+        total[rest] += self.arc[0][grams.word[rest]]
+        return total
+
+
+def _finish(n_train: int, n_types: int, buckets: int):
+    def finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
+        grams = _Grams(payload)
+        bounds = grams.bounds(buckets)
+        totals = [np.zeros(len(x), np.int64) for x in grams.names]
         for b in range(buckets):
-            parts = B.split_parts(B.reply(replies, b))
-            words, pairs, after, hots = (_large(x) for x in parts)
-            for total, edge, values in zip(totals, bounds, (words, pairs, hots)):
-                total[edge[b] : edge[b + 1]] = values
-            own = own_context[bounds[1][b] : bounds[1][b + 1]]
-            first = runs(own)
-            followers[bounds[1][b] : bounds[1][b + 1]] = np.repeat(after, np.diff(np.append(first, len(own))))
-        back = lists[0][2]
-        count = totals[0][back[: len(t.word)]]
-        before = np.concatenate([back[len(t.word) : len(t.word) + 1], back[: len(t.word) - 1]])
-        before[t.first] = back[len(t.word)]  # the start of a text
-        context = totals[0][before]
-        pair, after = np.zeros(len(t.word), np.int64), np.zeros(len(t.word), np.int64)
-        pair[~t.hot], after[~t.hot] = totals[1][lists[1][2]], followers[lists[1][2]]
-        pair[t.hot] = totals[2][lists[2][2]]
-        after[t.hot] = hot_followers[t.hot_index[t.hot]]
-        root = np.log10((count + 1) / (n_train + n_types + 1))
-        seen, open_ = pair > 0, np.maximum(context + after, 1)
-        with np.errstate(divide="ignore"):
-            arc = np.log10((pair + after * 10.0**root) / open_)
-            failure = np.where(context > 0, np.log10(np.maximum(after, 1) / open_), 0.0)
-        steps = np.where(seen, arc, failure + root)
+            for total, edge, part in zip(totals, bounds, B.split_parts(B.unsqueeze(B.reply(replies, b)))):
+                total[edge[b] : edge[b + 1]] = _large(part)
+        count = totals[0][grams.word]
+        steps = _Automaton(grams, totals, n_train, n_types).walk(grams)
         return pa.table(
             {
-                "doc_id": block.column("doc_id").cast(pa.int64()),
-                "train": block.column("train"),
-                "n_tokens": t.count,
-                "n_known": np.add.reduceat((count > 0).astype(np.int64), t.first),
-                "log_counts": np.add.reduceat(np.log10(count + 1.0), t.first),
-                "score": np.add.reduceat(steps, t.first),
+                "doc_id": pa.array(grams.doc, pa.int64(), mask=grams.null),
+                "train": grams.train,
+                "n_tokens": grams.count,
+                "n_known": np.add.reduceat((count > 0).astype(np.int64), grams.first),
+                "log_counts": np.add.reduceat(np.log10(count + 1.0), grams.first),
+                "score": np.add.reduceat(steps, grams.first),
             }
         )
 
     return finish
 
 
-def _hot_words(docs: DataFrame, sizes: B.Plan) -> np.ndarray:
-    """Contexts with over 1/HOT of all training tokens. Such a word has that share in some block too, so each block names
-    its own few and their counts are summed over all blocks that name them."""
-
-    def task(batches):
-        for block in B.cut_blocks(batches, "text", sizes.block_bytes):
-            t = _Tokens(block, np.zeros(0, U))
-            names, counts, _ = _counted(t.context, t.train[t.text].astype(np.float64))
-            own = counts * HOT > counts.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(names[own], U(0)).astype(np.int64)), pa.array(np.append(counts[own], counts.sum()))], ["name", "n"])
-
-    rows = cut(docs.mapInArrow(task, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")))
-    whole = rows.where("name = 0").agg(F.sum("n")).first()[0] or 0
-    hot = rows.where(F.col("name") != 0).where(F.col("n") * HOT > whole).select("name").collect()
-    return np.sort(np.array([r.name for r in hot], np.int64).astype(U))
-
-
 def score_texts(docs: DataFrame, train: Column, block_bytes: int | None = None) -> DataFrame:
     """Per row: n_tokens, n_known, log_counts (sum of log10(c+1) over its tokens), n_train and n_types of the model, and
     score, the log10 probability that the automaton gives to the text. `train` says which rows are learned from."""
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"))
     sizes = B.plan(docs, block_bytes)
-    hot = _hot_words(docs, sizes)
-    sent = B.send(docs, sizes, _make(hot, sizes.buckets))
-    answers = cut(B.answer(sent, _reduce(len(hot)), "kind long, name long, n long"))
-    figures = {(r.kind, r.name): r.n for r in answers.where("bucket = -1").groupBy("kind", "name").agg(F.sum("n").alias("n")).collect()}
-    followers = np.array([figures.get((2, i), 0) for i in range(len(hot))], np.int64)
-    n_train, n_types = figures.get((0, 0), 0), figures.get((1, 0), 0)
-    out = B.meet(docs, answers.where("bucket >= 0"), sizes, _finish(hot, followers, n_train, n_types, sizes.buckets), SCHEMA)
+    blocks = B.cut_once(docs, sizes, _state)
+    answers = cut(B.answer(B.send(blocks, _make(sizes.buckets)), _reduce, "kind long, n long"))
+    figures = {r.kind: r.n for r in answers.where("bucket = -1").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    n_train, n_types = figures.get(0, 0), figures.get(1, 0)
+    out = B.meet(blocks, answers.where("bucket >= 0"), _finish(n_train, n_types, sizes.buckets), SCHEMA)
     return out.withColumns({"n_train": F.lit(n_train).cast("long"), "n_types": F.lit(n_types).cast("long")})
 
 
@@ -237,35 +232,49 @@ def base_score() -> Column:
 
 
 class BackoffAutomaton:
-    """The same automaton over a small text collection, walked one token at a time; the whole-corpus form is held against it."""
+    """The same automaton over a small text collection, built of explicit states and arcs and walked one token at a time: the
+    whole-corpus form is held against it. A state is a tuple of words, the longest last."""
 
     def __init__(self, texts: list[str | None]):
-        self.words, self.pairs, self.contexts, self.after = {}, {}, {}, {}
+        self.arcs: dict[tuple, dict[bytes, int]] = {(): {}}
         for text in texts:
-            h: bytes | None = b" start"
+            history: tuple = (b" start",)
             for w in self.tokens(text):
-                self.words[w] = self.words.get(w, 0) + 1
-                self.contexts[h] = self.contexts.get(h, 0) + 1
-                if (h, w) not in self.pairs:
-                    self.after[h] = self.after.get(h, 0) + 1
-                self.pairs[h, w] = self.pairs.get((h, w), 0) + 1
-                h = w
-        self.n, self.types = sum(self.words.values()), len(self.words)
+                for k in range(len(history) + 1):
+                    arcs = self.arcs.setdefault(history[k:], {})
+                    arcs[w] = arcs.get(w, 0) + 1
+                history = (*history, w)[1 - ORDER :]
+        self.n, self.types = sum(self.arcs[()].values()), len(self.arcs[()])
 
     @staticmethod
     def tokens(text: str | None) -> list[bytes]:
         return [*(text or "").encode().lower().split(), b" end"]
 
-    def root(self, w: bytes) -> float:
-        return math.log10((self.words.get(w, 0) + 1) / (self.n + self.types + 1))
+    def probability(self, state: tuple, w: bytes) -> float:
+        arcs = self.arcs.get(state, {})
+        if not state:
+            return (arcs.get(w, 0) + 1) / (self.n + self.types + 1)
+        k = PRIOR[len(state) - 1]
+        return (arcs.get(w, 0) + k * self.probability(state[1:], w)) / (sum(arcs.values()) + k)
+
+    def longest(self, history: tuple) -> tuple:
+        """The longest end of a history that is a state."""
+        while history and history not in self.arcs:
+            history = history[1:]
+        return history
+
+    def step(self, state: tuple, w: bytes) -> tuple[float, tuple]:
+        """(log10 probability of w, next state): failure arcs until a state has an arc for w."""
+        weight, at = 0.0, state
+        while at and w not in self.arcs[at]:
+            k = PRIOR[len(at) - 1]
+            weight += math.log10(k / (sum(self.arcs[at].values()) + k))
+            at = self.longest(at[1:])
+        return weight + math.log10(self.probability(at, w)), self.longest((*state, w)[1 - ORDER :])
 
     def score(self, text: str | None) -> float:
-        state, total = b" start", 0.0
+        state, total = self.longest((b" start",)), 0.0
         for w in self.tokens(text):
-            c, t = self.contexts.get(state, 0), self.after.get(state, 0)
-            if (state, w) in self.pairs:
-                total += math.log10((self.pairs[state, w] + t * 10 ** self.root(w)) / (c + t))
-            else:
-                total += (math.log10(t / (c + t)) if c else 0.0) + self.root(w)
-            state = w
+            weight, state = self.step(state, w)
+            total += weight
         return total

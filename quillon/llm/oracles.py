@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from quillon.llm import mixing
+from quillon.llm import lm, mixing
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,7 +72,33 @@ nh AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, u
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 """.replace("{low}", _LOW)
 
+#: crc32 of the digits of doc_id: a step for each byte, then one for each of its bits.
+CRC = """xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda x, y: CASE WHEN y < 0 THEN xor(x >> 1, (x & 1) * 3988292384) ELSE xor(x, y::BIGINT) END, 4294967295::BIGINT), 4294967295)"""
+
+MODEL = rf"""
+t AS (SELECT row_number() OVER () AS r, doc_id, coalesce({CRC} % 7 = 2, false) AS held, list_append(regexp_extract_all({_LOW}, {WORDS}), ' end') AS w FROM documents),
+tok AS (
+  SELECT r, held, w[i] AS w, CASE WHEN i = 1 THEN ' start' ELSE w[i - 1] END AS v, CASE WHEN i = 2 THEN ' start' WHEN i > 2 THEN w[i - 2] END AS u
+  FROM (SELECT r, held, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+c1 AS (SELECT w, count(*) AS c1 FROM tok WHERE NOT held GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c2 FROM tok WHERE NOT held GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c3 FROM tok WHERE NOT held AND u IS NOT NULL GROUP BY u, v, w),
+h1 AS (SELECT v, count(*) AS h1 FROM tok WHERE NOT held GROUP BY v),
+h2 AS (SELECT u, v, count(*) AS h2 FROM tok WHERE NOT held AND u IS NOT NULL GROUP BY u, v),
+n AS (SELECT coalesce(sum(c1), 0)::BIGINT AS n, count(*) AS types FROM c1),
+p AS (
+  SELECT r, coalesce(c1, 0) AS c1, n, types, u, (coalesce(c1, 0) + 1) / (n + types + 1)::DOUBLE AS p1, coalesce(c2, 0) AS c2, coalesce(h1, 0) AS h1, coalesce(c3, 0) AS c3, coalesce(h2, 0) AS h2
+  FROM tok LEFT JOIN c1 USING (w) LEFT JOIN c2 USING (v, w) LEFT JOIN c3 USING (u, v, w) LEFT JOIN h1 USING (v) LEFT JOIN h2 USING (u, v), n),
+q AS (SELECT *, (c2 + {lm.PRIOR[0]} * p1) / (h1 + {lm.PRIOR[0]}) AS p2 FROM p),
+s AS (
+  SELECT r, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, any_value(n) AS train_tokens, sum(log10(p1)) AS base_score,
+    sum(log10(CASE WHEN u IS NULL THEN p2 ELSE (c3 + {lm.PRIOR[1]} * p2) / (h2 + {lm.PRIOR[1]}) END)) AS score FROM q GROUP BY r)
+"""
+
 SQL = {
+    "op1_lm_score": f"""WITH {MODEL}
+SELECT doc_id, held AS held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM t JOIN s USING (r)""",
     "op2_minhash_dedup": f"""WITH RECURSIVE {NEAR}
 SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, documents.doc_id = component_id AS kept
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN comp ON comp.doc_id = documents.doc_id""",

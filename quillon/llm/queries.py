@@ -22,7 +22,7 @@ from quillon.shared import table
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     out = score_texts(table(spark, sf_dir, "documents"), ~held_out)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("n_train").alias("train_tokens"), base_score().alias("base_score"), "score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("n_train").alias("train_tokens"), F.round(base_score(), 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

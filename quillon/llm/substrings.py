@@ -45,8 +45,8 @@ class _Windows:
 
 
 def _make(width: int, buckets: int):
-    def make(block: pa.Table) -> list[tuple[int, bytes]]:
-        w = _Windows(block, width)
+    def make(payload: bytes) -> list[tuple[int, bytes]]:
+        w = _Windows(B.open_table(payload), width)
         h = w.h[w.sent]
         bounds, out = B.bucket_bounds(h, buckets), []
         for b in np.flatnonzero(np.diff(bounds)):
@@ -79,7 +79,8 @@ def _reduce(bucket: int, payloads: list[bytes]) -> tuple[list[bytes], dict]:
 
 
 def _finish(width: int, buckets: int):
-    def finish(block: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+    def finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
+        block = B.open_table(payload)
         w = _Windows(block, width)
         bounds = B.bucket_bounds(w.h[w.sent], buckets)
         for b in np.flatnonzero(np.diff(bounds)):
@@ -120,5 +121,5 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int | Non
     """Per row: n_words, n_removed, the removed word intervals (end exclusive), and the kept words joined by one space."""
     docs = docs.select("doc_id", "text")
     sizes = B.plan(docs, block_bytes)
-    sent = B.send(docs, sizes, _make(width, sizes.buckets))
-    return B.meet(docs, B.answer(sent, _reduce), sizes, _finish(width, sizes.buckets), SCHEMA)
+    blocks = B.cut_once(docs, sizes)
+    return B.meet(blocks, B.answer(B.send(blocks, _make(width, sizes.buckets)), _reduce), _finish(width, sizes.buckets), SCHEMA)
