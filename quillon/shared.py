@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is named, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir. Where none is named, a local master gets a folder of our own, as in
+    tests; any other raises, as a temporary folder would be another one on each machine."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return named or context.getCheckpointDir()
 
