@@ -37,8 +37,9 @@ from quillon.llm.words import U, Words, mix
 from quillon.shared import cut
 
 ORDER = 3
-#: Strength k of the prior at contexts of one and two words, in occurrences.
-PRIOR = (4.0, 2.0)
+#: Strength k of the prior at contexts of one and two words, in occurrences: log10 a token of held-out texts at sf0.1 is -3.88 with
+#: these, -4.20 with (16, 8) and -3.92 with (1000, 300).
+PRIOR = (1000.0, 30.0)
 END, START = U(0x51ED270B0C7A4C9D), U(0xA3B195354A39B70D)
 _PAIR, _TRIPLE = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double"
