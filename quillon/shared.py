@@ -20,10 +20,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+#: Shuffle files of a plan are removed when it has run.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder: later readers neither recompute it nor depend on an executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute df once into the shared checkpoint folder: later readers neither recompute it nor depend on an executor. The
+    shuffle files of its plan are needed no more and are removed."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under the setting
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
