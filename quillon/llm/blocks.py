@@ -113,14 +113,12 @@ def bucket_bounds(ordered: np.ndarray, buckets: int, low_bits: int = 0) -> np.nd
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as differences of 6 or 8 bytes."""
+    """Sorted 64-bit values as differences of as many bytes as the largest needs."""
     if not len(values):
         return b"\x08"
     steps = np.diff(values, prepend=values[:1])
-    head = int(values[0]).to_bytes(8, "little")
-    if int(steps.max()) < 1 << 48:
-        return b"\x06" + head + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return b"\x08" + head + steps.astype("<u8").tobytes()
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + int(values[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_sorted(packed: bytes) -> np.ndarray:

@@ -10,11 +10,10 @@ Smoothing is by Dirichlet priors (MacKay and Peto, 1995): P(w|h) = (c(hw) + k P(
 word and k from `PRIOR`; at the root P(w) = (c(w) + 1) / (N + V + 1). So each state's probabilities sum to one, with one share for
 all unknown words together, and an unseen word has k / (c(h) + k), the failure arc's mass, of what h' gives it.
 
-The model is of the whole training side and grows with it; nothing of it is sent to every task. A block of texts is kept as word
-codes, so the texts are read once; its words, pairs and triples are counted by block exchange (see blocks.py), by hashes of 64 bits
-that fall evenly on the buckets, however frequent a word is. With the counts of its own n-grams a block has the part of the
-automaton that its texts can reach, and all places of its texts walk there together: the state before a place is the longest
-known context there, and a walk is at most two failure arcs and one arc.
+The model is of the whole training side and grows with it; nothing of it is sent to every task. Words and pairs, and then triples,
+are counted by block exchange (see blocks.py), by hashes of 64 bits that fall evenly on the buckets, however frequent a word is.
+With the counts of its own n-grams a block has the part of the automaton that its texts can reach, and all places of its texts walk
+there together: the state before a place is the longest known context there, and a walk is at most two failure arcs and one arc.
 
 Two n-grams of n are taken for one with probability n**2 / 2**65: at 100 TB (some 10**12 different triples) for about 3 in 10**8 of them.
 
@@ -25,7 +24,6 @@ is in training (its crc32 is null); an empty training side gives the uniform sha
 from __future__ import annotations
 
 import math
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -40,65 +38,56 @@ ORDER = 3
 #: Strength k of the prior at contexts of one and two words, in occurrences: log10 a token of held-out texts at sf0.1 is -3.88 with
 #: these, -4.20 with (16, 8) and -3.92 with (1000, 300).
 PRIOR = (1000.0, 30.0)
+#: Orders that are counted together: the files of one turn are gone before the next.
+TURNS = ((1, 2), (3,))
 END, START = U(0x51ED270B0C7A4C9D), U(0xA3B195354A39B70D)
 _PAIR, _TRIPLE = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double"
 
 
-def _state(block: pa.Table) -> bytes:
-    """A block's texts as codes of its distinct words; each text has one end token behind its words."""
-    words = Words(block.column("text"), lower=True)
-    n = len(words.count)
-    last = words.before[1:] + np.arange(n)
-    every = np.empty(len(words.start) + n, U)
-    inner = np.ones(len(every), bool)
-    inner[last] = False
-    every[inner], every[last] = words.hashes(), END
-    names, code = np.unique(every, return_inverse=True)
-    ids = block.column("doc_id").cast(pa.int64()).combine_chunks()
-    state = {
-        "doc": np.asarray(ids.fill_null(0)).astype(np.int64),
-        "null": np.asarray(ids.is_null()),
-        "train": np.asarray(block.column("train")),
-        "count": (words.count + 1).astype(np.int64),
-        "names": names,
-        "code": code.astype(np.uint16 if len(names) < 1 << 16 else np.uint32),
-    }
-    return B.squeeze(pickle.dumps(state, 5))
-
-
 class _Grams:
     """A block's n-grams by order: sorted distinct hashes, own training counts, and the n-gram that ends at each place.
 
-    Order 1 also counts the start of each text; at a text's first place there is no triple, as the start is its whole context."""
+    A text's tokens are its words and one end. Order 1 also counts the start of each text; at a text's first place there is no
+    triple, as the start is its whole context."""
 
-    def __init__(self, payload: bytes):
-        own = pickle.loads(B.unsqueeze(payload))
-        self.doc, self.null, self.train, self.count = (own[k] for k in ("doc", "null", "train", "count"))
-        n = len(own["code"])
+    def __init__(self, block: pa.Table, orders: tuple[int, ...] = (1, 2, 3)):
+        words = Words(block.column("text"), lower=True)
+        self.train = np.asarray(block.column("train"))
+        self.count = words.count + 1
         self.first = np.cumsum(self.count) - self.count
+        n = len(words.start) + len(self.first)
+        word = np.empty(n, U)
+        last = self.first + words.count
+        self.inner = np.ones(n, bool)
+        self.inner[last] = False
+        word[self.inner], word[last] = words.hashes(), END
         weight = np.repeat(self.train, self.count).astype(np.float64)
-        word = own["names"][own["code"]]
         before = np.empty_like(word)
         before[1:] = word[:-1]
         before[self.first] = START
-        pair = mix(word * _PAIR ^ mix(before))
-        self.inner = np.ones(n, bool)
+        self.inner[last] = True
         self.inner[self.first] = False
         at = np.flatnonzero(self.inner)
-        triple = mix(pair[at] * _TRIPLE ^ mix(before[at - 1]))
-        starts = np.full(len(self.first), START, U)
-        names, back, counts = [], [], []
-        for keys, own_weight in ((np.concatenate([word, starts]), np.concatenate([weight, self.train.astype(np.float64)])), (pair, weight), (triple, weight[at])):
-            distinct, place = np.unique(keys, return_inverse=True)
-            names.append(distinct)
-            back.append(place)
-            counts.append(np.bincount(place, own_weight, len(distinct)).astype(np.int64))
-        self.names, self.counts = names, counts
-        self.word, self.start = back[0][:n], back[0][n] if len(self.first) else 0
-        self.pair = back[1]
-        self.triple = np.zeros(n, np.int64)
-        self.triple[at] = back[2]
+        pair = mix(word * _PAIR ^ mix(before))
+        self.names, self.counts = [], []
+        for order in orders:
+            if order == 1:
+                keys, own = np.concatenate([word, np.full(len(self.first), START, U)]), np.concatenate([weight, self.train.astype(np.float64)])
+            elif order == 2:
+                keys, own = pair, weight
+            else:
+                keys, own = mix(pair[at] * _TRIPLE ^ mix(before[at - 1])), weight[at]
+            names, place = np.unique(keys, return_inverse=True)
+            self.names.append(names)
+            self.counts.append(np.bincount(place, own, len(names)).astype(np.int64))
+            if order == 1:
+                self.word, self.start = place[:n], place[n] if len(self.first) else 0
+            elif order == 2:
+                self.pair = place
+            else:
+                self.triple = np.zeros(n, np.int64)
+                self.triple[at] = place
 
     def bounds(self, buckets: int) -> list[np.ndarray]:
         return [B.bucket_bounds(x, buckets) for x in self.names]
@@ -113,9 +102,9 @@ def _large(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
 
 
-def _make(buckets: int):
+def _make(orders: tuple[int, ...], buckets: int):
     def make(payload: bytes) -> list[tuple[int, bytes]]:
-        grams = _Grams(payload)
+        grams = _Grams(B.open_table(payload), orders)
         bounds, out = grams.bounds(buckets), []
         for b in range(buckets):
             parts = []
@@ -128,23 +117,24 @@ def _make(buckets: int):
     return make
 
 
-def _reduce(bucket: int, payloads: list[bytes]) -> tuple[list[bytes], dict]:
-    """Total counts of each block's n-grams; figures: kind 0 training tokens, 1 distinct training tokens, 2 training texts."""
-    parts = [B.split_parts(p) for p in payloads]
-    answers: list[list[bytes]] = [[] for _ in payloads]
-    figures: dict[str, list[int]] = {"kind": [], "n": []}
-    for k in range(ORDER):
-        lists = [B.unpack_sorted(p[2 * k]) for p in parts]
-        names, back = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(back, np.concatenate([_large(p[2 * k + 1]) for p in parts]), len(names)).astype(np.int64)
-        for a, place in zip(answers, np.split(back, np.cumsum([len(x) for x in lists])[:-1])):
-            a.append(_small(total[place]))
-        if k == 0:
-            words = names != START
-            for kind, n in enumerate((total[words].sum(), (total[words] > 0).sum(), total[~words].sum())):
-                figures["kind"].append(kind)
-                figures["n"].append(int(n))
-    return [B.squeeze(B.join_parts(a)) for a in answers], figures
+def _reduce(orders: tuple[int, ...]):
+    def reduce(bucket: int, payloads: list[bytes]) -> tuple[list[bytes], dict]:
+        """Total counts of each block's n-grams; figures: kind 0 training tokens, 1 distinct training tokens."""
+        parts = [B.split_parts(p) for p in payloads]
+        answers: list[list[bytes]] = [[] for _ in payloads]
+        figures: dict[str, list[int]] = {"kind": [], "n": []}
+        for k, order in enumerate(orders):
+            lists = [B.unpack_sorted(p[2 * k]) for p in parts]
+            names, back = np.unique(np.concatenate(lists), return_inverse=True)
+            total = np.bincount(back, np.concatenate([_large(p[2 * k + 1]) for p in parts]), len(names)).astype(np.int64)
+            for a, place in zip(answers, np.split(back, np.cumsum([len(x) for x in lists])[:-1])):
+                a.append(_small(total[place]))
+            if order == 1:
+                words = names != START
+                figures = {"kind": [0, 1], "n": [int(total[words].sum()), int((total[words] > 0).sum())]}
+        return [B.squeeze(B.join_parts(a)) for a in answers], figures
+
+    return reduce
 
 
 class _Automaton:
@@ -192,19 +182,22 @@ class _Automaton:
 
 def _finish(n_train: int, n_types: int, buckets: int):
     def finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
-        grams = _Grams(payload)
+        block = B.open_table(payload)
+        grams = _Grams(block)
         bounds = grams.bounds(buckets)
         totals = [np.zeros(len(x), np.int64) for x in grams.names]
-        for b in range(buckets):
-            for total, edge, part in zip(totals, bounds, B.split_parts(B.unsqueeze(B.reply(replies, b)))):
-                total[edge[b] : edge[b + 1]] = _large(part)
+        for turn, orders in enumerate(TURNS):
+            for b in range(buckets):
+                for order, part in zip(orders, B.split_parts(B.unsqueeze(B.reply(replies, turn * buckets + b)))):
+                    edge = bounds[order - 1]
+                    totals[order - 1][edge[b] : edge[b + 1]] = _large(part)
         count = totals[0][grams.word]
         steps = _Automaton(grams, totals, n_train, n_types).walk(grams)
         return pa.table(
             {
-                "doc_id": pa.array(grams.doc, pa.int64(), mask=grams.null),
-                "train": grams.train,
-                "n_tokens": grams.count,
+                "doc_id": block.column("doc_id").cast(pa.int64()),
+                "train": block.column("train"),
+                "n_tokens": grams.count.astype(np.int64),
                 "n_known": np.add.reduceat((count > 0).astype(np.int64), grams.first),
                 "log_counts": np.add.reduceat(np.log10(count + 1.0), grams.first),
                 "score": np.add.reduceat(steps, grams.first),
@@ -219,11 +212,12 @@ def score_texts(docs: DataFrame, train: Column, block_bytes: int | None = None)
     score, the log10 probability that the automaton gives to the text. `train` says which rows are learned from."""
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"))
     sizes = B.plan(docs, block_bytes)
-    blocks = B.cut_once(docs, sizes, _state)
-    answers = cut(B.answer(B.send(blocks, _make(sizes.buckets)), _reduce, "kind long, n long"))
-    figures = {r.kind: r.n for r in answers.where("bucket = -1").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    blocks = B.cut_once(docs, sizes)
+    turns = [cut(B.answer(B.send(blocks, _make(orders, sizes.buckets)), _reduce(orders), "kind long, n long")) for orders in TURNS]
+    figures = {r.kind: r.n for r in turns[0].where("bucket = -1").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     n_train, n_types = figures.get(0, 0), figures.get(1, 0)
-    out = B.meet(blocks, answers.where("bucket >= 0"), _finish(n_train, n_types, sizes.buckets), SCHEMA)
+    parts = [x.where("bucket >= 0").withColumn("bucket", F.col("bucket") + F.lit(k * sizes.buckets)) for k, x in enumerate(turns)]
+    out = B.meet(blocks, parts[0].unionByName(parts[1]), _finish(n_train, n_types, sizes.buckets), SCHEMA)
     return out.withColumns({"n_train": F.lit(n_train).cast("long"), "n_types": F.lit(n_types).cast("long")})
 
 
