@@ -4,8 +4,11 @@ A text is normalised to lower-case words of letters, digits and characters above
 of a benchmark item (a shorter item is one window). Every occurrence of a window marks its words, and marks are mapped back
 to offsets of the original text.
 
-The benchmark is read on the driver only within `max_pattern_bytes` of windows, a bound that is checked first; a larger
-benchmark is split by item into shards that meet it, each scanned by its own automaton, and hits are merged per row.
+An automaton has at most one node (some 40 bytes) for each byte of its windows. The benchmark is read on the driver only if its
+windows have at most `max_nodes` bytes, which is checked first. The windows of a larger one are dealt to shards, each of which is
+checked against that bound, so a long item is split like any other. Then the texts are still scanned once: a sorted list of
+64-bit window hashes (at most `MAX_HASHES` a scan) tells which texts hold a window at all, and the shards' automata read
+only those. A hash that two windows share adds a text to read and no hit. Hits are merged per row.
 
 Defined cases: null texts and texts without words have no hits; an item without an id or without words is ignored; items
 that repeat an id count once; every row of the input gives one row; other columns are ignored.
@@ -21,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.words import LOWER, NOT_ALNUM
+from quillon.llm.blocks import cut_blocks
+from quillon.llm.rows import sealed
+from quillon.llm.words import LOWER, NOT_ALNUM, U, Words, rolling
+from quillon.llm.words import windows as window_hashes
+from quillon.shared import cut
 
-WINDOW = 13
-MAX_PATTERN_BYTES = 16 << 20
+WINDOW, BLOCK = 13, 4 << 20
+MAX_NODES, MAX_HASHES = 4 << 20, 4 << 20
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _SPAN = "array<struct<start:long,stop:long>>"
 SCHEMA = f"doc_id long, n_words long, n_hit long, items array<string>, hits {_SPAN}, spans {_SPAN}"
@@ -41,14 +48,19 @@ def windows_of(text: str | None, width: int = WINDOW) -> list[tuple[bytes, ...]]
     return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
+def owners_of(items: list[tuple[str, str | None]], width: int = WINDOW) -> dict[bytes, set[str]]:
+    """The items of each window of a benchmark."""
+    owners: dict[bytes, set[str]] = {}
+    for item, text in items:
+        for window in windows_of(text, width):
+            owners.setdefault(b" ".join(window), set()).add(item)
+    return owners
+
+
 class Scanner:
     """The automaton; words are joined by blanks, bytes stand for characters, so matches start and end at words."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW):
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for window in windows_of(text, width):
-                owners.setdefault(b" ".join(window), set()).add(item)
+    def __init__(self, owners: dict[bytes, set[str]]):
         self.owners = [sorted(x) for x in owners.values()]
         self.sizes = [x.count(b" ") + 1 for x in owners]
         self.automaton = ahocorasick.Automaton()
@@ -89,11 +101,11 @@ def _original(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _ready: list = []
 
 
-def _scanner(items: list, width: int) -> Scanner:
-    """One automaton a worker process: of the list it was last asked for."""
-    if not _ready or _ready[0] is not items or _ready[1] != width:
-        _ready[:] = [items, width, Scanner(items, width)]
-    return _ready[2]
+def _scanner(owners: dict) -> Scanner:
+    """One automaton a worker process: of the windows it was last asked for."""
+    if not _ready or _ready[0] is not owners:
+        _ready[:] = [owners, Scanner(owners)]
+    return _ready[1]
 
 
 def _spans(pairs: list[tuple[int, int]]) -> list[dict]:
@@ -114,11 +126,11 @@ def _table(ids, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _scan(docs: DataFrame, owners: dict[bytes, set[str]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(owners)
 
     def task(batches):
-        scanner = _scanner(shared.value, width)
+        scanner = _scanner(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -132,28 +144,78 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
 
 
-def _shards(items: DataFrame, width: int, max_pattern_bytes: int) -> int:
-    total = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * width
-    return max(1, -(-total // max_pattern_bytes))
+def _small(items: DataFrame, width: int, max_nodes: int) -> bool:
+    """Whether all windows have at most max_nodes bytes: no word is in more than `width` of them."""
+    return (items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) * width <= max_nodes
+
 
+def _windows(items: DataFrame, width: int) -> DataFrame:
+    """(window, n_words, hash, items) of a benchmark, computed once."""
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    def task(batches):
+        for batch in batches:
+            rows = [(item, b" ".join(w), len(w)) for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()) for w in windows_of(text, width)]
+            names = pa.array([w for _, w, _ in rows], pa.binary())
+            words = Words(pa.array([w.decode("utf-8", "surrogateescape") for _, w, _ in rows], pa.large_string()), blank=NOT_ALNUM)
+            codes, n = words.hashes(), np.array([k for *_, k in rows], np.int64)
+            hashes = np.array([rolling(codes[a : a + k], int(k))[0] for a, k in zip(words.before, n)], U).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, *_ in rows], pa.string()), names, pa.array(n), pa.array(hashes)], ["item", "window", "n_words", "hash"])
+
+    rows = items.mapInArrow(task, "item string, window binary, n_words long, hash long")
+    return cut(rows.groupBy("window", "n_words", "hash").agg(F.collect_set("item").alias("items")))
+
+
+def _holding(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, doc_id, text) of the texts that hold a window, by hash, for each of its numbers of words."""
+    scans = max(1, -(-windows.count() // MAX_HASHES))
+    out = None
+    for k in range(scans):
+        own = windows if scans == 1 else windows.where(F.pmod(F.col("hash"), F.lit(scans)) == k)
+        by_size: dict[int, list[int]] = {}
+        for r in own.select("n_words", "hash").distinct().collect():
+            by_size.setdefault(r.n_words, []).append(r.hash)
+        shared = docs.sparkSession.sparkContext.broadcast({n: np.sort(np.array(h, np.int64).astype(U)) for n, h in by_size.items()})
+
+        def task(batches, shared=shared):
+            for block in cut_blocks(batches, "text", BLOCK):
+                words = Words(block.column("text"), lower=True, blank=NOT_ALNUM)
+                codes, keep = words.hashes(), np.zeros(block.num_rows, bool)
+                for n, known in shared.value.items():
+                    at, h = window_hashes(words, codes, n)
+                    found = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                    keep[np.searchsorted(words.before, at[found], "right") - 1] = True
+                yield from block.filter(pa.array(keep)).to_batches()
+
+        part = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(task, "key long, doc_id long, text string")
+        out = part if out is None else out.unionByName(part)
+    return cut(out.dropDuplicates(["key"]))
+
+
+def _shards(windows: DataFrame, max_nodes: int) -> tuple[DataFrame, int]:
+    """windows with a shard, none of over max_nodes bytes of windows (but for a window that has more by itself)."""
+    total = windows.agg(F.sum(F.octet_length("window") + 2)).first()[0] or 0
+    shards = max(1, -(-2 * total // max_nodes))
+    while True:
+        dealt = windows.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)))
+        if dealt.groupBy("shard").agg(F.sum(F.octet_length("window") + 2).alias("b"), F.count("*").alias("n")).where((F.col("b") > max_nodes) & (F.col("n") > 1)).isEmpty():
+            return dealt, shards
+        shards *= 2
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_nodes: int = MAX_NODES) -> DataFrame:
     """Per row: n_words, n_hit, the items that occur (sorted strings), hit runs of words, and their spans in the original text."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = _items(benchmark)
-    shards = _shards(items, width, max_pattern_bytes)
-    if shards == 1:
-        return _scan(docs, [tuple(r) for r in items.collect()], width)
+    if _small(items, width, max_nodes):
+        return _scan(docs, owners_of([tuple(r) for r in items.collect()], width))
+    windows = _windows(items, width)
+    holding, (dealt, shards) = _holding(docs, windows), _shards(windows, max_nodes)
     parts = None
     for k in range(shards):
-        own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).collect()]
-        part = _scan(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), own, width).where("n_hit > 0")
+        owners = {bytes(r.window): set(r["items"]) for r in dealt.where(F.col("shard") == k).select("window", "items").collect()}
+        part = _scan(holding.select(F.col("key").alias("doc_id"), "text"), owners).where("n_hit > 0")
         parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy(F.col("doc_id").alias("key")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.flatten(F.collect_set("hits")).alias("hits"),
-        F.flatten(F.collect_set("spans")).alias("spans"),
-    )
+    merged = parts.groupBy(F.col("doc_id").alias("key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(merged, "key", "left")
 
     def merge(batches):
@@ -172,16 +234,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ma
 
 
 def apply(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs, all columns, without contaminated rows."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    """docs, all columns whatever their names are, without contaminated rows."""
     items = _items(benchmark)
-    if _shards(items, width, MAX_PATTERN_BYTES) > 1:
-        bad = decontaminate(keyed, benchmark, width).where(contaminated()).select(F.col("doc_id").alias("decontam_row")).distinct()
-        return docs.withColumn("decontam_row", F.xxhash64("doc_id", "text")).join(bad, "decontam_row", "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    docs, names = sealed(docs)
+    if not _small(items, width, MAX_NODES):
+        keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+        bad = decontaminate(keyed, benchmark, width, MAX_NODES).where(contaminated()).select(F.col("doc_id").alias("key")).distinct()
+        return docs.withColumn("key", F.xxhash64("doc_id", "text")).join(bad, "key", "left_anti").select(*docs.columns).toDF(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(owners_of([tuple(r) for r in items.collect()], width))
 
     def task(batches):
-        scanner = _scanner(shared.value, width)
+        scanner = _scanner(shared.value)
         for batch in batches:
             keep = []
             for text in batch.column("text"):
@@ -190,7 +253,7 @@ def apply(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
                 keep.append(not (n_hit and 20 * n_hit >= n))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(task, docs.schema).toDF(*names)
 
 
 def contaminated():

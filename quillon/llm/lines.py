@@ -16,7 +16,8 @@ line that a third of all documents hold costs one entry a block; buckets answer
 and whether an earlier place exists. A rank is its bucket in the high bits and an offset below, so no global sums are needed.
 
 Defined cases: null and blank texts have no lines; rows that share an id share its line numbers, so the lesser number is the
-earlier; a null id comes after all others; equal places keep their lines; `apply` carries other columns as they are.
+earlier; a null id comes after all others; equal places keep their lines; `apply` carries other columns as they are and drops
+the rows of which copies left fewer than `LEAST_LEFT` words (texts that lost nothing stay, however short).
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import blocks as B
+from quillon.llm.rows import sealed
 from quillon.llm.words import U, Words
 from quillon.shared import cut
 
 MIN_WORDS = 8
+#: Words that must be left of a text that lost lines, for `apply` to keep its row: as many as the quality rules ask for.
+LEAST_LEFT = 10
 LAST = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_lines long, n_removed long, n_chars_removed long, kept_text string"
 _NEWLINE = np.arange(256) == 0x0A
@@ -229,16 +233,19 @@ def _finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
     )
 
 
-def _finish_rows(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
-    block = B.open_table(payload)
-    n_lines, n_removed, texts = _kept(block, replies)
-    new = {"text": pa.array([x if n else old for x, n, old in zip(texts, n_removed, block.column("text").to_pylist())], block.schema.field("text").type)}
-    if "n_chars" in block.column_names:
-        old = block.column("n_chars").to_pylist()
-        new["n_chars"] = pa.array([len(x) if n else was for x, n, was in zip(texts, n_removed, old)], block.schema.field("n_chars").type)
-    for name, column in new.items():
-        block = block.set_column(block.column_names.index(name), name, column)
-    return block.filter(pa.array((n_lines == 0) | (n_removed < n_lines)))
+def _rows_left(least_left: int):
+    def finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
+        block = B.open_table(payload)
+        _, n_removed, texts = _kept(block, replies)
+        new = {"text": pa.array([x if n else old for x, n, old in zip(texts, n_removed, block.column("text").to_pylist())], block.schema.field("text").type)}
+        if "n_chars" in block.column_names:
+            old = block.column("n_chars").to_pylist()
+            new["n_chars"] = pa.array([len(x) if n else was for x, n, was in zip(texts, n_removed, old)], block.schema.field("n_chars").type)
+        for name, column in new.items():
+            block = block.set_column(block.column_names.index(name), name, column)
+        return block.filter(pa.array((n_removed == 0) | (Words(block.column("text")).count >= least_left)))
+
+    return finish
 
 
 def _blank(line: str) -> bool:
@@ -279,6 +286,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int |
     return _run(docs.select("doc_id", "text"), _finish, SCHEMA, min_words, block_bytes)
 
 
-def apply(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int | None = None) -> DataFrame:
-    """docs, all columns, with the text (and n_chars, if there) that stays; rows whose every line is a later copy go."""
-    return _run(docs, _finish_rows, docs.schema, min_words, block_bytes)
+def apply(docs: DataFrame, min_words: int = MIN_WORDS, least_left: int = LEAST_LEFT, block_bytes: int | None = None) -> DataFrame:
+    """docs, all columns whatever their names are, with the text (and n_chars, if there) that stays. Rows that lost lines and have
+    fewer than least_left words left go: what remains of a copy is no document."""
+    docs, names = sealed(docs)
+    return _run(docs, _rows_left(least_left), docs.schema, min_words, block_bytes).toDF(*names)

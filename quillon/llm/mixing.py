@@ -15,7 +15,7 @@ if they are at most `BROADCAST_CELLS`, which is counted first; beyond that by a
 
 Defined cases: a null source, language or topic is a category of its own, "(none)"; a null or blank text has no tokens, and a cell
 without tokens has weight 0 and keeps nothing; rows that share an id share their draw; a null id draws by its text; an empty
-table gives no rows; other columns are carried along.
+table gives no rows; other columns are carried along, those with the name of an added one under `<name>_input`.
 """
 
 from __future__ import annotations
@@ -24,9 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.llm.rows import sealed
 from quillon.shared import cut
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Columns that mix adds.
+ADDED = (*(f"mix_{d}" for d in DIMENSIONS), "mix_tokens", "mix_weight", "mix_prob", "mix_kept")
 #: Target of a category: its share of tokens to this power, normalised (1 keeps the shares, 0 makes them equal).
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 PASSES = 8
@@ -50,9 +53,21 @@ def topic(text: str = "text", tokens: str = "mix_tokens") -> Column:
     )
 
 
+def input_names(columns: list[str]) -> list[str]:
+    """Names under which input columns are carried on: one that is called as an added column becomes <name>_input."""
+    out, taken = [], {*columns, *ADDED}
+    for c in columns:
+        name = c
+        while name in ADDED or (name != c and name in taken):
+            name += "_input"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def measured(docs: DataFrame, topic_column: str | None = None) -> DataFrame:
-    """docs with mix_tokens and the names of their cell."""
-    docs = docs.withColumn("mix_tokens", n_tokens())
+    """docs with mix_tokens and the names of their cell. topic_column names a column of docs that holds the topic."""
+    docs = docs.toDF(*input_names(docs.columns)).withColumn("mix_tokens", n_tokens())
     kind = F.col(topic_column) if topic_column else topic()
     name = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     return docs.withColumns({"mix_source": name(F.col("source")), "mix_lang": name(F.col("lang")), "mix_topic": name(kind)})
@@ -125,6 +140,14 @@ def mix(docs: DataFrame, topic_column: str | None = None, powers: dict[str, floa
     return out.withColumn("mix_kept", draw() < F.col("mix_prob"))
 
 
+def apply(docs: DataFrame) -> DataFrame:
+    """The rows that the draw keeps, all columns whatever their names are (see input_names), with mix_tokens, mix_weight and mix_prob."""
+    inner, names = sealed(docs)
+    kept = mix(inner).where("mix_kept")
+    out = kept.select(*inner.columns, "mix_tokens", F.round("mix_weight", 6), F.round("mix_prob", 6))
+    return out.toDF(*input_names(names), "mix_tokens", "mix_weight", "mix_prob")
+
+
 def oracle(passes: int = PASSES, powers: dict[str, float] = POWERS) -> str:
     """DuckDB SQL of the same mix over `documents`."""
     steps, last = [], "c0"

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.blocks import cut_blocks
 from quillon.llm.graph import components, spread, stream_groups
+from quillon.llm.rows import sealed
 from quillon.llm.words import U, Words, mix, rolling, runs
 from quillon.shared import cut
 
@@ -224,9 +225,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """docs, all columns: of each component the row of the least id stays (rows without an id come last, and equal rows
-    are one), and rows without words."""
+    """docs, all columns whatever their names are: of each component one row stays, that of the least id (rows without an id come
+    last). Of rows with equal id and text one stays, the least by a hash of all its columns; they are brought together before the
+    join, a task's own copies first. Rows without words all stay."""
     rows, labelled = _classes(docs)
-    kept = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row").alias("near_row"))
-    kept = kept.unionByName(rows.where("n_shingles = 0").select(F.col("row").alias("near_row"))).distinct()
-    return docs.withColumn("near_row", F.xxhash64("doc_id", "text")).join(kept, "near_row", "left_semi").select(*docs.columns)
+    kept = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row").alias("key"))
+    kept = kept.unionByName(rows.where("n_shingles = 0").select(F.col("row").alias("key"))).distinct()
+    whole, names = sealed(docs)
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = whole.select(F.xxhash64("doc_id", "text").alias("key"), F.when(has_words, F.lit(-1)).otherwise(F.monotonically_increasing_id()).alias("lone"), F.xxhash64(*whole.columns).alias("order"), F.struct(*whole.columns).alias("all"))
+    return keyed.groupBy("key", "lone").agg(F.min_by("all", "order").alias("all")).join(kept, "key", "left_semi").select("all.*").toDF(*names)

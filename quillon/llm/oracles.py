@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from quillon.llm import lm, mixing
+from quillon.llm import lines, lm, mixing
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -133,7 +133,7 @@ def pipeline() -> str:
         f"SELECT * FROM documents WHERE doc_id IN (WITH {QUALITY} SELECT doc_id FROM f WHERE failed = 0)",
         f"""SELECT x.doc_id, CASE WHEN y.n_removed > 0 THEN y.new_text ELSE x.text END AS text, x.lang, x.source, CASE WHEN y.n_removed > 0 THEN length(y.new_text)::BIGINT ELSE x.n_chars END AS n_chars
 FROM documents x LEFT JOIN (WITH {LINES} SELECT nl.doc_id, n_lines, n_removed, coalesce(kept.text, '') AS new_text FROM nl JOIN kept ON kept.doc_id = nl.doc_id) y ON y.doc_id = x.doc_id
-WHERE y.n_lines IS NULL OR y.n_removed < y.n_lines""",
+WHERE coalesce(y.n_removed, 0) = 0 OR len(regexp_extract_all(y.new_text, {WORDS})) >= {lines.LEAST_LEFT}""",
         f"SELECT * FROM documents WHERE doc_id IN (WITH RECURSIVE {NEAR} SELECT component_id FROM comp)",
         f"SELECT * FROM documents WHERE doc_id NOT IN (WITH {BENCH} SELECT d.doc_id FROM d JOIN nh ON nh.doc_id = d.doc_id WHERE 20 * n_hit >= len(w))",
     ]

@@ -9,7 +9,7 @@ The field is trained on the driver from `labelled_table`, some hundred tagged ph
 maximum likelihood (forward-backward in numpy). Decoding is Viterbi over batches of word windows. A window reaches `REACH` words to
 either side of each word that has a digit, an @, a cue, "dot" or a bracketed "at" (`_OPEN`). A bare "at" opens none: every spelled-out
 address has one of the others within reach, and "laughed at him" has not. Words of over `LONG` characters (JSON, URLs, text without
-spaces) are read in parts: split at punctuation, and parts that are still longer, or mix Latin letters or digits with other scripts, at changes of class
+spaces) and keys with a value are read in parts: split at punctuation, and parts that are still longer, or mix Latin letters or digits with other scripts, at changes of class
 (`parts`). What stays longer has no number set apart in it.
 
 Defined cases: a null or empty text has no spans; every row gives one row; other columns are ignored. Time is linear in the
@@ -47,6 +47,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _PART = re.compile(r"""[^\x00-\x20\x7F"'`,;:=&?/|<>{}\[\]\\!#$%*~^]+""")
+_KEYED = re.compile(r"""[^\W_]["']?[:=]["']|[^\W_]=[+(]*[^\W_]""")
 _UNIT = re.compile(
     r"([0-9]*+[A-Za-z\xC0-\u024F][0-9A-Za-z\xC0-\u024F]*+)"  # Latin letters and digits
     r"|[+(]*+[0-9]++(?:[().+-]{1,2}+[0-9]++)*+"  # digits with the marks of a number
@@ -103,9 +104,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """The word at a to b as the field reads it: whole, or if it is long in parts."""
+    """The word at a to b as the field reads it: whole, or in parts if it is long or a key with a value."""
     if b - a <= LONG:
-        return [(a, b)]
+        return [m.span() for m in _PART.finditer(text, a, b)] or [(a, b)] if _KEYED.search(text, a, b) else [(a, b)]
     own = [m.span() for m in _PART.finditer(text, a, b)]
     if len(own) < 2:
         own = [(a, b)]
@@ -127,7 +128,7 @@ def _formed(text: str, kind: str, a: int, b: int, own: list[tuple[int, int]]) ->
 
 def shape(word: str) -> str:
     """Letters as X and x, digits as 9; three or more alike as two and a +."""
-    out = re.sub("[0-9]", "9", re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", word[:40]))
+    out = re.sub("[0-9]", "9", re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", word))
     return re.sub(r"(.)\1{2,}", r"\1\1+", out)
 
 
@@ -219,6 +220,8 @@ def labelled_table(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[s
         else:
             own = nothing()
             tags = ["O"] * len(own)
+        if len(own) == 1 and r.random() < 0.3:  # quoted, in brackets, or as the value of a key
+            own[0] = pick(('"{}"', "'{}'", "({})", "<{}>", f'"{word()}":"{{}}"', f"{word()}={{}}", f"{word()}:{{}}")).replace("{}", own[0])
         own[-1] = end(own[-1])
         out.append((before + own + after, ["O"] * len(before) + tags + ["O"] * len(after)))
     return out

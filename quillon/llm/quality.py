@@ -10,8 +10,6 @@ gives one row, with repeated or null ids as they are; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.blocks import cut_blocks
+from quillon.llm.rows import sealed
 from quillon.llm.words import BLANK, U, Words, mix, rolling, runs
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -108,19 +107,19 @@ def judge(entries: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def apply(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of docs that the policy keeps, with all their columns."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__quality_{f.name}", f.dataType) for f in T._parse_datatype_string(SCHEMA).fields[1:]]])
+    """The rows of docs that the policy keeps, with all their columns, whatever their names are."""
+    docs, names = sealed(docs)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(f.name, f.dataType) for f in T._parse_datatype_string(SCHEMA).fields[1:]]])
 
     def task(batches):
         for block in cut_blocks(batches, "text", BLOCK):
             measured = _measure(block)
             for name in measured.column_names[1:]:
-                block = block.append_column(f"__quality_{name}", measured.column(name))
+                block = block.append_column(name, measured.column(name))
             yield from block.to_batches()
 
-    rules = [(name, re.sub(r"\b(n_\w+|word_chars)\b", r"__quality_\1", test)) for name, test in RULES]
-    kept = docs.mapInArrow(task, schema).where(failed_mask(rules).bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
-    return kept.select(*docs.columns)
+    kept = docs.mapInArrow(task, schema).where(failed_mask().bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
+    return kept.select(*docs.columns).toDF(*names)
 
 
 def ablate(entries: DataFrame, policy: str = "v1") -> DataFrame:

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.blocks import cut_blocks
 from quillon.llm.nets import Adam, platt, sigmoid
-from quillon.llm.words import Words
 
 KINDS = ("assign", "access", "hex", "other")
 BEFORE, INSIDE, AFTER, STRIDE = 24, 48, 8, 24
@@ -38,8 +37,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+")
 _PART = re.compile(r"(?<=[/.=+-])[A-Za-z0-9_]{16,}+")
-_SAID = re.compile(r"""(?ai:password|passwd|passphrase|pwd|secret|token|api[ _-]?key)(?:\x20(?:is|was)|\x20?(?:->|=>))\x20["']?([^\x00-\x20"']{6,64})""")
-_NAMED = (b"passw", b"passp", b"pwd", b"secret", b"token", b"api", b"akia")
+_SAID = re.compile(r"""(?ai:password|passwd|passphrase|pwd|secret|token|api[ _-]?key)(?:\x20(?:is|was)|\x20?(?:->|=>))\x20["']?([^\x00-\x20"']{6,}+)""")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -55,7 +53,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     out, done = [], 0
     borders = sorted((a, b) for _, a, b in base)
     k = 0
-    for a, b in sorted(spans):
+    for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
         while k < len(borders) and borders[k][1] <= a:
             k += 1
         if a >= done and (k == len(borders) or b <= borders[k][0]):
@@ -141,6 +139,12 @@ class Net:
     def scores(self, codes: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * self.logits(codes) + self.offset)
 
+    def highest(self, places: list[tuple[str, int, int]]) -> np.ndarray:
+        """The highest logit of each candidate's windows."""
+        at = [windows(*p) for p in places]
+        logits = self.logits(np.stack([encode(*p, x) for p, own in zip(places, at) for x in own])) if places else np.zeros(0)
+        return np.maximum.reduceat(logits, np.cumsum([0, *map(len, at[:-1])])) if places else logits
+
 
 def labelled_findings(n: int = 4000, seed: int = 21) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label) by rule: keys of several alphabets, and strings of the same length that are none."""
@@ -152,8 +156,11 @@ def labelled_findings(n: int = 4000, seed: int = 21) -> list[tuple[str, int, int
     word = lambda: "".join(pick(syllable) for _ in range(int(r.integers(1, 4))))
     long_word = lambda: "".join(pick(syllable) for _ in range(int(r.integers(5, 9))))
 
+    def path() -> str:
+        return "".join(pick((word(), word() + "_" + word(), word() + str(r.integers(9)))) + pick(("/", "/", ".", "-")) for _ in range(int(r.integers(6, 14))))
+
     def secret() -> tuple[str, str]:
-        kind = int(r.integers(9))
+        kind = int(r.integers(10))
         if kind == 0:
             return pick(('key "', "", "id ", "use ")), random(low + up + dig, 20, 48)
         if kind == 1:
@@ -170,10 +177,12 @@ def labelled_findings(n: int = 4000, seed: int = 21) -> list[tuple[str, int, int
             return pick(("bearer ", "authorization ", "credential ", "private key ")), random(low + dig, 24, 40)
         if kind == 7:
             return "", random(up + dig, 20, 40)
+        if kind == 8:  # a key behind a long path: the network reads it in windows
+            return "", path() + random(low + up + dig, 20, 40)
         return pick(("api key -> ", "token is ")), random(low + up + dig + "_-", 16, 32)
 
     def other() -> tuple[str, str]:
-        kind = int(r.integers(12))
+        kind = int(r.integers(15))
         return (
             lambda: ("", long_word() + str(r.integers(10, 99))),
             lambda: ("", "_".join(word() for _ in range(4)) + f"_{r.integers(9)}"),
@@ -187,6 +196,9 @@ def labelled_findings(n: int = 4000, seed: int = 21) -> list[tuple[str, int, int
             lambda: ("", "=" * int(r.integers(8, 20)) + word() + str(r.integers(9)) + "-" * 8),
             lambda: ("", long_word().capitalize() + "." + str(r.integers(1900, 2030))),
             lambda: ("", "".join(word().capitalize() for _ in range(4)) + str(r.integers(99))),
+            lambda: ("", path() + word() + str(r.integers(9))),
+            lambda: ("", "_".join(pick((word(), word().upper())) for _ in range(int(r.integers(6, 16)))) + f"_{r.integers(99)}"),
+            lambda: ("", "-".join(word() for _ in range(int(r.integers(6, 16)))) + f"-{r.integers(2000, 2030)}"),
         )[kind]()
 
     out = []
@@ -201,7 +213,11 @@ def labelled_findings(n: int = 4000, seed: int = 21) -> list[tuple[str, int, int
 
 def train(findings: list[tuple[str, int, int, int]], epochs: int = 8, seed: int = 5) -> Net:
     net, r = Net(seed), np.random.default_rng(seed)
-    codes = np.stack([encode(t, a, b) for t, a, b, _ in findings])
+    own = []
+    for text, a, b, label in findings:  # of a long candidate one window: that of the last part if it is a secret, else any
+        at = windows(text, a, b)
+        own.append(encode(text, a, b, (max(m.start() for m in _PART.finditer(text, a, b)) if label and _PART.search(text, a, b) else at[int(r.integers(len(at)))]) if len(at) > 1 else a))
+    codes = np.stack(own)
     labels = np.array([x[3] for x in findings], np.float32)
     out = r.random(len(labels)) < 0.25
     codes_in, labels_in, adam = codes[~out], labels[~out], Adam(net.w, 0.01)
@@ -209,8 +225,9 @@ def train(findings: list[tuple[str, int, int, int]], epochs: int = 8, seed: int
         order = r.permutation(len(codes_in))
         for a in range(0, len(order), 64):
             adam.step(net.gradients(codes_in[order[a : a + 64]], labels_in[order[a : a + 64]]))
-    net.slope, net.offset = platt(net.logits(codes[out]), labels[out], np.ones(out.sum()))
-    true = np.sort(net.scores(codes[out])[labels[out] > 0])
+    best = net.highest([(t, a, b) for (t, a, b, _), x in zip(findings, out) if x])  # as candidates are scored: by all their windows
+    net.slope, net.offset = platt(best, labels[out], np.ones(out.sum()))
+    true = np.sort(sigmoid(net.slope * best + net.offset)[labels[out] > 0])
     net.threshold = float(min(0.9, true[int((1 - RECALL) * len(true))])) if len(true) else 0.5
     return net
 
@@ -255,18 +272,8 @@ def find_secrets(docs: DataFrame, findings: list[tuple[str, int, int, int]] | No
 
     def task(batches):
         for block in cut_blocks(batches, "text", BLOCK):
-            words = Words(block.column("text"))
-            size = words.end - words.start
-            digits = np.concatenate([[0], np.cumsum((words.data >= 0x30) & (words.data <= 0x39))])
-            able = np.diff(np.concatenate([[0], np.cumsum((size >= 24) | ((size >= 16) & (digits[words.end] > digits[words.start])))])[words.before]) > 0
-            low = Words.lowered(words.data)
-            for i in np.flatnonzero(~able):
-                own = low[words.offsets[i] : words.offsets[i + 1]]
-                able[i] = any(x in own for x in _NAMED)
-            texts, which = block.column("text"), np.flatnonzero(able)
-            spans: list[list] = [[] for _ in range(block.num_rows)]
-            for i, own in zip(which, find([texts[int(i)].as_py() or "" for i in which], shared.value)):
-                spans[i] = [{"kind": k, "start": a, "stop": b, "score": s} for k, a, b, s in own]
+            found = find([x or "" for x in block.column("text").to_pylist()], shared.value)
+            spans = [[{"kind": k, "start": a, "stop": b, "score": s} for k, a, b, s in own] for own in found]
             yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(spans, _PA_SPANS)], ["doc_id", "spans"])
 
     return docs.mapInArrow(task, SCHEMA)

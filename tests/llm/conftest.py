@@ -5,6 +5,8 @@ import pytest
 LONG_WORD = "x7@a." * 8000
 #: Extra columns that carry names which operators use inside.
 CLASHING = ("block", "bucket", "payload", "node", "row", "key", "root", "label", "score", "kept", "n_words", "failed", "train", "items", "hits", "spans")
+#: More names, which only whole rows carry through the stages: also with a dot, and of columns that stages add or once added.
+STAGE_CLASHING = (*CLASHING, "near_row", "decontam_row", "__quality_n_words", "mix_tokens", "mix_weight", "a.b", "all", "lone", "order", "n_lines", "sealed_5")
 
 
 def phrase(r, n, vocabulary=400):

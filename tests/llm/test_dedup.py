@@ -121,7 +121,7 @@ def test_ranks_are_a_suffix_array(docs, block_bytes):
 def test_lines_apply_keeps_rows_and_columns(docs, rows):
     got = lines.apply(docs)
     assert got.columns == docs.columns
-    want = Counter({(d, t): n for (d, n_lines, gone, t), n in brute_lines(rows).items() if not n_lines or gone < n_lines})
+    want = Counter({(d, t): n for (d, n_lines, gone, t), n in brute_lines(rows).items() if not gone or len(words(t)) >= lines.LEAST_LEFT})
     assert Counter((r.doc_id, r.text or "") for r in got.collect()) == want
     assert all(r.n_chars == len(r.text) for r in got.collect() if r.text is not None)
 
@@ -193,10 +193,22 @@ def test_large_groups_are_dealt(docs, rows, monkeypatch, spark):
 def test_near_dup_apply_keeps_one_of_a_group(docs, rows):
     got = neardup.apply(docs)
     assert got.columns == docs.columns
-    ids = Counter(r.doc_id for r in got.collect())
-    kept = {d for (d, n, c, k), _ in brute_classes(rows).items() if k or not n}
-    assert set(ids) - {None} == kept - {None}
-    assert ids[30] == ids[31] == ids[32] == 1
+    components = {}
+    for (d, n, c, k), _ in brute_classes(rows).items():
+        if n and c is not None:
+            components.setdefault(c, set()).add(d)
+    blank = Counter(d for d, t in rows if not words(t))
+    want = Counter(dict.fromkeys(components, 1)) + blank
+    assert Counter(r.doc_id for r in got.collect()) == want
+
+
+def test_near_dup_apply_keeps_one_of_equal_rows(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    data = [(7, text, "b"), (7, text, "a"), (7, text, "a"), (9, text, "a"), (None, text, "a"), (3, None, "x"), (3, None, "x"), (4, "", "x"), (None, None, "x"), (5, "other words of some text here", "x")]
+    got = neardup.apply(spark.createDataFrame(data, "doc_id long, text string, near_row string").repartition(3))
+    left = Counter((r.doc_id, r.text, r.near_row) for r in got.collect())
+    assert sum(n for (d, t, _), n in left.items() if t == text) == 1 and {d for d, t, _ in left if t == text} == {7}
+    assert left[3, None, "x"] == 2 and left[4, "", "x"] == left[None, None, "x"] == left[5, "other words of some text here", "x"] == 1
 
 
 def test_estimate_follows_similarity():

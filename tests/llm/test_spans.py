@@ -117,9 +117,23 @@ def test_personal_data_behind_the_start_of_a_long_word(field, filler, kind, item
     assert (kind, at, at + len(item), False) in pii.find([text], field)[0]
 
 
+@pytest.mark.parametrize("dashes", [1, 20, 70, 500])
+def test_personal_data_behind_other_characters_of_its_word(field, dashes):
+    text = f"my card {'-' * dashes}7536784127813051 is new"
+    assert ("card", text.index("7"), text.index("7") + 16, False) in pii.find([text], field)[0]
+
+
+@pytest.mark.parametrize("form", ['call "zz":"{}" now', 'call phone={} now', "call '{}' now"])
+def test_quoted_and_keyed_numbers(field, form):
+    for kind, item in (("phone", "555-123-4567"), ("ssn", "123-45-6789")):
+        text = form.replace("{}", item)
+        (span,) = pii.find([text], field)[0]
+        assert span[0] == kind and item in text[span[1] : span[2]]
+
+
 def test_parts_of_long_words():
     cut = lambda w: [w[a:b] for a, b in pii.parts(w, 0, len(w))]
-    assert cut('{"ssn":"123-45-6789"}') == ['{"ssn":"123-45-6789"}']
+    assert cut('{"ssn":"123-45-6789"}') == ["ssn", "123-45-6789"]
     assert cut('{"id":"7","name":"Ren","ssn":"123-45-6789"}') == ["id", "7", "name", "Ren", "ssn", "123-45-6789"]
     assert cut("x" * 50000) == ["x" * 50000] and cut("1" * 50000) == ["1" * 50000]
     for w in ("aB3" * 5000, "x7@a." * 4000, "é1" * 3000, "(+" * 9000, "_" * 9000, "١a" * 100, "a_" * 50 + "123-45-6789"):
@@ -162,8 +176,9 @@ def net():
 
 def test_network_on_held_out_findings(net):
     table = secret_scan.labelled_findings(1500, seed=99)
-    score = net.scores(np.stack([secret_scan.encode(t, a, b) for t, a, b, _ in table]))
+    score = secret_scan.sigmoid(net.slope * net.highest([x[:3] for x in table]) + net.offset)
     y = np.array([x[3] for x in table])
+    print((score[y == 1] >= net.threshold).mean(), (score[y == 0] >= net.threshold).mean(), net.threshold)
     assert (score[y == 1] >= net.threshold).mean() > 0.95 and (score[y == 0] >= net.threshold).mean() < 0.03
 
 
@@ -194,7 +209,7 @@ def test_secrets_add_to_the_base(spark, docs, empty, rows):
     got = {r.doc_id: r.spans for r in secret_scan.find_secrets(table).collect()}
     for k, t in enumerate(SECRETS):
         assert [(s.kind, s.start, s.stop) for s in got[k] if s.kind != "other"] == secrets_by_rule(t)
-    assert {(s.start, s.stop) for s in got[100]} == {(4, 34), (48, 60)} or any(s.kind == "other" for s in got[100])
+    assert {(s.kind, s.start, s.stop) for s in got[100]} == {("other", 4, 34), ("other", 48, 60)}
     assert not got[101]
     assert Counter(r.doc_id for r in secret_scan.find_secrets(docs).collect()) == Counter(d for d, _ in rows)
     assert secret_scan.find_secrets(empty).count() == 0
@@ -208,6 +223,14 @@ def test_each_secret_pattern_alone_in_its_text(spark):
         assert want and [(s.kind, s.start, s.stop) for s in r.spans if s.kind != "other"] == want
 
 
+def test_announced_secrets_of_any_length(net):
+    r = np.random.default_rng(3)
+    for n in (8, 64, 65, 150, 700):
+        phrase = "".join("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!@#"[i] for i in r.integers(0, 59, n))
+        (span,) = [s for s in secret_scan.find([f"so my password is {phrase} keep it"], net)[0] if s[0] == "other"]
+        assert span[1:3] == (18, 18 + n)
+
+
 def test_keys_behind_the_start_of_a_candidate(net):
     path = "srv/app/config/production/payments/billing/keys/v2/"
     for key in ("sk_live_9aZ8bY7cX6dW5eV4fU3gT2", "ghp_Qm3xZ9pL2vK8sT5nR7wB4cD1", "9fK2mQ7xV4bN8zT1cR6wY3pL5dH0"):
@@ -247,12 +270,12 @@ def benchmark_rows(rows):
     return [("7", " ".join(q[10:40])), ("30", "Short, QUESTION here?"), ("4", " ".join(q[35:48])), ("5", ""), ("6", None), ("31", "short question here"), ("8", " ".join(q[:12]).upper() + "!")]
 
 
-@pytest.mark.parametrize("bound", [16 << 20, 400])
+@pytest.mark.parametrize("bound", [4 << 20, 400])
 def test_decontamination(spark, docs, rows, benchmark_rows, bound):
     extra = [(900, "x short-question;HERE y"), (901, "…" + rows[3][1].replace(" ", ", ") + " shorter question here")]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     bench = spark.createDataFrame([(int(i), t) for i, t in benchmark_rows] + [(None, "tail")], "item_id long, text string")
-    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.decontaminate(table, bench, max_pattern_bytes=bound).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.decontaminate(table, bench, max_nodes=bound).collect())
     want = Counter()
     for d, t in [*rows, *extra]:
         n, hit, found = brute_windows(t, benchmark_rows)
@@ -275,8 +298,9 @@ def test_decontam_apply(spark, docs, rows, benchmark_rows, empty, monkeypatch):
     for d, t in rows:
         n, hit, _ = brute_windows(t, benchmark_rows)
         want[d, t] += not (hit and 20 * hit >= n)
-    for bound in (16 << 20, 400):
-        monkeypatch.setattr(decontam, "MAX_PATTERN_BYTES", bound)
+    for bound, hashes in ((4 << 20, 1 << 20), (400, 10)):
+        monkeypatch.setattr(decontam, "MAX_NODES", bound)
+        monkeypatch.setattr(decontam, "MAX_HASHES", hashes)
         got = decontam.apply(docs, bench)
         assert got.columns == docs.columns and Counter((r.doc_id, r.text) for r in got.collect()) == +want
     assert decontam.apply(empty, bench).count() == 0
