@@ -9,7 +9,6 @@ document's tokens, weight and probability.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import decontam, lines, mixing, neardup, oracles, quality
 from quillon.shared import cut, table
@@ -32,8 +31,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).where("mix_kept")
-    return mixed.select(*docs.columns, "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), F.round("mix_prob", 6).alias("mix_prob"))
+    return mixing.apply(docs)
 
 
 STAGES = [
