@@ -3,26 +3,31 @@
 The lines of a text that have a word, in order, are a sequence of line ids (a hash of the line without blanks at its
 ends). Suffixes of all sequences are sorted by prefix doubling: round 0 ranks single lines, and a round from depth d to 2d
 ranks each suffix by the pair (its rank, the rank of the suffix d lines on). Suffixes that share a rank at depth d are an
-LCP interval of depth d: a run of d lines and all places where it starts. The least place (document id, line number) of
-an interval keeps its lines; at any other place the run is a later copy, and is deleted if it has `min_words` words or more.
+LCP interval of depth d: a run of d lines and all places where it starts. Rounds go on until no rank is shared, so the longest
+repeated run has ended and the ranks, which keep the order of the ids, are the whole suffix array of the repeated lines. Lines
+and suffixes that occur once leave at the first round that tells.
 
-Every line has a word, so a longer run of copies is the union of its copies of min_words lines, and a shorter one is an
-interval of its own depth. Thus doubling stops at depth min_words, and the depths between powers of two come from two
-overlapping ranks. Lines and suffixes that occur once leave at the first round that tells.
-Ranks keep the order of the ids: sorted by rank, the places are the suffix array to that depth.
+The least place (document id, line number) of an interval keeps its lines; any other place is a later copy, and keeps the depth of
+its deepest interval and the interval's least place as its source. Depths up to min_words are all tried (those between powers of two
+as two overlapping ranks), beyond it powers of two. A later copy's run is deleted if it has `min_words` words or more. As every
+line has a word, the run of a copy of more than min_words lines is the union of the intervals along it. Copies whose places and
+sources follow each other are one maximal run, a row of `runs`.
 
 A round is one block exchange (see blocks.py): blocks send each distinct pair once, with its number and least place, so a
 line that a third of all documents hold costs one entry a block; buckets answer with the new rank, whether the run repeats,
-and whether an earlier place exists. A rank is its bucket in the high bits and an offset below, so no global sums are needed.
+and where its least place is. A rank is its bucket in the high bits and an offset below, so no global sums are needed. Blocks
+without a shared rank take no part in later rounds.
 
 Defined cases: null and blank texts have no lines; rows that share an id share its line numbers, so the lesser number is the
-earlier; a null id comes after all others; equal places keep their lines; `apply` carries other columns as they are and drops
-the rows of which copies left fewer than `LEAST_LEFT` words (texts that lost nothing stay, however short).
+earlier; a null id comes after all others (a run's source is null there); equal places keep their lines; `apply` carries other
+columns as they are and drops the rows of which copies left fewer than `LEAST_LEFT` words (texts that lost nothing stay, however short).
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,11 @@ MIN_WORDS = 8
 #: Words that must be left of a text that lost lines, for `apply` to keep its row: as many as the quality rules ask for.
 LEAST_LEFT = 10
 LAST = np.iinfo(np.int64).max
-SCHEMA = "doc_id long, n_lines long, n_removed long, n_chars_removed long, kept_text string"
+_RUN = "struct<start:long,stop:long,source_id:long,source_start:long>"
+SCHEMA = f"doc_id long, n_lines long, n_removed long, n_chars_removed long, kept_text string, runs array<{_RUN}>"
+_PA_RUNS = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "stop", "source_id", "source_start")]))
+#: In the column bucket of a block's state: no rank is shared any more, or some are.
+_DONE, _SHARED = -1, -2
 _NEWLINE = np.arange(256) == 0x0A
 _SHIFT = U(40)
 
@@ -65,7 +74,9 @@ def _lines(block: pa.Table) -> dict:
 def _state(block: pa.Table) -> dict:
     lines = _lines(block)
     doc = np.asarray(block.column("doc_id").fill_null(LAST)).astype(np.int64)
-    return {"doc": doc, "total": len(lines["text"]), "at": np.arange(len(lines["text"]), dtype=np.int32), **{k: lines[k] for k in ("text", "number", "words", "hash")}, "cuts": []}
+    n = len(lines["text"])
+    own = {"doc": doc, "total": n, "at": np.arange(n, dtype=np.int32), **{k: lines[k] for k in ("text", "number", "words", "hash")}}
+    return own | {"depth": np.zeros(n, np.int32), "source": np.zeros(n, np.int64), "source_start": np.zeros(n, np.int32)}
 
 
 def _pairs(state: dict, step: int | None, depths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,15 +157,18 @@ def _reduce(step: int | None, n_lists: int):
             rank = np.zeros(len(order), U)
             rank[order] = (U(bucket) << _SHIFT) + (start[group] + 1).astype(U)
             rank[~repeats] = 0
-            for i, r, x in zip(having, *(np.split(v, np.cumsum([len(sent[i][k][0]) for i in having])[:-1]) for v in (rank, later))):
-                answers[i][k] = (r, np.packbits(x))
+            lengths = np.cumsum([len(sent[i][k][0]) for i in having])[:-1]
+            place = np.zeros(len(order), np.int64)
+            place[order] = least
+            for i, r, x, p in zip(having, *(np.split(v, lengths) for v in (rank, later, place))):
+                answers[i][k] = (r, np.packbits(x), doc[p[x]], number[p[x]])
         return [B.squeeze(pickle.dumps(a, 5)) for a in answers], {}
 
     return reduce
 
 
-def _update(step: int | None, depths: tuple[int, ...], buckets: int, min_words: int):
-    """The state after a round: ranks of the new depth, positions of later copies, and only lines that repeat."""
+def _update(step: int | None, depths: tuple[int, ...], buckets: int):
+    """The state after a round: ranks of the new depth, depths and sources of later copies, and only lines that repeat."""
 
     def update(state: dict, replies: dict[int, bytes]) -> dict:
         opened = {b: pickle.loads(B.unsqueeze(x)) for b, x in replies.items()}
@@ -162,26 +176,27 @@ def _update(step: int | None, depths: tuple[int, ...], buckets: int, min_words:
             order, start, group = _groups(state, first, second, at)
             bounds = _bounds(first[order[start]], step, buckets)
             rank, later = np.zeros(len(start), U), np.zeros(len(start), bool)
+            doc, number = state["doc"][state["text"][at[order]]], state["number"][at[order]]
+            source, source_start = doc[start], number[start]  # a block's least place of each run, or the bucket's if that is earlier
             for b in np.flatnonzero(np.diff(bounds)):
                 if k not in opened.get(int(b), {}):
-                    raise RuntimeError("a block has no answer from a bucket: the input changed between two reads")
-                r, bits = opened[int(b)][k]
+                    raise RuntimeError("a block has no answer from a bucket: its answers are not whole")
+                r, bits, least_doc, least_number = opened[int(b)][k]
                 own = slice(bounds[b], bounds[b + 1])
                 rank[own], later[own] = r, np.unpackbits(bits, count=len(r)).astype(bool)
-            ranks, late = np.zeros(len(state["hash"]), U), np.zeros(len(state["hash"]), bool)
+                earlier = bounds[b] + np.flatnonzero(later[own])
+                source[earlier], source_start[earlier] = least_doc, least_number
+            ranks = np.zeros(len(state["hash"]), U)
             ranks[at[order]] = rank[group]
-            doc, number = state["doc"][state["text"][at[order]]], state["number"][at[order]]
             head = start[group]  # in a block, all but the least place are later; the least is so if the bucket says it
-            late[at[order]] = later[group] | (doc > doc[head]) | (number > number[head])
+            late = later[group] | (doc > doc[head]) | (number > number[head])
+            place = at[order][late]
+            state["depth"][place], state["source"][place], state["source_start"][place] = depth, source[group[late]], source_start[group[late]]
             if step is None or depth == 2 * step:
                 state[f"rank{depth}"] = ranks
-            found = np.flatnonzero(late)
-            sums = np.concatenate([[0], np.cumsum(state["words"])])
-            found = found[sums[found + depth] - sums[found] >= min_words]
-            state["cuts"].append((depth, state["at"][found]))
         if step is None:
             stay = state["rank1"] != 0
-            for key in ("at", "text", "number", "words", "hash", "rank1"):
+            for key in ("at", "text", "number", "words", "hash", "rank1", "depth", "source", "source_start"):
                 state[key] = state[key][stay]
         return state
 
@@ -192,20 +207,48 @@ def _update(step: int | None, depths: tuple[int, ...], buckets: int, min_words:
                 states.append(payload)
             else:
                 replies[bucket] = payload
-        block = table.column("block")[0].as_py()
-        return pa.Table.from_batches([B._rows([(block, -1, B.squeeze(pickle.dumps(update(pickle.loads(B.unsqueeze(s)), replies), 5))) for s in states])])
+        block, out = table.column("block")[0].as_py(), []
+        for payload in states:
+            state = update(pickle.loads(B.unsqueeze(payload)), replies)
+            out.append((block, _SHARED if (state[f"rank{depths[-1]}"] != 0).any() else _DONE, B.squeeze(pickle.dumps(state, 5))))
+        return pa.Table.from_batches([B._rows(out)])
 
     return group
 
 
-def _kept(block: pa.Table, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Lines, removed lines and the text that stays, of each row."""
+def _runs(state: dict, min_words: int) -> tuple[np.ndarray, ...]:
+    """(text, start, stop, source id, source start) of the maximal runs of later copies, as far as they have min_words words."""
+    own = np.flatnonzero(state["depth"])
+    text, number, depth, at = state["text"][own], state["number"][own].astype(np.int64), state["depth"][own].astype(np.int64), state["at"][own]
+    sums = np.concatenate([[0], np.cumsum(state["all_words"])])
+    long = sums[at + depth] - sums[at] >= min_words
+    text, number, depth, source, begin = text[long], number[long], depth[long], state["source"][own][long], state["source_start"][own][long].astype(np.int64)
+    if not len(text):
+        return text, number, number, source, begin
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1] + 1) | (source[1:] != source[:-1]) | (begin[1:] != begin[:-1] + 1)
+    first = np.flatnonzero(new)
+    stop = np.maximum.reduceat(number + depth, first)
+    key = text[first].astype(np.int64) << 32
+    reach = np.maximum.accumulate(key + stop)
+    inside = np.zeros(len(first), bool)  # of a run that began before
+    inside[1:] = (key + stop)[1:] <= reach[:-1]
+    first, stop = first[~inside], stop[~inside]
+    return text[first], number[first], stop, source[first], begin[first]
+
+
+def _kept(block: pa.Table, replies: dict[int, bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, list[str], list[list[dict]]]:
+    """Lines, removed lines, the text that stays, and the runs of later copies, of each row."""
     state = pickle.loads(B.unsqueeze(B.reply(replies, 0)))
     lines = _lines(block)
+    state["all_words"] = lines["words"]
+    runs: list[list[dict]] = [[] for _ in range(block.num_rows)]
     cover = np.zeros(state["total"] + 1, np.int64)
-    for depth, at in state["cuts"]:
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + depth, -1)
+    before = np.cumsum(lines["count"]) - lines["count"]
+    for text, start, stop, source, begin in zip(*(x.tolist() for x in _runs(state, min_words))):
+        runs[text].append({"start": start, "stop": stop, "source_id": None if source == LAST else source, "source_start": begin})
+        cover[before[text] + start] += 1
+        cover[before[text] + stop] -= 1
     gone = np.cumsum(cover[:-1]) > 0
     borders = np.concatenate([[0], np.cumsum(lines["count"])])
     n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[borders])
@@ -215,28 +258,31 @@ def _kept(block: pa.Table, replies: dict[int, bytes]) -> tuple[np.ndarray, np.nd
         filled = [k for k, x in enumerate(raw) if not _blank(x)]
         out = {filled[k] for k in np.flatnonzero(gone[borders[i] : borders[i + 1]])}
         texts[i] = "\n".join(x for k, x in enumerate(raw) if k not in out)
-    return lines["count"].astype(np.int64), n_removed.astype(np.int64), texts
+    return lines["count"].astype(np.int64), n_removed.astype(np.int64), texts, runs
 
 
-def _finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
-    block = B.open_table(payload)
-    n_lines, n_removed, texts = _kept(block, replies)
-    removed = [len(a or "") - len(b) for a, b in zip(block.column("text").to_pylist(), texts)]
-    return pa.table(
-        {
-            "doc_id": block.column("doc_id").cast(pa.int64()),
-            "n_lines": n_lines,
-            "n_removed": n_removed,
-            "n_chars_removed": pa.array(removed, pa.int64()),
-            "kept_text": pa.array(texts, pa.string()),
-        }
-    )
+def _texts_left(min_words: int):
+    def finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
+        block = B.open_table(payload)
+        n_lines, n_removed, texts, runs = _kept(block, replies, min_words)
+        return pa.table(
+            {
+                "doc_id": block.column("doc_id").cast(pa.int64()),
+                "n_lines": n_lines,
+                "n_removed": n_removed,
+                "n_chars_removed": pa.array([len(a or "") - len(b) for a, b in zip(block.column("text").to_pylist(), texts)], pa.int64()),
+                "kept_text": pa.array(texts, pa.string()),
+                "runs": pa.array(runs, _PA_RUNS),
+            }
+        )
+
+    return finish
 
 
-def _rows_left(least_left: int):
+def _rows_left(min_words: int, least_left: int):
     def finish(payload: bytes, replies: dict[int, bytes]) -> pa.Table:
         block = B.open_table(payload)
-        _, n_removed, texts = _kept(block, replies)
+        _, n_removed, texts, _ = _kept(block, replies, min_words)
         new = {"text": pa.array([x if n else old for x, n, old in zip(texts, n_removed, block.column("text").to_pylist())], block.schema.field("text").type)}
         if "n_chars" in block.column_names:
             old = block.column("n_chars").to_pylist()
@@ -252,26 +298,26 @@ def _blank(line: str) -> bool:
     return not line.encode().split()
 
 
-def rounds(min_words: int) -> list[tuple[int | None, tuple[int, ...]]]:
-    """(depth of the ranks that are paired, new depths) of each round up to depth min_words."""
-    out: list[tuple[int | None, tuple[int, ...]]] = [(None, (1,))]
-    depth = 1
-    while depth < min_words:
-        out.append((depth, tuple(d for d in range(depth + 1, 2 * depth + 1) if d <= min_words or d == 2 * depth)))
-        depth *= 2
-    return out
+def rounds(min_words: int) -> Iterator[tuple[int | None, tuple[int, ...]]]:
+    """(depth of the ranks that are paired, new depths) of each round, without an end: every depth up to min_words, then powers of two."""
+    yield None, (1,)
+    for power in count():
+        depth = 1 << power
+        yield depth, (*range(depth + 1, min(2 * depth - 1, min_words) + 1), 2 * depth)
 
 
 def suffix_ranks(blocks: DataFrame, sizes: B.Plan, min_words: int = MIN_WORDS) -> DataFrame:
     """Per block its state after all rounds. rank1, rank2, rank4, ... of it hold each repeated line's rank at that depth (0: the run
     occurs once): sorted by rank the lines are the suffix array to that depth, and equal ranks are its LCP intervals."""
     lots = max(8, sizes.buckets // 4)
-
-    state = cut(B.send(blocks, lambda payload: [(-1, B.squeeze(pickle.dumps(_state(B.open_table(payload)), 5)))]))
+    state = cut(B.send(blocks, lambda payload: [(_SHARED, B.squeeze(pickle.dumps(_state(B.open_table(payload)), 5)))]))
+    done = state.where(F.col("bucket") == _DONE)
     for step, depths in rounds(min_words):
         answers = B.answer(state.mapInArrow(_send(step, depths, lots), B.ROW), _reduce(step, len(depths)))
-        state = cut(state.unionByName(answers).groupBy("block").applyInArrow(_update(step, depths, lots, min_words), B.ROW))
-    return state
+        after = cut(state.unionByName(answers).groupBy("block").applyInArrow(_update(step, depths, lots), B.ROW))
+        done, state = done.unionByName(after.where(F.col("bucket") == _DONE)), after.where(F.col("bucket") == _SHARED)
+        if state.isEmpty():
+            return done
 
 
 def _run(docs: DataFrame, finish, schema, min_words: int, block_bytes: int | None) -> DataFrame:
@@ -282,12 +328,13 @@ def _run(docs: DataFrame, finish, schema, min_words: int, block_bytes: int | Non
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int | None = None) -> DataFrame:
-    """Per row: n_lines, n_removed, n_chars_removed, and the text without later copies of runs of lines (null: empty)."""
-    return _run(docs.select("doc_id", "text"), _finish, SCHEMA, min_words, block_bytes)
+    """Per row: n_lines, n_removed, n_chars_removed, the text without later copies of runs of lines (null: empty), and these runs as
+    line numbers (end exclusive, lines without words not counted), each with the document and line where it stands first."""
+    return _run(docs.select("doc_id", "text"), _texts_left(min_words), SCHEMA, min_words, block_bytes)
 
 
 def apply(docs: DataFrame, min_words: int = MIN_WORDS, least_left: int = LEAST_LEFT, block_bytes: int | None = None) -> DataFrame:
     """docs, all columns whatever their names are, with the text (and n_chars, if there) that stays. Rows that lost lines and have
     fewer than least_left words left go: what remains of a copy is no document."""
     docs, names = sealed(docs)
-    return _run(docs, _rows_left(least_left), docs.schema, min_words, block_bytes).toDF(*names)
+    return _run(docs, _rows_left(min_words, least_left), docs.schema, min_words, block_bytes).toDF(*names)

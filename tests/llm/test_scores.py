@@ -172,12 +172,70 @@ def test_windows_cover_and_overlap():
         assert not n or starts[-1] + toxicity.LENGTH >= n
 
 
+def naive_scores(net, texts):
+    """Every text by plain loops: one window, one word, one unit vector at a time."""
+    import re
+
+    import pyarrow as pa
+
+    from quillon.llm.words import NOT_ALNUM, Words
+
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h_size, out = toxicity.HIDDEN, []
+    for t in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        best = -np.inf
+        for start in range(0, max(1, len(words) - toxicity.LENGTH + toxicity.STRIDE), toxicity.STRIDE) if words else ():
+            inputs = []
+            for w in words[start : start + toxicity.LENGTH]:
+                raw = [0, *w.encode(), 0]
+                code = [int(toxicity.mix(np.array([raw[i - 1] << 16 | raw[i] << 8 | raw[i + 1]], np.uint64))[0] % np.uint64(toxicity.TRIGRAMS)) for i in range(1, len(raw) - 1)]
+                name = Words(pa.array([w]), blank=NOT_ALNUM).hashes()
+                inputs.append(np.concatenate([net.w["word"][net.rows(name)[0]], net.w["char"][code].mean(0)]))
+            states = np.zeros((len(inputs), 2 * h_size))
+            for k, d in enumerate("fb"):
+                h = np.zeros(h_size)
+                for i in range(len(inputs)) if d == "f" else reversed(range(len(inputs))):
+                    g, own = inputs[i] @ net.w[f"x{d}"] + net.w[f"g{d}"], h @ net.w[f"h{d}"]
+                    z, r = sig(g[:h_size] + own[:h_size]), sig(g[h_size : 2 * h_size] + own[h_size : 2 * h_size])
+                    c = np.tanh(g[2 * h_size :] + r * (own[2 * h_size :] + net.w[f"n{d}"]))
+                    h = (1 - z) * c + z * h
+                    states[i, k * h_size : (k + 1) * h_size] = h
+            energy = states @ net.w["query"]
+            share = np.exp(energy - energy.max())
+            best = max(best, float(share @ states / share.sum() @ net.w["out"] + net.w["bias"][0]))
+        out.append(float(sig(net.slope * best + net.offset)) if words else 0.0)
+    return out
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    """The operator's scores of whole texts are those of every window read on its own."""
+    texts, labels = texts_with_labels(120, 6)
+    odd = [None, "", "vile", "É vile ünïcödé nasty-words!", " ".join(["p1 p2 filthy"] * 40), "x" * 300]
+    docs = spark.createDataFrame(list(enumerate([*texts, *odd])), "doc_id long, text string")
+    marked = spark.createDataFrame([(k, int(v)) for k, v in enumerate(labels)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, marked, F.lit(True)).collect()}
+    net = next(iter(toxicity._last.values()))
+    some = [*range(0, 120, 6), *range(120, 126)]
+    want = naive_scores(net, [[*texts, *odd][k] for k in some])
+    assert max(abs(got[k] - w) for k, w in zip(some, want)) < 1e-4
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * 100) for k in range(40)], "doc_id long, text string")
+    marked = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    assert len(toxicity.sample(docs, marked, F.lit(True))[0]) == 40
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
+    texts, labels, share = toxicity.sample(docs, marked, F.lit(True))
+    assert len(texts) == 12 and labels.sum() == 6 and share == 0.5
+
+
 def test_toxicity_gradients():
     texts, labels = texts_with_labels(12, 5)
     import pyarrow as pa
 
     reader = toxicity.Reader(pa.array(texts))
-    net = toxicity.Network(np.sort(reader.names[:50]), np.zeros(50, np.float32))
+    net = toxicity.Network(np.sort(reader.names[:50]))
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     first, text = reader.windows()
     grid, y = reader.grid(first[:6], text[:6]), labels[text[:6]]
