@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from quillon.functions import extract
 from quillon.functions.stem import lexemes
-from quillon.functions.text import NEW_ID, OLD_ID, author_norm
+from quillon.functions.text import NEW_ID, OLD_ID, QUOTED_TITLE, YEAR, author_norm
 
 #: SQL functions of built-in expressions: parameters and body.
 SQL_FUNCTIONS = {
@@ -49,10 +49,9 @@ class _Chunks:
             start += tokens - overlap
 
 
-class _Bibliography:
+class _References:
     def eval(self, html: str) -> Iterator[tuple]:
-        for x in extract.bibliography(html):
-            yield x["other_id"], x["title"], x["year"]
+        yield from extract.references(html)
 
 
 class _Figures:
@@ -64,11 +63,22 @@ class _Figures:
 TABLE_FUNCTIONS = {
     "extract_sections": (_Sections, "place int, title string, text string"),
     "chunk_text": (_Chunks, "start int, text string"),
-    "parse_bibliography": (_Bibliography, "other_id string, title string, year int"),
+    "bibliography_items": (_References, "text string, links string, marked_title string, marked_year string"),
     "parse_figures": (_Figures, "n int, caption string, images array<string>"),
 }
 
 
+#: The reading of bibliography_items as references, as extract.read_references has it.
+_PARSE_BIBLIOGRAPHY = rf"""
+CREATE OR REPLACE TEMPORARY FUNCTION parse_bibliography(html STRING) RETURNS TABLE(other_id STRING, title STRING, year INT) RETURN
+SELECT other_id, title, year FROM (
+  SELECT nullif(regexp_extract(concat_ws(' ', links, text), r'{extract.REFERENCE_ID}', 1), '') AS other_id,
+    coalesce(nullif(regexp_replace(marked_title, '^[ .]+|[ .]+$', ''), ''), nullif(trim(regexp_replace(regexp_extract(text, r'{QUOTED_TITLE}', 1), '^[ ,.]+|[ ,.]+$', '')), '')) AS title,
+    coalesce(cast(nullif(regexp_extract(marked_year, '(?:19|20)[0-9]{{2}}', 0), '') AS INT), cast(try_element_at(regexp_extract_all(text, r'{YEAR}', 0), -1) AS INT)) AS year
+  FROM bibliography_items(parse_bibliography.html)) WHERE other_id IS NOT NULL OR title IS NOT NULL
+"""
+
+
 def register(spark: SparkSession) -> list[str]:
     """Registers all functions for SQL; returns their names."""
     for name, (parameters, result, body) in SQL_FUNCTIONS.items():
@@ -77,4 +87,5 @@ def register(spark: SparkSession) -> list[str]:
     spark.udf.register("lexemes", lexemes_udf)
     for name, (handler, schema) in TABLE_FUNCTIONS.items():
         spark.udtf.register(name, F.udtf(handler, returnType=schema))
-    return sorted([*SQL_FUNCTIONS, "author_norm", "lexemes", *TABLE_FUNCTIONS])
+    spark.sql(_PARSE_BIBLIOGRAPHY)
+    return sorted([*SQL_FUNCTIONS, "author_norm", "lexemes", *TABLE_FUNCTIONS, "parse_bibliography"])

@@ -108,13 +108,18 @@ def edge_key(paper_id: Column, other_id: Column, title: Column) -> Column:
     return F.when(full(paper_id), F.concat(F.lit("arxiv:"), paper_id)).when(full(other_id), F.concat(F.lit("s2:"), other_id)).when(full(title), F.concat(F.lit("title:"), F.substring(norm_title(title), 1, 120)))
 
 
+#: Fixed patterns of a year and of a quoted title.
+YEAR = r"\b(?:19|20)[0-9]{2}\b"
+QUOTED_TITLE = '[“"]([^”"]{8,300}?)[,.]?[”"]'
+
+
 def last_year(s: Column) -> Column:
-    found = F.regexp_extract_all(s, F.lit(r"\b(?:19|20)[0-9]{2}\b"), F.lit(0))
+    found = F.regexp_extract_all(s, F.lit(YEAR), F.lit(0))
     return F.try_element_at(found, F.lit(-1)).cast("int")
 
 
 def quoted_title(s: Column) -> Column:
-    got = F.regexp_extract(s, '[“"]([^”"]{8,300}?)[,.]?[”"]', 1)
+    got = F.regexp_extract(s, QUOTED_TITLE, 1)
     return F.nullif(F.trim(F.regexp_replace(got, "^[ ,.]+|[ ,.]+$", "")), F.lit(""))
 
 
@@ -158,6 +163,19 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
     return ((tokens_in * price_in + tokens_out * price_out) / 1_000_000).cast("decimal(10,5)")
 
 
+def model_cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict[str, tuple[float, float]]) -> Column:
+    """cost by a price map of model: (in, out); null for a model that it lacks."""
+    if not prices:
+        return F.lit(None).cast("decimal(10,5)")
+    of = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for m, p in sorted(prices.items()) for x in (m, float(p[k]))]), model)
+    return cost(tokens_in, tokens_out, of(0), of(1))
+
+
+def display_date(at: Column) -> Column:
+    """Day, month and year, as "7 Feb 2024"."""
+    return F.date_format(at, "d MMM yyyy")
+
+
 def abstract_chunk(title: Column, abstract: Column) -> Column:
     body = F.concat(title, F.lit("\n\n"), abstract)
     return F.struct(F.lit(0).alias("idx"), F.lit("abstract").alias("section"), body.alias("text"), F.greatest(F.lit(1), F.size(F.filter(F.split(body, r"\s+"), lambda x: x != ""))).alias("token_count"))

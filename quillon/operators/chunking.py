@@ -19,10 +19,10 @@ def windows(sections: DataFrame, tokens: int = TOKENS, overlap: int = OVERLAP) -
     words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     rows = sections.withColumn("words", words).withColumn("n", F.size("words")).where(F.col("n") >= LEAST)
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - tokens) / step)).cast("int")
-    rows = rows.withColumn("w", F.explode(F.sequence(F.lit(0), last)))
-    start = F.col("w") * step
-    own = F.slice("words", start + 1, tokens)
-    return rows.select("paper_id", "place", "title", start.cast("long").alias("start"), F.size(own).cast("long").alias("token_count"), F.array_join(own, " ").alias("text"))
+    piece = lambda w: F.slice(F.col("words"), w * step + 1, tokens)
+    own = F.transform(F.sequence(F.lit(0), last), lambda w: F.struct((w * step).cast("long").alias("start"), F.size(piece(w)).cast("long").alias("token_count"), F.array_join(piece(w), " ").alias("text")))
+    # the pieces are cut before the explode, which would copy all words of a section to each of its windows
+    return rows.select("paper_id", "place", "title", F.inline(own))
 
 
 def chunks(papers: DataFrame, sections: DataFrame, tokens: int = TOKENS, overlap: int = OVERLAP, most: int = MOST) -> DataFrame:

@@ -26,10 +26,12 @@ def accepted(current: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_papers(current: DataFrame, new: DataFrame) -> DataFrame:
-    """The papers table after `new`: guarded replacement; a null summary keeps the stored one; ingested_at is that of the first row."""
+    """The papers table after `new`: guarded replacement; a null summary or model keeps the stored one; ingested_at is that of the first row."""
     own = accepted(current, newest(new))
-    old = current.select("paper_id", F.col("ingested_at").alias("first_ingested"), F.col("summary").alias("old_summary"))
+    old = current.select("paper_id", F.col("ingested_at").alias("first_ingested"), F.col("summary").alias("old_summary"), *([F.col("summary_model").alias("old_model")] if "summary_model" in current.columns else []))
     rows = own.join(old, "paper_id", "left")
+    if "old_model" in rows.columns:
+        rows = rows.withColumn("summary_model", F.coalesce("summary_model", "old_model")).drop("old_model")
     rows = rows.withColumn("summary", F.coalesce("summary", "old_summary")).withColumn("ingested_at", F.coalesce("first_ingested", "ingested_at")).drop("first_ingested", "old_summary")
     return current.join(own.select("paper_id"), "paper_id", "left_anti").unionByName(rows.select(*current.columns))
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIGITS = 6
+NUDGE = 1e-10  # sums that end in a 5 behind the last digit round alike in any order
 
 
 def increases(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds inc: growth of a counter since the series' last sample; a fall is a reset, and counts as the new value."""
-    order = Window.partitionBy(*keys).orderBy("ts")
+    """Adds inc: growth of a counter since the series' last sample; a fall is a reset, and counts as the new value. Samples of one time go by value."""
+    order = Window.partitionBy(*keys).orderBy("ts", "value")
     last = F.lag("value").over(order)
     return samples.withColumn("inc", F.when(last.isNull(), 0.0).when(F.col("value") < last, F.col("value")).otherwise(F.col("value") - last))
 
@@ -20,7 +21,7 @@ def rate(samples: DataFrame, keys: list[str], by: list[str], window: str) -> Dat
     """sum by (by) (rate(counter[window])): increase a second in each window."""
     seconds = F.unix_seconds(F.col("w.end")) - F.unix_seconds(F.col("w.start"))
     rows = increases(samples, keys).groupBy(*by, F.window("ts", window).alias("w")).agg(F.sum("inc").alias("inc"))
-    return rows.select(*by, F.col("w.start").alias("start"), F.round(F.col("inc") / seconds, DIGITS).alias("rate"))
+    return rows.select(*by, F.col("w.start").alias("start"), F.round(F.col("inc") / seconds + NUDGE, DIGITS).alias("rate"))
 
 
 def histogram_quantile(buckets: DataFrame, q: float, by: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ def slots(requests: DataFrame, interval_ms: int, key: str = "key", at: str = "at
 
 def gaps(requests: DataFrame, least_ms: float, key: str = "key", at: str = "at_ms") -> DataFrame:
     """Per key: number, least, median and largest gap between consecutive requests, and gaps under the budget."""
-    order = Window.partitionBy(key).orderBy(at)
+    order = Window.partitionBy(key).orderBy(at)  # in any order requests of one time are 0 apart
     rows = requests.withColumn("gap", F.col(at) - F.lag(at).over(order)).where("gap is not null")
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("gap").alias("least"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap)").cast(dict(rows.dtypes)["gap"]).alias("median"), F.max("gap").alias("most"), F.count_if(F.col("gap") < least_ms).alias("under"))
 

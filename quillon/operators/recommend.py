@@ -40,10 +40,13 @@ def scored(found: DataFrame) -> DataFrame:
 
 def without(candidates: DataFrame, trail: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
     """Candidates that are on no trail and not dismissed, by key or by id."""
-    gone = trail.select(F.concat(F.lit("arxiv:"), F.col("paper_id").cast("string")).alias("key"))
+    ids = trail.select(F.col("paper_id").cast("long").alias("other_id"))
+    keys = ids.select(F.concat(F.lit("arxiv:"), F.col("other_id").cast("string")).alias("key"))
     if dismissed is not None:
-        gone = gone.unionByName(dismissed.select("key"))
-    return candidates.join(gone.distinct(), "key", "left_anti")
+        keys = keys.unionByName(dismissed.select("key"))
+        number = F.regexp_extract("key", "^arxiv:([0-9]+)$", 1)
+        ids = ids.unionByName(dismissed.select(number.try_cast("long").alias("other_id")).where("other_id is not null"))
+    return candidates.join(keys.distinct(), "key", "left_anti").join(ids.distinct(), "other_id", "left_anti").select(*candidates.columns)
 
 
 def pick(candidates: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -103,8 +103,8 @@ def insert_ignore(table: DataFrame, rows: DataFrame, key: str | list[str]) -> Da
 
 def dwell(events: DataFrame, least: float = DWELL_SECONDS) -> DataFrame:
     """(user_id, paper_id, seconds) of pages seen for `least` seconds or more, from visibility events (user_id, paper_id, ts, visible):
-    the time from each visible event to the next event, summed; hidden time does not count."""
-    order = Window.partitionBy("user_id", "paper_id").orderBy("ts")
+    the time from each visible event to the next event, summed; hidden time does not count. Of events of one time the visible ones come first."""
+    order = Window.partitionBy("user_id", "paper_id").orderBy("ts", F.desc("visible"))
     until = F.lead("ts").over(order)
     seconds = F.when(F.col("visible"), F.unix_micros(until) - F.unix_micros("ts")) / 1e6
     return events.withColumn("s", seconds).groupBy("user_id", "paper_id").agg(F.round(F.coalesce(F.sum("s"), F.lit(0.0)), 3).alias("seconds")).where(F.col("seconds") >= least)

@@ -13,6 +13,7 @@ from quillon.operators import audit, cache, catalog, chunking, citations, dlq, e
 from quillon.plans import views as V
 from quillon.shared import table
 from quillon.sources import feeds, providers
+from quillon.streaming import dedup
 
 NOW = datetime(2024, 2, 1)
 QUERIES: dict = {}
@@ -280,13 +281,6 @@ def candidates_scored(spark, d):
     return recommend.scored(found).drop("source")
 
 
-@query()
-def suggestions_picked(spark, d):
-    own = V.reads(spark, d)
-    found = recommend.reasons(own, V.citations(spark, d), V.chunks(spark, d))
-    return recommend.strength(recommend.pick(recommend.without(recommend.scored(found), own)))
-
-
 def _edges(spark, d):
     own, cited = V.reads(spark, d), V.citations(spark, d)
     found = recommend.reasons(own, cited, V.chunks(spark, d))
@@ -380,13 +374,13 @@ def _failures(spark, d):
         .otherwise(F.lit('{"other":1}'))
     )
     stage = F.when(F.col("event_id") % 2 == 0, "worker").otherwise("fetcher")
-    return e.select((F.col("event_id") % V.TARGETS).alias("paper_id"), stage.alias("stage"), F.col("ts").alias("failed_at"), F.col("event_id").alias("offset"), payload.alias("payload"))
+    return e.select((F.col("event_id") % V.n_papers(spark, d)).alias("paper_id"), stage.alias("stage"), F.col("ts").alias("failed_at"), F.col("event_id").alias("offset"), payload.alias("payload"))
 
 
 @query(
     """
 , f AS (
-  SELECT event_id % 200 AS paper_id, CASE WHEN event_id % 2 = 0 THEN 'worker' ELSE 'fetcher' END AS stage, ts, event_id, CASE event_id % 3 WHEN 0 THEN 'chunked' WHEN 1 THEN 'paper' END AS kind,
+  SELECT event_id % (SELECT greatest(1, count(*)) FROM documents) AS paper_id, CASE WHEN event_id % 2 = 0 THEN 'worker' ELSE 'fetcher' END AS stage, ts, event_id, CASE event_id % 3 WHEN 0 THEN 'chunked' WHEN 1 THEN 'paper' END AS kind,
     CASE WHEN event_id % 3 = 2 THEN 1 ELSE event_id % 4 END AS v FROM events WHERE event_type = 'error'),
 l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY ts DESC, event_id) = 1),
 a AS (
@@ -414,30 +408,90 @@ def chunk_windows(spark, d):
 
 
 @query()
-def extract_sections(spark, d):
+def page_sections(spark, d):
+    """Any page, by the generic profile."""
     return extract.extract_sections(table(spark, d, "pages"), extract.GENERIC)
 
 
 def _papers_as_html(spark, d):
-    """Converted-paper pages made of conversations: a bibliography item and a figure a turn."""
+    """Converted-paper pages made of conversations: a section, a bibliography item and a figure a turn, of whole texts."""
     c = table(spark, d, "conversations")
-    item = F.concat(F.lit('<li class="ltx_bibitem">“'), F.left("text", F.lit(60)), F.lit("”, "), (2000 + F.col("turn")).cast("string"), F.lit("</li>"))
-    figure = F.concat(F.lit('<figure class="ltx_figure"><img src="x'), F.col("turn").cast("string"), F.lit('.png"><figcaption>Figure '), (F.col("turn") + 1).cast("string"), F.lit(": "), F.left("text", F.lit(80)), F.lit("</figcaption></figure>"))
-    parts = F.array_sort(F.collect_list(F.struct("turn", item.alias("item"), figure.alias("figure"))))
+    turn = F.col("turn").cast("string")
+    text = F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;")
+    tag = lambda name, kind, *inner: F.concat(F.lit(f'<{name} class="{kind}">'), *inner, F.lit(f"</{name}>"))
+    section = tag("section", "ltx_section", tag("h2", "ltx_title", turn, F.lit("  Turn")), tag("p", "ltx_p", text, F.lit(" <math>x</math>")), F.lit('<div><p class="ltx_p">tiny</p></div>'), tag("p", "ltx_p", F.lit("said by "), "role", F.lit(" in this turn")))
+    full = F.concat(tag("span", "ltx_bib_title", text, F.lit(" .")), F.lit(' <a href="https://arxiv.org/abs/2001.'), F.lpad(turn, 5, "0"), F.lit('v2">x</a> 1999'))
+    quoted = F.concat(F.lit("A. B. “A title of turn "), turn, F.lit(",” 1998, "), (2000 + F.col("turn")).cast("string"))
+    item = tag("li", "ltx_bibitem", F.when(F.col("turn") % 3 == 0, full).when(F.col("turn") % 3 == 1, quoted).otherwise(F.lit("nothing usable")))
+    figure = tag("figure", "ltx_figure", F.lit('<img src="x'), turn, F.lit('.png"><figure class="ltx_figure"><img src="/y.png"></figure><figcaption>Fig. '), (F.col("turn") + 1).cast("string"), F.lit(": "), text, F.lit("</figcaption>"))
+    parts = F.array_sort(F.collect_list(F.struct("turn", section.alias("section"), item.alias("item"), figure.alias("figure"))))
     join = lambda f: F.array_join(F.transform(parts, lambda x: x[f]), "")
-    return c.groupBy(F.col("conv_id").alias("page_id")).agg(F.concat(F.lit('<article class="ltx_document">'), join("figure"), F.lit("<ul>"), join("item"), F.lit("</ul></article>")).alias("html")).withColumn("url", F.lit("https://example.org/p/"))
+    page = F.concat(F.lit('<html><article class="ltx_document">'), join("section"), join("figure"), F.lit('<section class="ltx_bibliography"><ul>'), join("item"), F.lit("</ul></section></article></html>"))
+    return c.groupBy(F.col("conv_id").alias("page_id")).agg(page.alias("html")).withColumn("url", F.lit("https://example.org/p/q"))
 
 
-@query()
+_TIDY = r"trim(regexp_replace(text, '[\s\v\x{a0}]+', ' ', 'g'))"
+
+
+@query(
+    rf"""
+WITH t AS (SELECT *, {_TIDY} AS tidy, 'said by ' || role || ' in this turn' AS second FROM conversations), s AS (SELECT *, CASE WHEN strlen(tidy) >= 20 THEN tidy || chr(10) || chr(10) || second ELSE second END AS body FROM t)
+SELECT conv_id AS page_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, turn || ' Turn' AS title, body AS text FROM s WHERE strlen(body) >= 40
+""",
+    views=False,
+)
+def extract_sections(spark, d):
+    return extract.extract_sections(_papers_as_html(spark, d))
+
+
+@query(
+    rf"""
+SELECT conv_id AS page_id, place, CASE turn % 3 WHEN 0 THEN '2001.' || lpad(turn::VARCHAR, 5, '0') END AS other_id, CASE turn % 3 WHEN 0 THEN trim(tidy, ' .') ELSE 'A title of turn ' || turn END AS title, CASE turn % 3 WHEN 0 THEN 1999 ELSE 2000 + turn END AS year
+FROM (SELECT conv_id, turn, {_TIDY} AS tidy, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) WHERE turn % 3 < 2
+""",
+    views=False,
+)
 def parse_bibliography(spark, d):
     return extract.extract_bibliography(_papers_as_html(spark, d))
 
 
-@query()
+@query(
+    rf"""
+SELECT conv_id AS page_id, place, turn + 1 AS n, {_TIDY} AS caption, 'https://example.org/p/x' || turn || '.png https://example.org/y.png' AS images
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) WHERE place < 16
+""",
+    views=False,
+)
 def parse_figures(spark, d):
     return extract.extract_figures(_papers_as_html(spark, d)).withColumn("images", F.array_join("images", " "))
 
 
+@query(
+    r"""
+, p AS (SELECT paper_id, lower(title || ' ' || abstract) AS text, split_part(title, ' ', 1) AS word, regexp_extract(abstract, '([0-9]+)', 1) AS number, list_distinct(list_transform(regexp_extract_all(translate(title || ' ' || abstract, '–—−×', '---x'), '[0-9]+(?:[.,][0-9]+)?'), lambda n: rtrim(rtrim(replace(n, ',', '.'), '0'), '.'))) AS known FROM papers),
+v AS (SELECT *, number <> '' AND list_contains(known, rtrim(number, '0')) AS stands FROM p)
+SELECT paper_id, CASE WHEN paper_id % 7 = 0 THEN NULL ELSE 2 END AS n_steps, CASE WHEN paper_id % 7 = 0 THEN NULL ELSE stands::BIGINT END AS n_results, CASE WHEN paper_id % 7 = 0 THEN NULL ELSE 1 END AS n_terms, CASE WHEN paper_id % 7 = 0 THEN NULL ELSE '1 Introduction' END AS section,
+  CASE WHEN paper_id % 7 = 0 THEN NULL WHEN paper_id % 2 = 0 THEN 'A paper.' ELSE split_part(abstract, '. ', 1) END AS line,
+  CASE WHEN paper_id % 7 = 0 THEN '' ELSE 'evidence: quote not found in the text|' || CASE WHEN stands THEN '' ELSE 'result: number not in the text|' END || 'result: number not in the text|term: acronym expansion not in the text' || CASE WHEN paper_id % 2 = 0 THEN '' ELSE '|one_liner: not a description of the paper' END END AS rejected,
+  CASE WHEN paper_id % 7 = 0 THEN 'the model described fewer than two steps' END AS error FROM v JOIN papers USING (paper_id)
+"""
+)
+def claim_check(spark, d):
+    """Answers with a quote that stands and one that does not, a number of the text and one that is made up, and a term with a made-up expansion."""
+    p = V.papers(spark, d)
+    step = lambda n, quote: F.struct(F.lit(f"step {n}").alias("name"), F.lit("reads").alias("does"), F.lit("introduction").alias("section"), quote.alias("evidence"))
+    steps = F.array(step(1, F.substring("title", 1, 20)), step(2, F.lit("zzz never said zzz")), F.struct(F.lit(" ").alias("name"), F.lit("x").alias("does"), F.lit("").alias("section"), F.lit("").alias("evidence")))
+    found = F.array(F.struct(F.regexp_extract("abstract", "([0-9]+)", 1).alias("value"), F.lit("found").alias("label")), F.struct(F.lit("123456789 KB/s").alias("value"), F.lit("made up").alias("label")))
+    word = F.element_at(F.split("title", " "), 1)
+    terms = F.array(F.struct(word.alias("term"), F.lit("a word").alias("meaning")), F.struct(F.lit("QZX").alias("term"), F.lit("quite zany xylophone").alias("meaning")))
+    line = F.when(F.col("paper_id") % 2 == 0, "A paper.").otherwise("Describe the paper")
+    answer = F.to_json(F.struct(line.alias("one_liner"), F.when(F.col("paper_id") % 7 != 0, steps).otherwise(F.slice(steps, 1, 1)).alias("steps"), found.alias("results"), terms.alias("terms")))
+    rows = p.select("paper_id", answer.alias("answer"), F.concat_ws(" ", "title", "abstract", F.lit("qzx")).alias("source"), F.array(*map(F.lit, V.SECTIONS)).alias("sections"), T.one_liner(F.col("abstract")).alias("fallback"))
+    out = claims.check_answers(rows).withColumn("a", F.from_json("design", claims.ANSWER))
+    sizes = [F.size(f"a.{c}").cast("long").alias(f"n_{c}") for c in ("steps", "results", "terms")]
+    return out.select("paper_id", *[F.when(F.col("design").isNotNull(), c).alias(n) for c, n in zip(sizes, ("n_steps", "n_results", "n_terms"))], F.col("a.steps")[0]["section"].alias("section"), F.col("a.one_liner").alias("line"), F.array_join(F.transform("rejected", lambda r: F.concat_ws(": ", r["kind"], r["reason"])), "|").alias("rejected"), "error")
+
+
 @query(
     """
 SELECT CASE WHEN http = 200 AND contains(html, 'class=') THEN 'done' WHEN http IN (200, 404) THEN 'none' ELSE 'failed' END AS status, count(*) AS n
@@ -450,16 +504,6 @@ def html_fetch_status(spark, d):
     return providers.html_status(pages, "class=").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
-def claim_check(spark, d):
-    p = V.papers(spark, d)
-    step = lambda n: F.struct(F.lit(f"step {n}").alias("name"), F.lit("reads").alias("does"), F.lit("Introduction").alias("section"), F.substring("abstract", n, 30).alias("evidence"))
-    numbers = F.array(F.struct(F.regexp_extract("abstract", "([0-9]+)", 1).alias("value"), F.lit("found").alias("label")), F.struct(F.lit("123456 KB/s").alias("value"), F.lit("made up").alias("label")))
-    answer = F.to_json(F.struct(F.lit("A paper.").alias("one_liner"), F.array(step(1), step(40)).alias("steps"), numbers.alias("results"), F.array(F.struct(F.element_at(F.split("title", " "), 1).alias("term"), F.lit("a word").alias("meaning"))).alias("terms")))
-    rows = p.select("paper_id", answer.alias("answer"), F.concat_ws(" ", "title", "abstract").alias("source"), F.array(*map(F.lit, V.SECTIONS)).alias("sections"), T.one_liner(F.col("abstract")).alias("fallback"))
-    return claims.check_answers(rows).select("paper_id", F.sha2("design", 256).alias("design_sha"), F.size("rejected").alias("n_rejected"), "error")
-
-
 @query(
     r"""
 WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?'), lambda n: CASE WHEN regexp_replace(regexp_replace(replace(n, ',', '.'), '0+$', ''), '[.]+$', '') = '' THEN '0'
@@ -576,11 +620,6 @@ def web_name(spark, d):
     return V.papers(spark, d).select("paper_id", T.web_name(F.col("title"), F.lit(None).cast("string")).alias("name"))
 
 
-@query()
-def first_sentence(spark, d):
-    return V.papers(spark, d).select("paper_id", T.first_sentence(F.col("abstract")).alias("sentence"))
-
-
 @query(r"SELECT paper_id, nullif(regexp_extract(title, '^([A-Za-z0-9][A-Za-z0-9+.-]*[A-Z0-9][A-Za-z0-9+.-]{0,18}):[ \t\n\r\f]', 1), '') AS name FROM papers")
 def title_name(spark, d):
     return V.papers(spark, d).select("paper_id", T.title_name(F.col("title")).alias("name"))
@@ -605,7 +644,7 @@ def audit_summary(spark, d):
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL", views=False)
 def event_dedup(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return dedup.earliest(table(spark, d, "events"), ("user_id", "event_type"), "event_id").select("user_id", "event_type", "event_id")
 
 
 @query(
@@ -679,7 +718,7 @@ def poll_walk(spark, d):
     """
 WITH s AS (SELECT user_id, event_type, ts, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS last FROM events),
 i AS (SELECT *, CASE WHEN last IS NULL THEN 0 WHEN value < last THEN value ELSE value - last END AS inc FROM s)
-SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, round(sum(inc) / 86400, 6) AS rate FROM i GROUP BY ALL
+SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, round(sum(inc) / 86400 + 1e-10, 6) AS rate FROM i GROUP BY ALL
 """,
     views=False,
 )

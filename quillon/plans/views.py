@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from quillon.shared import table
 
 SECTIONS = ("abstract", "1 Introduction", "2 Method", "3 Results")
-#: Papers that reads and citations refer to.
-TARGETS = 200
+
+def n_papers(spark: SparkSession, d: str) -> int:
+    """Papers that reads, citations and dead letters refer to by number: all."""
+    return max(1, table(spark, d, "documents").count())
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:
@@ -50,13 +52,13 @@ def authors(spark: SparkSession, d: str) -> DataFrame:
 def reads(spark: SparkSession, d: str) -> DataFrame:
     """(web_id, paper_id, added_at, event_id): the first view of a paper by a user."""
     views = table(spark, d, "events").where("event_type = 'view'")
-    return views.groupBy(F.col("user_id").alias("web_id"), (F.col("event_id") % TARGETS).alias("paper_id")).agg(F.min("event_id").alias("event_id"), F.min("ts").cast("timestamp").alias("added_at"))
+    return views.groupBy(F.col("user_id").alias("web_id"), (F.col("event_id") % n_papers(spark, d)).alias("paper_id")).agg(F.min("event_id").alias("event_id"), F.min("ts").cast("timestamp").alias("added_at"))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, direction, other_key, other_id, position)."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("position"))
-    other = (F.col("paper_id") * 7 + F.col("position") * 13) % TARGETS
+    other = (F.col("paper_id") * 7 + F.col("position") * 13) % n_papers(spark, d)
     outside = (F.col("paper_id") + F.col("position")) % 5 == 0
     edges = docs.select(
         "paper_id",
@@ -68,6 +70,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return edges.where(F.col("other_id").isNull() | (F.col("other_id") != F.col("paper_id")))
 
 
+N_PAPERS = "(SELECT greatest(1, count(*)) FROM documents)"
 SQL = rf"""
 papers AS (
   SELECT doc_id AS paper_id, 1 + doc_id % 3 AS version, array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '')[1:8], ' ') AS title,
@@ -78,16 +81,16 @@ authors AS (
   SELECT p.paper_id, p.position, c.c_name AS name FROM (SELECT doc_id AS paper_id, unnest([1, 2, 3]) AS position FROM documents) p
   JOIN customer c ON c.c_custkey = (p.paper_id * p.position) % 97 + 1),
 reads AS (
-  SELECT user_id AS web_id, event_id % {TARGETS} AS paper_id, min(event_id) AS event_id, min(ts) AS added_at FROM events WHERE event_type = 'view' GROUP BY ALL),
+  SELECT user_id AS web_id, event_id % {N_PAPERS} AS paper_id, min(event_id) AS event_id, min(ts) AS added_at FROM events WHERE event_type = 'view' GROUP BY ALL),
 citations AS (
   SELECT * FROM (
     SELECT paper_id, CASE WHEN position % 2 = 0 THEN 'cites' ELSE 'cited_by' END AS direction,
-      CASE WHEN (paper_id + position) % 5 = 0 THEN 's2:' ELSE 'arxiv:' END || ((paper_id * 7 + position * 13) % {TARGETS}) AS other_key,
-      CASE WHEN (paper_id + position) % 5 <> 0 THEN (paper_id * 7 + position * 13) % {TARGETS} END AS other_id, position
+      CASE WHEN (paper_id + position) % 5 = 0 THEN 's2:' ELSE 'arxiv:' END || ((paper_id * 7 + position * 13) % {N_PAPERS}) AS other_key,
+      CASE WHEN (paper_id + position) % 5 <> 0 THEN (paper_id * 7 + position * 13) % {N_PAPERS} END AS other_id, position
     FROM (SELECT doc_id AS paper_id, unnest([1, 2, 3, 4]) AS position FROM documents)) WHERE other_id IS NULL OR other_id <> paper_id)
 """
 
 
 def sql(body: str) -> str:
     """Oracle SQL over the views; body goes on after the view definitions (', x AS (...) SELECT' or 'SELECT')."""
-    return f"WITH {SQL.strip()}\n{body.strip()}"
+    return f"WITH {'RECURSIVE ' if 'fold AS' in body else ''}{SQL.strip()}\n{body.strip()}"

@@ -33,9 +33,11 @@ def stream(spark: SparkSession, path: str | None = None, topic: str | None = Non
 
 
 def records(messages: DataFrame, topic: str, now, partitions: int = PARTITIONS, first: DataFrame | None = None) -> DataFrame:
-    """Log rows of messages (key, value): a key's messages stay in one partition, numbered after `first` (partition, next)."""
-    rows = messages.select("key", "value", F.lit(topic).alias("topic"), F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int").alias("partition"), now.alias("timestamp"))
-    order = Window.partitionBy("partition").orderBy("key", "value")
+    """Log rows of messages (key, value): a key's messages stay in one partition, numbered in the order of the messages (their
+    place in the input: monotonically_increasing_id, or a column `arrival` where there is one) after `first` (partition, next)."""
+    arrival = F.col("arrival") if "arrival" in messages.columns else F.monotonically_increasing_id()
+    rows = messages.select("key", "value", arrival.alias("arrival"), F.lit(topic).alias("topic"), F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int").alias("partition"), now.alias("timestamp"))
+    order = Window.partitionBy("partition").orderBy("arrival", "key", "value")
     rows = rows.withColumn("offset", F.row_number().over(order).cast("long") - 1)
     if first is not None:
         rows = rows.join(F.broadcast(first), "partition", "left").withColumn("offset", F.col("offset") + F.coalesce("next", F.lit(0))).drop("next")  # a row a partition

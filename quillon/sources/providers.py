@@ -177,18 +177,51 @@ def _aligned(answer: list, n: int) -> list:
     return answer
 
 
-def complete_json(call: Callable[[int], dict], required: Sequence[str], tries: int = 2) -> dict:
-    """A JSON answer with the required keys: a truncated answer is an error, one retry."""
+#: Python types of the JSON types that a schema may name.
+_JSON = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
+
+
+def schema_error(value: object, schema: dict, at: str = "answer") -> str | None:
+    """The first violation of a JSON schema (type, enum, required, properties, additionalProperties, items, minItems, maxItems), or None."""
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(isinstance(value, _JSON[k]) and not (k in ("integer", "number") and isinstance(value, bool)) for k in kinds):
+        return f"{at} is not of type {' or '.join(kinds)}"
+    if "enum" in schema and value not in schema["enum"]:
+        return f"{at} is not one of {schema['enum']}"
+    if isinstance(value, dict):
+        own = schema.get("properties", {})
+        for name in schema.get("required", ()):
+            if name not in value:
+                return f"{at}.{name} is missing"
+        for name, part in value.items():
+            if name not in own:
+                if schema.get("additionalProperties") is False:
+                    return f"{at}.{name} is not expected"
+            elif found := schema_error(part, own[name], f"{at}.{name}"):
+                return found
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return f"{at} has {len(value)} items"
+        for k, part in enumerate(value):
+            if "items" in schema and (found := schema_error(part, schema["items"], f"{at}[{k}]")):
+                return found
+    return None
+
+
+def complete_json(call: Callable[[int], dict], required: Sequence[str], tries: int = 2, schema: dict | None = None) -> dict:
+    """A JSON object with the required keys that keeps to the schema: a truncated answer is an error, one retry."""
     error = ""
+    schema = {"type": "object", "required": list(required)} | (schema or {})
     for n in range(tries):
         answer = call(n)
         if answer.get("finish_reason") == "length":
             raise ValueError("the answer was cut off")
         try:
             value = json.loads(answer["content"])
-            if isinstance(value, dict) and all(k in value for k in required):
+            error = schema_error(value, schema)
+            if error is None:
                 return value
-            error = "a required key is missing"
         except ValueError as problem:
             error = str(problem)
     raise ValueError(f"no valid answer: {error}")

@@ -19,6 +19,12 @@ def first_versions(papers: DataFrame, keys: tuple[str, ...] = ("paper_id", "vers
     return papers.dropDuplicates(list(keys))
 
 
+def earliest(events: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """The batch form of first_versions, and its result over a whole log: of each key the event of the least `order`."""
+    rest = [c for c in events.columns if c not in keys]
+    return events.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("first")).select(*keys, "first.*")
+
+
 def _dwell(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Adds the time from each visible event to the next; tells a page once, when it has been seen for long enough."""
     seconds, since, told = state.get if state.exists else (0.0, None, False)

@@ -1,5 +1,7 @@
 """Pinned values of text functions, extraction, claims and the stemmer."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,20 +108,36 @@ def test_sections():
     assert extract.sections(None) == []
 
 
-def test_bibliography_and_figures():
-    assert extract.bibliography(PAGE) == [{"other_id": "2001.00001", "title": "Great work", "year": 2020}, {"other_id": None, "title": "Diffusion policy: learning it", "year": 2023}]
-    figs = extract.figures(PAGE, "https://h.org/p/")
-    assert [(f["n"], f["images"]) for f in figs] == [(1, ["https://h.org/p/f1.png", "https://h.org/p/f1b.png"]), (2, ["https://h.org/p/f2.png"])]
-    assert extract.overview(figs)["n"] == 1 and extract.overview(figs, 2)["n"] == 2 and extract.overview(figs, 9)["n"] == 1 and extract.overview([]) is None
-
-
-def test_pdf_text():
-    text = "Title\n\nexam-\nple text\n\n" + "filler words " * 40 + "\n\nReferences\n\n[1] a"
-    clean = extract.clean_pdf_text(text)
-    assert "example text" in clean and "[1]" not in clean
-    parts = "".join(f"\n\n{k} Heading Number\n\n" + "content words here " * 5 for k in (1, 2, 3))
-    assert [t for t, _ in extract.pdf_sections(parts)] == ["1 Heading Number", "2 Heading Number", "3 Heading Number"]
-    assert extract.pdf_sections("short") == []
+def test_bibliography_and_figures(spark):
+    pages = spark.createDataFrame([(1, PAGE, "https://h.org/p/"), (2, None, None)], "page_id long, html string, url string")
+    got = sorted(extract.extract_bibliography(pages).collect())
+    assert [tuple(r) for r in got] == [(1, 0, "2001.00001", "Great work", 2020), (1, 1, None, "Diffusion policy: learning it", 2023)]
+    figs = extract.extract_figures(pages)
+    assert [(r.n, r.images) for r in sorted(figs.collect())] == [(1, ["https://h.org/p/f1.png", "https://h.org/p/f1b.png"]), (2, ["https://h.org/p/f2.png"])]
+    pick = lambda n: [r.n for r in extract.overview(figs, "page_id", None if n is None else spark.createDataFrame([(1, n)], "page_id long, chosen int")).collect()]
+    assert pick(None) == [1] and pick(2) == [2] and pick(9) == [1]
+    plain = spark.createDataFrame([(1, 0, 2, "Our results"), (1, 1, 1, "Setup"), (3, 0, 4, "Results"), (4, 0, 7, "x"), (4, 1, 8, "The Architecture of it")], "k int, place int, n int, caption string")
+    assert {(r.k, r.n) for r in extract.overview(plain, "k").collect()} == {(1, 1), (4, 8)}
+
+
+def test_pdf_text(spark):
+    parts = "".join(f"\n\n{k} Heading Number\n\n" + "content words here " * 5 + "\n\nsecond part" for k in (1, 2, 3))
+    texts = {
+        "cut": "Title\n\nexam-\nple text\n\n" + "filler words " * 40 + "\n\n7. References\n\n[1] a",
+        "early": "References\n\n" + "filler words " * 40,
+        "heads": parts,
+        "front": "front matter " * 20 + parts,
+        "short": "short",
+        "none": None,
+    }
+    table = spark.createDataFrame(list(texts.items()), "paper_id string, text string")
+    clean = {r.paper_id: r.c for r in table.select("paper_id", extract.clean_pdf_text(F.col("text")).alias("c")).collect()}
+    assert "example text" in clean["cut"] and "[1]" not in clean["cut"] and "References" not in clean["cut"] and clean["early"].startswith("References")
+    got = {}
+    for r in sorted(extract.extract_pdf_sections(table).collect()):
+        got.setdefault(r.paper_id, []).append((r.title, r.text.split()[-1]))
+    heads = [("1 Heading Number", "part"), ("2 Heading Number", "part"), ("3 Heading Number", "part")]
+    assert got == {"cut": [("Body", "words")], "early": [("Body", "words")], "heads": heads, "front": [("Front matter", "matter"), *heads]}
 
 
 SOURCE = "We present Visual Geometry Grounded Transformer (VGGT). It streams at 130 KB/s and reaches 84.1% accuracy. The encoder maps images to tokens."
@@ -130,16 +148,47 @@ ANSWER = {
 }
 
 
-def test_claims():
-    design, rejected, error = claims.check(ANSWER, SOURCE, ["1 Intro", "2 Method"], "fallback")
+def checked(spark, answer, source=SOURCE, names=("1 Intro", "2 Method"), fallback="fallback"):
+    text = answer if isinstance(answer, str | None) else json.dumps(answer)
+    rows = spark.createDataFrame([(1, text, source, list(names), fallback)], "paper_id long, answer string, source string, sections array<string>, fallback string")
+    r = claims.check_answers(rows).first()
+    return r.design and json.loads(r.design), r.rejected, r.error
+
+
+def test_claims(spark):
+    design, rejected, error = checked(spark, ANSWER)
     assert error is None and design["one_liner"] == "fallback"
     assert [s["section"] for s in design["steps"]] == ["2 Method", ""] and [s["evidence"] for s in design["steps"]] == ["The encoder maps images", ""]
     assert [r["value"] for r in design["results"]] == ["84.1%"] and len(design["terms"]) == 1
-    assert sorted((r["kind"], r["reason"]) for r in rejected) == sorted([
-        ("evidence", "quote not found in the text"), ("result", "number not in the text with this unit"), ("result", "number not in the text"), ("result", "number not in the text"),
-        ("term", "acronym expansion not in the text"), ("term", "term not in the text"), ("one_liner", "not a description of the paper"),
-    ])
-    assert claims.check({"steps": []}, SOURCE, [], "")[2] == "the model described fewer than two steps"
+    assert [(r["kind"], r["claim"], r["reason"]) for r in rejected] == [
+        ("evidence", "never said", "quote not found in the text"), ("result", "130 MB: rate", "number not in the text with this unit"), ("result", "99: made up", "number not in the text"),
+        ("result", "fast: none", "number not in the text"), ("term", "VGGT = Very Good Graph Trainer", "acronym expansion not in the text"), ("term", "GPT", "term not in the text"),
+        ("one_liner", "Describe the paper", "not a description of the paper"),
+    ]
+
+
+@pytest.mark.parametrize("answer,error", [({"steps": []}, "the model described fewer than two steps"), ("[1]", "answer did not match the schema"), ("{broken", "answer did not match the schema"), (None, "answer did not match the schema"), ({}, "the model described fewer than two steps")])
+def test_answers_that_are_none(spark, answer, error):
+    assert checked(spark, answer) == (None, [], error)
+
+
+@pytest.mark.parametrize("term,meaning,words", [
+    ("SLAM", "Simultaneous Localization and Mapping", None), ("SLM", "Simultaneous Localization and Mapping", ["simultaneous", "localization", "mapping"]),
+    ("GPT", "generative pre-trained transformer", ["generative", "pre-trained", "transformer"]), ("X", "extra words", None), ("AB", "alpha", None), ("ab", "alpha beta", None),
+    ("VITS", "Visual Inference of the Total State", ["visual", "inference", "total", "state"]),
+])
+def test_spelled_out_terms(spark, term, meaning, words):
+    assert one(spark, claims.spelled_out(s(term), s(meaning))) == words
+
+
+@pytest.mark.parametrize("text,stands", [("a visual graph of one total", True), ("visual graph and then one two three total", False), ("graph visual total", False), ("visual-graph total", True)])
+def test_words_near_each_other(spark, text, stands):
+    assert one(spark, claims.near_each_other(F.array(s("visual"), s("graph"), s("total")), s(text))) is stands
+
+
+@pytest.mark.parametrize("value,stands", [("130 KB/s", True), ("130 MB", False), ("84.1 %", True), ("84.1", True), ("fast", True), ("1.5 (x)", True)])
+def test_units(spark, value, stands):
+    assert one(spark, claims.unit_stands(s(value), claims.claim_norm(s(SOURCE)))) is stands
 
 
 def test_claim_source(spark):
