@@ -86,6 +86,6 @@ def register(spark: SparkSession) -> list[str]:
     spark.udf.register("author_norm", author_norm)
     spark.udf.register("lexemes", lexemes_udf)
     for name, (handler, schema) in TABLE_FUNCTIONS.items():
-        spark.udtf.register(name, F.udtf(handler, returnType=schema))
+        spark.udtf.register(name, F.udtf(handler, returnType=schema).asDeterministic())
     spark.sql(_PARSE_BIBLIOGRAPHY)
     return sorted([*SQL_FUNCTIONS, "author_norm", "lexemes", *TABLE_FUNCTIONS, "parse_bibliography"])

@@ -12,40 +12,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.stem import lexemes
+from quillon.shared import cut
 
-CANDIDATES, MAX_TERMS = 50, 5000
+CANDIDATES = 50
+#: Distinct (query, term) pairs up to which they are broadcast; their number is counted first.
+BROADCAST_TERMS = 200_000
 #: Weight of a title (A) and an abstract (B) position.
 WEIGHTS = {"A": 1.0, "B": 0.4}
 TOKEN = r"[^a-z0-9]+"
 
 
-def exact_postings(papers: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(term, paper_id, tf, length): exact lower-case tokens of title and abstract, without stemming; of `terms` alone if given."""
+def exact_postings(papers: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, paper_id, tf, length): exact lower-case tokens of title and abstract, without stemming; of the terms of a table (term) alone if given."""
     tokens = F.array_remove(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), TOKEN), "")
     # the length is made below the explode: above it, it would be made again for each token
     rows = papers.select("paper_id", tokens.alias("tokens")).select("paper_id", F.size("tokens").cast("long").alias("length"), "tokens")
     # explode() would add a test for empty arrays that splits the text once more
     rows = rows.select("paper_id", "length", F.explode_outer("tokens").alias("term")).where("term is not null")
     if terms is not None:
-        rows = rows.where(F.col("term").isin(terms))
+        rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("term", "paper_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def exact_search(queries: DataFrame, postings: DataFrame | None, papers: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, paper_id, kscore, krank) of papers that hold every term of a query (query_id, text).
 
-    Without stored postings they are made of the queries' terms alone, if those are at most MAX_TERMS, else of all terms."""
+    Without stored postings they are made of the queries' terms alone. Terms meet postings by broadcast where there are at most
+    BROADCAST_TERMS, else by a shuffled join."""
     terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), TOKEN), lambda t: t != ""))).alias("term"))
+    terms = cut(terms.withColumn("needed", F.count("*").over(Window.partitionBy("query_id"))))
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
     if postings is None:
-        wanted = [r.term for r in terms.select("term").distinct().limit(MAX_TERMS + 1).collect()]
-        postings = exact_postings(papers, wanted if len(wanted) <= MAX_TERMS else None)
-    needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
-    hits = postings.join(terms, "term").groupBy("query_id", "paper_id").agg(F.count("*").alias("found"), F.round(F.sum("tf") / (1 + F.log(F.first("length").cast("double"))), 6).alias("kscore"))
-    hits = hits.join(needed, "query_id").where("found = needed").join(papers.select("paper_id", "published_at"), "paper_id")
+        postings = exact_postings(papers, small(terms.select("term").distinct()))
+    hits = postings.join(small(terms), "term").groupBy("query_id", "paper_id").agg(F.count("*").alias("found"), F.first("needed").alias("needed"), F.round(F.sum("tf") / (1 + F.log(F.first("length").cast("double"))), 6).alias("kscore"))
+    hits = hits.where("found = needed").join(papers.select("paper_id", "published_at"), "paper_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("kscore"), F.desc("published_at"), "paper_id")
     return hits.withColumn("krank", F.row_number().over(order)).where(F.col("krank") <= limit).select("query_id", "paper_id", "kscore", "krank")
 
 
+def write_order(post: DataFrame) -> DataFrame:
+    """Exact postings as they are stored: ordered by term, so a reader of some terms skips most files and row groups."""
+    return post.repartitionByRange("term").sortWithinPartitions("term", "paper_id")
+
+
 def postings(papers: DataFrame) -> DataFrame:
     """(term, paper_id, positions, weights): stemmed lexemes; the abstract's positions go on after the title's."""
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from quillon.operators.keyword import exact_search
 from quillon.operators.vectors import DIGITS, best_per_paper, cosine, top_matches
+from quillon.shared import cut
 
 CANDIDATES, RRF_K, K = 200, 60, 10
 #: Named windows, in days.
@@ -77,12 +78,15 @@ def hybrid(queries: DataFrame, texts: DataFrame, chunks: DataFrame, papers: Data
     every = best_per_paper(candidates(queries, chunks, papers, filters, n))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "paper_id")
     dense_list = every.withColumn("rank", F.row_number().over(order))
-    keyword_list = exact_search(texts, None if postings is None else postings.join(allowed.select("paper_id"), "paper_id", "left_semi"), allowed)
+    keyword_list = exact_search(texts, postings, allowed)  # postings of other papers fall out as they meet the allowed ones
     fused = fuse(dense_list, keyword_list, k)
-    first = chunks.where("idx = 0").select("paper_id", F.col("embedding").alias("first"))
-    out = fused.join(first, "paper_id", "left").join(queries, "query_id", "left")
-    score = F.coalesce("score", F.round(cosine(F.col("first"), F.col("vector")), DIGITS))
-    idx = F.coalesce("idx", F.when(F.col("first").isNotNull(), F.lit(0)))
+    fused = cut(fused)  # at most k rows a query
+    lone = fused.where("score is null")
+    first = chunks.where("idx = 0").join(lone.select("paper_id").distinct(), "paper_id", "left_semi").select("paper_id", F.col("embedding").alias("first"))
+    shown = lone.join(first, "paper_id", "left").join(queries, "query_id", "left")
+    shown = shown.withColumn("score", F.round(cosine(F.col("first"), F.col("vector")), DIGITS)).withColumn("idx", F.when(F.col("first").isNotNull(), F.lit(0)))
+    out = fused.where("score is not null").unionByName(shown.select(*fused.columns))
+    idx, score = F.col("idx"), F.col("score")
     return out.select("query_id", F.col("position").cast("long").alias("position"), "paper_id", idx.cast("long").alias("idx"), score.alias("score"), "rrf", "keyword")
 
 

@@ -22,9 +22,9 @@ def matches(watches: DataFrame, found: DataFrame, papers: DataFrame, floor: floa
     return rows.select("query_id", F.row_number().over(order).cast("long").alias("place"), "paper_id", "score", "keyword", "is_new")
 
 
-def run(watches: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = LIMIT, filters: Filters | None = None, floor: float = FLOOR) -> DataFrame:
+def run(watches: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = LIMIT, filters: Filters | None = None, floor: float = FLOOR, postings: DataFrame | None = None) -> DataFrame:
     """All watches (query_id, text, vector, seen_at) in one plan."""
-    found = hybrid(watches.select("query_id", "vector"), watches.select("query_id", "text"), chunks, papers, k, filters)
+    found = hybrid(watches.select("query_id", "vector"), watches.select("query_id", "text"), chunks, papers, k, filters, postings=postings)
     return matches(watches, found, papers, floor)
 
 

@@ -112,7 +112,7 @@ klist AS (
 
 @query(", " + _KEYWORD.strip() + "\nSELECT * FROM klist")
 def keyword_exact(spark, d):
-    return longs(keyword.exact_search(asked_texts(spark, d), None, V.papers(spark, d)), "krank")
+    return longs(keyword.exact_search(asked_texts(spark, d), V.postings(spark, d), V.papers(spark, d)), "krank")
 
 
 @query(
@@ -132,7 +132,7 @@ FROM top LEFT JOIN chunks c ON top.idx IS NULL AND c.paper_id = top.paper_id AND
 )
 def hybrid_search(spark, d):
     """Flagship: dense and keyword candidates, fused."""
-    out = search.hybrid(asked(spark, d), asked_texts(spark, d), V.chunks(spark, d), V.papers(spark, d))
+    out = search.hybrid(asked(spark, d), asked_texts(spark, d), V.chunks(spark, d), V.papers(spark, d), postings=V.postings(spark, d))
     return out.withColumn("score", F.round("score", 4))
 
 
@@ -251,7 +251,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY is_new DESC,
 def watch_matches(spark, d):
     seen = V.papers(spark, d).select(F.col("paper_id").alias("query_id"), F.col("ingested_at").alias("seen_at"))
     watches = asked(spark, d).join(asked_texts(spark, d), "query_id").join(seen, "query_id")
-    return watch.run(watches, V.chunks(spark, d), V.papers(spark, d), floor=0.25).withColumn("score", F.round("score", 4))
+    return watch.run(watches, V.chunks(spark, d), V.papers(spark, d), floor=0.25, postings=V.postings(spark, d)).withColumn("score", F.round("score", 4))
 
 
 _REASONS = (

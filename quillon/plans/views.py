@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators import keyword
+from quillon.operators.stored import stored
 from quillon.shared import table
 
 SECTIONS = ("abstract", "1 Introduction", "2 Method", "3 Results")
@@ -41,6 +43,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    """Exact postings of the papers, stored."""
+    return stored("exact-postings", table(spark, d, "documents"), lambda: keyword.write_order(keyword.exact_postings(papers(spark, d))))
+
+
 def authors(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, position, name)."""
     positions = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("position"))
