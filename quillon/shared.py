@@ -40,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.set(CLEAN_UP, before)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of our own under the shared one, by any path Spark can open."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder, local or remote."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
