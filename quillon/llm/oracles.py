@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from quillon.llm import lines, lm, mixing
+from quillon.llm import lines, lm, mixing, negatives, variants
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,6 +96,46 @@ s AS (
     sum(log10(CASE WHEN u IS NULL THEN p2 ELSE (c3 + {lm.PRIOR[1]} * p2) / (h2 + {lm.PRIOR[1]}) END)) AS score FROM q GROUP BY r)
 """
 
+#: crc32 of a text's UTF-8: a step for each byte, then one for each of its bits.
+CRC_OF = """xor(list_reduce(flatten(list_transform(range(0, strlen({x})), lambda i: [CAST(concat('0x', substr(hex({x}), 2 * i + 1, 2)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda x, y: CASE WHEN y < 0 THEN xor(x >> 1, (x & 1) * 3988292384) ELSE xor(x, y::BIGINT) END, 4294967295::BIGINT), 4294967295)"""
+
+NEGATIVES = f"""
+v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % {negatives.FLIP_EVERY} = 0 THEN (label + 1) % {negatives.LABELS} ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS codes
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS alike, CAST(list_inner_product(a.codes, r.codes) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id % {negatives.ANCHOR_EVERY} = 0 AND r.vec_id <> a.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {negatives.POSITIVES}),
+q AS (
+  SELECT p.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS r
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND {negatives.LEAST_PART} * positive_score <= 100 * s.score AND 100 * s.score <= {negatives.MOST_PART} * positive_score)
+"""
+
+VARIANTS = rf"""
+runs AS (
+  SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS x FROM documents)
+  WHERE length(x) >= {variants.LEAST_LENGTH}),
+pairs AS (SELECT doc_id, x, count(*) AS n FROM runs GROUP BY ALL),
+h AS (SELECT x, n, {{crc}} AS h FROM (SELECT x, n, concat(CAST(doc_id AS VARCHAR), ':', x) AS key FROM pairs)),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % {variants.DROP_EVERY} = 0 THEN concat(substr(x, 1, (h % length(x))::BIGINT), substr(x, (h % length(x))::BIGINT + 2)) ELSE x END AS word, n FROM h)
+  WHERE length(word) >= {variants.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {variants.LEAST_COUNT}),
+cuts AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+links AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS best, max(other_n) AS best_n FROM links GROUP BY word),
+f AS (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= {variants.FACTOR} * n THEN best END AS form, CASE WHEN best_n >= {variants.FACTOR} * n THEN best_n END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word),
+up AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+""".replace("{crc}", CRC_OF.replace("{x}", "key"))
+
 SQL = {
     "op1_lm_score": f"""WITH {MODEL}
 SELECT doc_id, held AS held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM t JOIN s USING (r)""",
@@ -120,6 +160,10 @@ FROM documents d LEFT JOIN nl ON nl.doc_id = d.doc_id LEFT JOIN kept ON kept.doc
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN nh ON nh.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""",
+    "op11_hard_negatives": f"""WITH {NEGATIVES}
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM q WHERE r <= {negatives.NEGATIVES}""",
+    "op13_spelling_variants": f"""WITH RECURSIVE {VARIANTS}
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f last ON last.word = up.root AND last.form IS NULL""",
 }
 
 

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, oracles, quality
+from quillon.llm import mixing, oracles, quality, tokens
 from quillon.llm.decontam import contaminated, decontaminate
 from quillon.llm.lines import dedup_lines
 from quillon.llm.lm import base_score, score_texts
 from quillon.llm.neardup import near_duplicates
+from quillon.llm.negatives import mine
 from quillon.llm.pii import BASE as PII_BASE
 from quillon.llm.pii import find_personal_data
 from quillon.llm.secret_scan import KINDS as SECRET_KINDS
 from quillon.llm.secret_scan import find_secrets
 from quillon.llm.substrings import dedup_substrings
 from quillon.llm.toxicity import score_toxicity
-from quillon.shared import table
+from quillon.llm.variants import spelling_variants
+from quillon.shared import checkpoint_dir, cut, remove, table
+
+#: Of the public tokenizers; op12's format takes any other path.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +93,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_numbers(base, SECRET_KINDS[:3]), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid4().hex}"
+    try:
+        tokens.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
+        return cut(tokens.digests(spark, folder))
+    finally:
+        remove(spark, folder)  # what was asked for has been read
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -96,6 +121,9 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_files": op12_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {name: oracles.SQL[name] for name in QUERIES if name in oracles.SQL}
