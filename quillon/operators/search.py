@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.graphindex import GraphIndex
 from quillon.operators.keyword import exact_search
 from quillon.operators.vectors import DIGITS, best_per_paper, cosine, top_matches
 from quillon.shared import cut
@@ -34,6 +35,13 @@ class Filters:
             papers = papers.where(F.arrays_overlap("categories", F.array(*[F.lit(c) for c in self.categories])))
         return papers.where(F.col("published_at") >= F.lit(self.since)) if self.since else papers
 
+    def allow(self, attribute: Column) -> Column:
+        """The same over an index's attributes (categories, published_at); a passage without a paper has neither."""
+        own = attribute["published_at"].isNotNull()
+        if self.categories:
+            own = own & F.arrays_overlap(attribute["categories"], F.array(*[F.lit(c) for c in self.categories]))
+        return own & (attribute["published_at"] >= F.lit(self.since)) if self.since else own
+
 
 def since_for(window: str | None, now: datetime) -> datetime | None:
     return now - timedelta(days=WINDOWS[window]) if window in WINDOWS else None
@@ -46,8 +54,11 @@ def check_request(query: str, k: int) -> None:
         raise ValueError("k is 1 to 50")
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, papers: DataFrame, filters: Filters | None = None, n: int = CANDIDATES) -> DataFrame:
-    """The n nearest passages of papers that pass the filters; filters come first."""
+def candidates(queries: DataFrame, chunks: DataFrame, papers: DataFrame, filters: Filters | None = None, n: int = CANDIDATES, index: GraphIndex | None = None) -> DataFrame:
+    """The n nearest passages of papers that pass the filters; filters come first. With an index (of passages with their papers'
+    categories and published_at) they are those that its walks find."""
+    if index:
+        return index.search(queries, n, (filters or Filters()).allow)
     allowed = (filters or Filters()).apply(papers).select("paper_id")
     return top_matches(queries, chunks.join(allowed, "paper_id", "left_semi"), n)
 
@@ -57,9 +68,9 @@ def _ranked(best: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = K, filters: Filters | None = None, n: int = CANDIDATES) -> DataFrame:
+def dense(queries: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = K, filters: Filters | None = None, n: int = CANDIDATES, index: GraphIndex | None = None) -> DataFrame:
     """(query_id, paper_id, idx, score, rank): each query's k best papers by their best passage."""
-    return _ranked(best_per_paper(candidates(queries, chunks, papers, filters, n)), k)
+    return _ranked(best_per_paper(candidates(queries, chunks, papers, filters, n, index)), k)
 
 
 def fuse(dense_list: DataFrame, keyword_list: DataFrame, k: int = K) -> DataFrame:
@@ -71,11 +82,11 @@ def fuse(dense_list: DataFrame, keyword_list: DataFrame, k: int = K) -> DataFram
     return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
-def hybrid(queries: DataFrame, texts: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = K, filters: Filters | None = None, n: int = CANDIDATES, postings: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, texts: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = K, filters: Filters | None = None, n: int = CANDIDATES, postings: DataFrame | None = None, index: GraphIndex | None = None) -> DataFrame:
     """(query_id, position, paper_id, idx, score, rrf, keyword). A paper found by keyword alone shows its first passage, with
     that passage's cosine. queries: (query_id, vector); texts: (query_id, text)."""
     allowed = (filters or Filters()).apply(papers)
-    every = best_per_paper(candidates(queries, chunks, papers, filters, n))
+    every = best_per_paper(candidates(queries, chunks, papers, filters, n, index))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "paper_id")
     dense_list = every.withColumn("rank", F.row_number().over(order))
     keyword_list = exact_search(texts, postings, allowed)  # postings of other papers fall out as they meet the allowed ones

@@ -21,10 +21,12 @@ def fingerprint(source: DataFrame) -> str:
     return f"{row.n}-{(row.x or 0) & (2**64 - 1):016x}"
 
 
-def stored(name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table `name` over source, built by build() if it is not there yet."""
-    spark = source.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stored/{name}-{fingerprint(source)}"
+def stored(name: str, source: DataFrame | list[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table `name` over source (or several), built by build() if it is not there yet. The name says the version of what build()
+    writes: tables of older code are not read."""
+    sources = source if isinstance(source, list) else [source]
+    spark = sources[0].sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stored/{name}-{'-'.join(map(fingerprint, sources))}"
     whole = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not whole.getFileSystem(spark._jsc.hadoopConfiguration()).exists(whole):
         build().write.mode("overwrite").parquet(path)

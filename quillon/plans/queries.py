@@ -792,3 +792,39 @@ CELLS, PROBES = 16, 8
 def cell_index_search(spark, d):
     """Inverted-file search of the whole query set, each query over the cells nearest to it."""
     return vectors.CellIndex(V.chunks(spark, d), cells=CELLS).search(asked(spark, d), 10, probes=PROBES)
+
+
+@query()
+def graph_index_search(spark, d):
+    """Graph search of the whole query set over the stored index."""
+    return V.index(spark, d).search(asked(spark, d), 10)
+
+
+_RECALL_SQL = """
+, asked AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0),
+n AS (SELECT count(*) AS n FROM chunks), f AS (
+  SELECT count(*) AS n FROM chunks WHERE paper_id IN (SELECT paper_id FROM papers WHERE list_has_any(categories, ['en', 'fr']) AND published_at >= TIMESTAMP '2024-01-02 12:00:00'))
+SELECT 'all' AS kind, (SELECT count(*) FROM asked) AS queries, (SELECT count(*) FROM asked) * least(10, n) AS wanted, true AS recall_is_high FROM n
+UNION ALL SELECT 'filtered', (SELECT count(*) FROM asked), (SELECT count(*) FROM asked) * least(10, n), true FROM f
+"""
+
+
+def index_recall(spark, d):
+    """(kind, queries, wanted, recall) of the stored index against exact search of the whole query set, without and with filters."""
+    queries, index, out = asked(spark, d), V.index(spark, d), None
+    for kind, where in (("all", None), ("filtered", search.Filters(["en", "fr"], datetime(2024, 1, 2, 12)))):
+        base = V.chunks(spark, d)
+        if where:
+            base = base.join(where.apply(V.papers(spark, d)).select("paper_id"), "paper_id", "left_semi")
+        exact = vectors.top_matches(queries, base, 10).select("query_id", "paper_id", "idx")
+        found = index.search(queries, 10, where.allow if where else None).select("query_id", "paper_id", "idx", F.lit(1).alias("found"))
+        both = exact.join(found, ["query_id", "paper_id", "idx"], "left")
+        row = both.agg(F.lit(kind).alias("kind"), F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.count("found") / F.count("*")).alias("recall"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(_RECALL_SQL)
+def graph_index_recall(spark, d):
+    """Whether the stored index finds nine tenths or more of what exact search finds, for the whole query set."""
+    return index_recall(spark, d).select("kind", "queries", "wanted", (F.col("recall") >= 0.9).alias("recall_is_high"))

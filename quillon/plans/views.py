@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import keyword
+from quillon.operators import graphindex, keyword
 from quillon.operators.stored import stored
 from quillon.shared import table
 
@@ -48,6 +48,13 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return stored("exact-postings", table(spark, d, "documents"), lambda: keyword.write_order(keyword.exact_postings(papers(spark, d))))
 
 
+def index(spark: SparkSession, d: str) -> graphindex.GraphIndex:
+    """The graph index of all passages with the attributes that searches filter by, stored."""
+    rows = chunks(spark, d).join(papers(spark, d).select("paper_id", "categories", "published_at"), "paper_id", "left")
+    sources = [table(spark, d, "embeddings"), table(spark, d, "documents")]
+    return graphindex.GraphIndex(stored(f"graph-index-{graphindex.VERSION}", sources, lambda: graphindex.build(rows, attributes=("categories", "published_at"))))
+
+
 def authors(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, position, name)."""
     positions = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("position"))
