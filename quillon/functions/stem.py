@@ -1,8 +1,9 @@
-"""English lexemes: stop words and a suffix stemmer in the manner of Porter (1980)."""
+"""English lexemes: stop words and the published Porter2 ("English") stemmer."""
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 #: Fixed list of English stop words.
 STOP_WORDS = frozenset(
@@ -13,71 +14,98 @@ STOP_WORDS = frozenset(
     "can will just don should now".split()
 )
 _TOKEN = re.compile(r"[^\W_]+")
-_VOWEL = "aeiou"
-#: Fixed suffix pairs of the stemmer's second, third and fourth steps.
-_STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
-_STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
-_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+#: Fixed words, prefixes, letters and suffixes of the published algorithm.
+_WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+_WHOLE |= {w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")}
+_AFTER_PLURAL = frozenset(("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"))
+_PREFIXES = ("gener", "commun", "arsen")
+_VOWELS, _DOUBLES, _BEFORE_LI = frozenset("aeiouy"), frozenset(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")), frozenset("cdeghkmnrt")
+_STEP2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful",
+    "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+_STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+_STEP4 = {x: "" for x in ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")}
 
 
-def _pattern(word: str) -> str:
-    """v and c for each letter; y is a vowel behind a consonant."""
-    out = ""
-    for i, ch in enumerate(word):
-        out += "v" if ch in _VOWEL or (ch == "y" and i and out[-1] == "c") else "c"
-    return out
+def _region(word: str, start: int) -> int:
+    """Where the part behind the first non-vowel that follows a vowel begins, from start on."""
+    for k in range(start + 1, len(word)):
+        if word[k] not in _VOWELS and word[k - 1] in _VOWELS:
+            return k + 1
+    return len(word)
 
 
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _pattern(stem)))
+def _has_vowel(part: str) -> bool:
+    return any(c in _VOWELS for c in part)
 
 
-def _closed(stem: str) -> bool:
-    """Ends consonant, vowel, consonant, the last not w, x or y."""
-    return _pattern(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
+def _ends_short(word: str) -> bool:
+    """Ends in a short syllable."""
+    if len(word) == 2:
+        return word[0] in _VOWELS and word[1] not in _VOWELS
+    return len(word) > 2 and word[-1] not in _VOWELS and word[-1] not in "wxY" and word[-2] in _VOWELS and word[-3] not in _VOWELS
 
 
+def _suffix(word: str, table: dict[str, str]) -> str | None:
+    """The longest suffix of the table that the word has."""
+    return next((word[-n:] for n in range(min(7, len(word)), 0, -1) if word[-n:] in table), None)
+
+
+@lru_cache(100_000)
 def stem(word: str) -> str:
-    if len(word) < 3 or not word.isascii():
+    """The stem of a lower-case word; words with characters beyond a to z and words of up to two letters stay."""
+    if len(word) < 3 or not (word.isascii() and word.isalpha()):
         return word
+    if word in _WHOLE:
+        return _WHOLE[word]
+    letters = list(word)
+    for k, c in enumerate(letters):
+        if c == "y" and (k == 0 or letters[k - 1] in _VOWELS):
+            letters[k] = "Y"
+    word = "".join(letters)
+    r1 = next((len(p) for p in _PREFIXES if word.startswith(p)), None)
+    r1 = _region(word, 0) if r1 is None else r1
+    r2 = _region(word, r1)
+    # plurals
     if word.endswith("sses"):
         word = word[:-2]
-    elif word.endswith("ies"):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
+    elif word.endswith(("ied", "ies")):
+        word = word[:-2] if len(word) > 4 else word[:-1]
+    elif word.endswith("s") and not word.endswith(("us", "ss")) and _has_vowel(word[:-2]):
         word = word[:-1]
-    if word.endswith("eed"):
-        word = word[:-1] if _measure(word[:-3]) else word
-    else:
-        for end in ("ed", "ing"):
-            if word.endswith(end) and "v" in _pattern(word[: -len(end)]):
-                word = word[: -len(end)]
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "lsz" and _pattern(word)[-1] == "c":
-                    word = word[:-1]
-                elif _measure(word) == 1 and _closed(word):
-                    word += "e"
-                break
-    if word.endswith("y") and "v" in _pattern(word[:-1]):
+    if word in _AFTER_PLURAL:
+        return word
+    # past and present participles
+    end = next((x for x in ("eedly", "ingly", "edly", "eed", "ing", "ed") if word.endswith(x)), None)
+    if end in ("eed", "eedly"):
+        if len(word) - len(end) >= r1:
+            word = word[: -len(end)] + "ee"
+    elif end and _has_vowel(word[: -len(end)]):
+        word = word[: -len(end)]
+        if word.endswith(("at", "bl", "iz")) or (_ends_short(word) and r1 >= len(word) and word[-2:] not in _DOUBLES):
+            word += "e"
+        elif word[-2:] in _DOUBLES:
+            word = word[:-1]
+    if len(word) > 2 and word[-1] in "yY" and word[-2] not in _VOWELS:
         word = word[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end, new in sorted(table, key=lambda x: -len(x[0])):
-            if word.endswith(end):
-                if _measure(word[: -len(end)]):
-                    word = word[: -len(end)] + new
-                break
-    for end in sorted(_STEP4, key=len, reverse=True):
-        if word.endswith(end):
-            rest = word[: -len(end)]
-            if _measure(rest) > 1 and (end != "ion" or rest[-1:] in ("s", "t")):
-                word = rest
-            break
-    if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _closed(word[:-1]))):
+    # derived words
+    end = _suffix(word, _STEP2)
+    if end and len(word) - len(end) >= r1:
+        before = word[-len(end) - 1 : -len(end)]
+        if (end != "ogi" or before == "l") and (end != "li" or before in _BEFORE_LI):
+            word = word[: -len(end)] + _STEP2[end]
+    end = _suffix(word, _STEP3)
+    if end and len(word) - len(end) >= (r2 if end == "ative" else r1):
+        word = word[: -len(end)] + _STEP3[end]
+    end = _suffix(word, _STEP4)
+    if end and len(word) - len(end) >= r2 and (end != "ion" or word[-4:-3] in ("s", "t")):
+        word = word[: -len(end)]
+    if word.endswith("e") and (len(word) - 1 >= r2 or (len(word) - 1 >= r1 and not _ends_short(word[:-1]))):
         word = word[:-1]
-    if word.endswith("ll") and _measure(word[:-1]) > 1:
+    elif word.endswith("ll") and len(word) - 1 >= r2:
         word = word[:-1]
-    return word
+    return word.replace("Y", "y")
 
 
 def lexemes(text: str | None, first: int = 1) -> list[tuple[str, int]]:

@@ -140,7 +140,7 @@ def hybrid_search(spark, d):
 def keyword_search(spark, d):
     """Stemmed web search with a phrase, an alternative and a negation, by cover density."""
     papers = V.papers(spark, d)
-    return keyword.web_search('the ontion or "of the" -pathetic', keyword.postings(papers), papers)
+    return keyword.web_search('the ontion or "of the" -pathetic', V.position_postings(spark, d), papers)
 
 
 @query(
@@ -828,3 +828,67 @@ def index_recall(spark, d):
 def graph_index_recall(spark, d):
     """Whether the stored index finds nine tenths or more of what exact search finds, for the whole query set."""
     return index_recall(spark, d).select("kind", "queries", "wanted", (F.col("recall") >= 0.9).alias("recall_is_high"))
+
+
+def asked_words(spark: SparkSession, d: str) -> DataFrame:
+    """Web-search queries of the grammar's every form, from the words of each title whose paper id is divisible by 100: a phrase and a word
+    without another one, or a word with a phrase."""
+    words = F.filter(F.split(F.lower("title"), keyword.TOKEN), lambda t: t != "")
+    word = lambda k: F.coalesce(F.get(words, F.lit(k - 1)), F.lit("zz"))
+    quoted = lambda *k: F.concat(F.lit('"'), F.concat_ws(" ", *map(word, k)), F.lit('"'))
+    text = F.concat_ws(" ", quoted(1, 2), quoted(3), F.concat(F.lit("-"), quoted(7)), F.lit("or"), quoted(2), F.concat(F.lit("-"), quoted(5, 1)), F.lit("OR"), quoted(4), quoted(5, 6))
+    return V.papers(spark, d).where("paper_id % 100 = 0").select(F.col("paper_id").alias("query_id"), text.alias("text"))
+
+
+_WORDS_SQL = """
+, tok AS (
+  SELECT paper_id, list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda t: t <> '') AS t, list_filter(regexp_split_to_array(lower(abstract), '[^a-z0-9]+'), lambda t: t <> '') AS a FROM papers),
+place AS (SELECT paper_id, len(t) AS titled, len(t) + len(a) AS length, unnest(list_concat(t, a)) AS term, unnest(range(0, len(t) + len(a))) AS p FROM tok),
+word AS (SELECT paper_id AS query_id, list_transform(range(1, 8), lambda k: coalesce(t[k], 'zz')) AS w FROM tok WHERE paper_id % 100 = 0),
+part AS (
+  SELECT query_id, 0 AS alt, 0 AS phrase, false AS negated, [w[1], w[2]] AS words FROM word UNION ALL SELECT query_id, 0, 1, false, [w[3]] FROM word UNION ALL SELECT query_id, 0, 2, true, [w[7]] FROM word
+  UNION ALL SELECT query_id, 1, 0, false, [w[2]] FROM word UNION ALL SELECT query_id, 1, 1, true, [w[5], w[1]] FROM word
+  UNION ALL SELECT query_id, 2, 0, false, [w[4]] FROM word UNION ALL SELECT query_id, 2, 1, false, [w[5], w[6]] FROM word),
+slot AS (SELECT query_id, alt, phrase, negated, len(words) AS slots, unnest(words) AS term, unnest(range(0, len(words))) AS k FROM part),
+spot AS (
+  SELECT query_id, alt, phrase, negated, paper_id, p - k AS a, p - k + any_value(slots) - 1 AS b, avg(CASE WHEN p < titled THEN 1.0 ELSE 0.4 END::DOUBLE) AS weight, any_value(length) AS length
+  FROM slot JOIN place USING (term) GROUP BY query_id, alt, phrase, negated, paper_id, p - k, p - k + slots - 1 HAVING count(*) = any_value(slots)),
+need AS (SELECT query_id, alt, count(*) AS wanted FROM part WHERE NOT negated GROUP BY ALL),
+good AS (
+  SELECT query_id, alt, paper_id, any_value(wanted) AS wanted FROM spot JOIN need USING (query_id, alt) GROUP BY query_id, alt, paper_id
+  HAVING count(DISTINCT phrase) FILTER (NOT negated) = any_value(wanted) AND count(*) FILTER (negated) = 0),
+run AS (
+  SELECT query_id, alt, paper_id, wanted, length, a, b, phrase, max(a) FILTER (phrase = 0) OVER w AS a0, max(a) FILTER (phrase = 1) OVER w AS a1, max_by(b, a) FILTER (phrase = 0) OVER w AS b0, max_by(b, a) FILTER (phrase = 1) OVER w AS b1,
+    max_by(weight, a) FILTER (phrase = 0) OVER w AS w0, max_by(weight, a) FILTER (phrase = 1) OVER w AS w1
+  FROM spot JOIN good USING (query_id, alt, paper_id) WHERE NOT negated
+  WINDOW w AS (PARTITION BY query_id, alt, paper_id ORDER BY a, b, phrase ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cover AS (
+  SELECT query_id, alt, paper_id, wanted, length, a, b, phrase, CASE WHEN wanted = 1 THEN a0 ELSE least(a0, a1) END AS first, CASE WHEN wanted = 1 THEN b0 ELSE greatest(b0, b1) END AS last, CASE WHEN wanted = 1 THEN w0 ELSE (w0 + w1) / 2 END AS weight
+  FROM run WHERE wanted = 1 OR (a0 IS NOT NULL AND a1 IS NOT NULL)),
+new AS (SELECT *, lag(first) OVER (PARTITION BY query_id, alt, paper_id ORDER BY a, b, phrase) AS before FROM cover),
+part_rank AS (
+  SELECT query_id, alt, paper_id, sum(CASE WHEN before IS NULL OR first > before THEN weight / (1 + CASE WHEN last - first >= wanted THEN last - first - (wanted - 1) ELSE 0 END) ELSE 0 END) / (1 + ln(greatest(any_value(length), 1)::DOUBLE)) AS r
+  FROM new GROUP BY query_id, alt, paper_id),
+ranked AS (SELECT query_id, paper_id, round(sum(r), 6) AS rank FROM part_rank GROUP BY query_id, paper_id)
+"""
+
+
+@query(_WORDS_SQL + "SELECT query_id, paper_id, rank FROM ranked")
+def keyword_matches(spark, d):
+    """All matches of the query set, ranked: phrases, negation and alternatives over stored position postings, words as they are."""
+    return keyword.match_queries(asked_words(spark, d), V.position_postings(spark, d, keyword.SIMPLE), keyword.SIMPLE)
+
+
+@query(
+    _WORDS_SQL
+    + "SELECT query_id, paper_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, published_at DESC, paper_id) AS krank FROM ranked JOIN papers USING (paper_id) QUALIFY krank <= 50"
+)
+def keyword_queries(spark, d):
+    """The best fifty of each query of the set."""
+    return longs(keyword.search_queries(asked_words(spark, d), V.position_postings(spark, d, keyword.SIMPLE), V.papers(spark, d), lexer=keyword.SIMPLE), "krank")
+
+
+@query()
+def keyword_queries_english(spark, d):
+    """The same set over stemmed postings."""
+    return longs(keyword.search_queries(asked_words(spark, d), V.position_postings(spark, d), V.papers(spark, d)), "krank")

@@ -48,6 +48,11 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return stored("exact-postings", table(spark, d, "documents"), lambda: keyword.write_order(keyword.exact_postings(papers(spark, d))))
 
 
+def position_postings(spark: SparkSession, d: str, lexer: str = keyword.ENGLISH) -> DataFrame:
+    """Postings with positions, stored."""
+    return stored(f"{lexer}-positions-{keyword.VERSION}", table(spark, d, "documents"), lambda: keyword.write_order(keyword.position_postings(papers(spark, d), lexer)))
+
+
 def index(spark: SparkSession, d: str) -> graphindex.GraphIndex:
     """The graph index of all passages with the attributes that searches filter by, stored."""
     rows = chunks(spark, d).join(papers(spark, d).select("paper_id", "categories", "published_at"), "paper_id", "left")

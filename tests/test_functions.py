@@ -200,7 +200,7 @@ def test_claim_source(spark):
     assert got.text == "Title: T\n\nAbstract:\nthe abstract\n\n\n## Intro\n\nfirst part\n\nsecond\n\n\nFigures:\n\nFigure 1: " + "c" * 240
 
 
-@pytest.mark.parametrize("word,want", [("caresses", "caress"), ("ponies", "poni"), ("hopping", "hop"), ("relational", "relat"), ("happy", "happi"), ("controlling", "control"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("generalizations", "gener"), ("probate", "probat"), ("sky", "sky"), ("adjustable", "adjust"), ("effective", "effect")])
+@pytest.mark.parametrize("word,want", [("caresses", "caress"), ("ponies", "poni"), ("hopping", "hop"), ("relational", "relat"), ("happy", "happi"), ("controlling", "control"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("generalizations", "general"), ("probate", "probat"), ("sky", "sky"), ("adjustable", "adjust"), ("effective", "effect")])
 def test_stemmer(word, want):
     assert stem.stem(word) == want
 

@@ -133,11 +133,10 @@ def test_web_search(spark):
     assert first.paper_id == 4
 
 
-def test_cover_density_prefers_near_terms():
-    near = {"a": [(1, 1.0)], "b": [(2, 1.0)]}
-    far = {"a": [(1, 1.0)], "b": [(30, 1.0)]}
-    q = [[(False, (("a", 0),)), (False, (("b", 0),))]]
-    assert keyword.cover_density(q, near, 40) > keyword.cover_density(q, far, 40) > 0
+def test_cover_density_prefers_near_terms(spark):
+    papers = spark.createDataFrame([(1, "", "alpha beta " + "gap " * 40, T0), (2, "", "alpha " + "gap " * 40 + "beta", T0)], "paper_id long, title string, abstract string, published_at timestamp")
+    near, far = sorted(keyword.web_search("alpha beta", keyword.postings(papers), papers).collect(), key=lambda r: r.paper_id)
+    assert near["rank"] > far["rank"] > 0
 
 
 # -- catalogue, cache, watches -----------------------------------------------------------------------
