@@ -15,8 +15,9 @@ sources follow each other are one maximal run, a row of `runs`.
 
 A round is one block exchange (see blocks.py): blocks send each distinct pair once, with its number and least place, so a
 line that a third of all documents hold costs one entry a block; buckets answer with the new rank, whether the run repeats,
-and where its least place is. A rank is its bucket in the high bits and an offset below, so no global sums are needed. Blocks
-without a shared rank take no part in later rounds.
+and where its least place is. Pairs are dealt by ranges of both ranks, cut where a sample of the blocks' pairs is dealt evenly: what
+follows a frequent line is parted among many buckets. A rank is its bucket in the high bits and an offset below, so no global sums are
+needed. Blocks without a shared rank take no part in later rounds.
 
 Defined cases: null and blank texts have no lines; rows that share an id share its line numbers, so the lesser number is the
 earlier; a null id comes after all others (a run's source is null there); equal places keep their lines; `apply` carries other
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ SCHEMA = f"doc_id long, n_lines long, n_removed long, n_chars_removed long, kept
 _PA_RUNS = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "stop", "source_id", "source_start")]))
 #: In the column bucket of a block's state: no rank is shared any more, or some are.
 _DONE, _SHARED = -1, -2
+#: Rows of a sample, and sampled pairs of all blocks together (four a block at least).
+_SAMPLE, SAMPLES = -3, 1 << 16
+#: What deals a round: a number of buckets for hashes, or the borders (first, second) between buckets of pairs.
+Edges = int | tuple[np.ndarray, np.ndarray]
 _NEWLINE = np.arange(256) == 0x0A
 _SHIFT = U(40)
 
@@ -104,13 +109,38 @@ def _groups(state: dict, first: np.ndarray, second: np.ndarray, at: np.ndarray):
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _bounds(keys: np.ndarray, step: int | None, buckets: int) -> np.ndarray:
+def _bounds(first: np.ndarray, second: np.ndarray, step: int | None, edges: Edges) -> np.ndarray:
+    """Borders of the buckets in sorted pairs. Single lines are dealt by their hash, pairs by ranges of both ranks: pairs that share a
+    frequent first line are parted too."""
     if step is None:
-        return B.bucket_bounds(keys, buckets)
-    return np.concatenate([np.searchsorted(keys, np.arange(buckets).astype(U) << _SHIFT), [len(keys)]])
-
-
-def _send(step: int | None, depths: tuple[int, ...], buckets: int):
+        return B.bucket_bounds(first, edges)
+    low, high = np.searchsorted(first, edges[0], "left"), np.searchsorted(first, edges[0], "right")
+    own = [a + int(np.searchsorted(second[a:b], s)) if b > a else a for a, b, s in zip(low.tolist(), high.tolist(), edges[1])]
+    return np.concatenate([[0], np.array(own, np.int64), [len(first)]])
+
+
+def _sampled(state: dict, step: int, depths: tuple[int, ...], size: int) -> bytes:
+    """Up to `size` of the distinct pairs that a block sends in a round: of pairs at even steps of the texts, those at even steps of
+    their own order."""
+    even = lambda n, k: np.unique(np.linspace(0, n - 1, min(n, k)).astype(np.int64)) if n else np.zeros(0, np.int64)
+    pairs = [np.stack([first, second])[:, even(len(first), 16 * size)] for _, first, second in _pairs(state, step, depths)]
+    own = np.unique(np.concatenate([*pairs, np.zeros((2, 0), U)], 1), axis=1)
+    return own[:, even(own.shape[1], size)].tobytes()
+
+
+def _edges(samples: list[bytes], buckets: int) -> Edges:
+    """Borders between the buckets that deal the sampled pairs evenly; a pair is in the bucket of its last border at or below it."""
+    pairs = np.concatenate([*(np.frombuffer(x, U).reshape(2, -1) for x in samples), np.zeros((2, 0), U)], 1)
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    if not pairs.shape[1]:
+        return np.zeros(0, U), np.zeros(0, U)
+    cuts = pairs[:, np.arange(1, buckets) * pairs.shape[1] // buckets]
+    new = np.ones(cuts.shape[1], bool)
+    new[1:] = (cuts[:, 1:] != cuts[:, :-1]).any(0)
+    return cuts[0][new], cuts[1][new]
+
+
+def _send(step: int | None, depths: tuple[int, ...], edges: Edges):
     def make(state: dict) -> list[tuple[int, bytes]]:
         out: dict[int, list] = {}
         for k, (at, first, second) in enumerate(_pairs(state, step, depths)):
@@ -119,7 +149,7 @@ def _send(step: int | None, depths: tuple[int, ...], buckets: int):
             count = np.diff(np.append(start, len(order)))
             keys = first[head]
             place = at[head]
-            bounds = _bounds(keys, step, buckets)
+            bounds = _bounds(keys, second[head], step, edges)
             for b in np.flatnonzero(np.diff(bounds)):
                 own = slice(bounds[b], bounds[b + 1])
                 p = place[own]
@@ -167,14 +197,15 @@ def _reduce(step: int | None, n_lists: int):
     return reduce
 
 
-def _update(step: int | None, depths: tuple[int, ...], buckets: int):
-    """The state after a round: ranks of the new depth, depths and sources of later copies, and only lines that repeat."""
+def _update(step: int | None, depths: tuple[int, ...], edges: Edges, coming: tuple[int, tuple[int, ...]], samples: int):
+    """The state after a round: ranks of the new depth, depths and sources of later copies, and only lines that repeat. Beside it a
+    sample of the pairs of the coming round."""
 
     def update(state: dict, replies: dict[int, bytes]) -> dict:
         opened = {b: pickle.loads(B.unsqueeze(x)) for b, x in replies.items()}
         for k, (depth, (at, first, second)) in enumerate(zip(depths, _pairs(state, step, depths))):
             order, start, group = _groups(state, first, second, at)
-            bounds = _bounds(first[order[start]], step, buckets)
+            bounds = _bounds(first[order[start]], second[order[start]], step, edges)
             rank, later = np.zeros(len(start), U), np.zeros(len(start), bool)
             doc, number = state["doc"][state["text"][at[order]]], state["number"][at[order]]
             source, source_start = doc[start], number[start]  # a block's least place of each run, or the bucket's if that is earlier
@@ -210,7 +241,10 @@ def _update(step: int | None, depths: tuple[int, ...], buckets: int):
         block, out = table.column("block")[0].as_py(), []
         for payload in states:
             state = update(pickle.loads(B.unsqueeze(payload)), replies)
-            out.append((block, _SHARED if (state[f"rank{depths[-1]}"] != 0).any() else _DONE, B.squeeze(pickle.dumps(state, 5))))
+            shared = (state[f"rank{depths[-1]}"] != 0).any()
+            out.append((block, _SHARED if shared else _DONE, B.squeeze(pickle.dumps(state, 5))))
+            if shared:
+                out.append((block, _SAMPLE, _sampled(state, *coming, samples)))
         return pa.Table.from_batches([B._rows(out)])
 
     return group
@@ -310,14 +344,17 @@ def suffix_ranks(blocks: DataFrame, sizes: B.Plan, min_words: int = MIN_WORDS) -
     """Per block its state after all rounds. rank1, rank2, rank4, ... of it hold each repeated line's rank at that depth (0: the run
     occurs once): sorted by rank the lines are the suffix array to that depth, and equal ranks are its LCP intervals."""
     lots = max(8, sizes.buckets // 4)
+    samples, edges = max(4, SAMPLES // sizes.buckets), lots
     state = cut(B.send(blocks, lambda payload: [(_SHARED, B.squeeze(pickle.dumps(_state(B.open_table(payload)), 5)))]))
     done = state.where(F.col("bucket") == _DONE)
-    for step, depths in rounds(min_words):
-        answers = B.answer(state.mapInArrow(_send(step, depths, lots), B.ROW), _reduce(step, len(depths)))
-        after = cut(state.unionByName(answers).groupBy("block").applyInArrow(_update(step, depths, lots), B.ROW))
+    for (step, depths), coming in pairwise(rounds(min_words)):
+        answers = B.answer(state.mapInArrow(_send(step, depths, edges), B.ROW), _reduce(step, len(depths)))
+        after = cut(state.unionByName(answers).groupBy("block").applyInArrow(_update(step, depths, edges, coming, samples), B.ROW))
         done, state = done.unionByName(after.where(F.col("bucket") == _DONE)), after.where(F.col("bucket") == _SHARED)
-        if state.isEmpty():
+        sampled = [bytes(r.payload) for r in after.where(F.col("bucket") == _SAMPLE).select("payload").collect()]  # some SAMPLES pairs
+        if not sampled:
             return done
+        edges = _edges(sampled, lots)
 
 
 def _run(docs: DataFrame, finish, schema, min_words: int, block_bytes: int | None) -> DataFrame:

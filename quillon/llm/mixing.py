@@ -2,12 +2,11 @@
 
 Built of DataFrame operations alone. Tokens are summed over cells of (source, language, topic); the cells' masses are
 raked in turn to the target marginals of each dimension, so each pass multiplies a category's cells by target over
-present mass. A cell's weight is its raked over its original mass, and its documents are kept with probability weight / largest
-weight: the largest sample whose expected token marginals are the raked ones. The draw is a hash of the document id.
-
-That rule, which the SQL fixes, lets the largest weight of any cell, however small, set the rate of all others. With `keep`, a share of
-all tokens, the probability is min(1, factor * weight) instead, the factor solved over the cells so that the expected tokens are that
-share; cells at 1 give less than their raked mass, and `marginals` reports what each category then lacks.
+present mass. A cell's weight is its raked over its original mass, and its documents are kept with probability min(1, factor * weight),
+the factor solved over the cells so that the expected tokens are the share `keep` of all tokens: a rare category cannot set the rate
+of the others. Cells at 1 give less than their raked mass, and `marginals` reports what each category then lacks. Without `keep` the
+probability is weight / largest weight: the largest sample whose expected token marginals are the raked ones, however small it is.
+The draw is a hash of the document id.
 
 A raking pass is a window over the cells, so the plan grows by one small exchange a pass, and the driver sees single totals
 only; cells are pre-aggregated, hence a source with a third of all rows is a few rows here. The cells are joined back by broadcast only
@@ -33,6 +32,8 @@ ADDED = (*(f"mix_{d}" for d in DIMENSIONS), "mix_tokens", "mix_weight", "mix_pro
 #: Target of a category: its share of tokens to this power, normalised (1 keeps the shares, 0 makes them equal).
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 PASSES = 8
+#: Share of all tokens that the query and the pipeline's stage keep.
+KEEP = 0.5
 BROADCAST_CELLS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 _DIGITS = 13  # hex digits of the draw: 52 bits, exact in a double
@@ -140,16 +141,17 @@ def mix(docs: DataFrame, topic_column: str | None = None, powers: dict[str, floa
     return out.withColumn("mix_kept", draw() < F.col("mix_prob"))
 
 
-def apply(docs: DataFrame) -> DataFrame:
-    """The rows that the draw keeps, all columns whatever their names are (see input_names), with mix_tokens, mix_weight and mix_prob."""
+def apply(docs: DataFrame, keep: float | None = KEEP) -> DataFrame:
+    """The rows that the draw keeps for a share of the tokens, all columns whatever their names are (see input_names), with mix_tokens, mix_weight and mix_prob."""
     inner, names = sealed(docs)
-    kept = mix(inner).where("mix_kept")
+    kept = mix(inner, keep=keep).where("mix_kept")
     out = kept.select(*inner.columns, "mix_tokens", F.round("mix_weight", 6), F.round("mix_prob", 6))
     return out.toDF(*input_names(names), "mix_tokens", "mix_weight", "mix_prob")
 
 
-def oracle(passes: int = PASSES, powers: dict[str, float] = POWERS) -> str:
-    """DuckDB SQL of the same mix over `documents`."""
+def oracle(passes: int = PASSES, powers: dict[str, float] = POWERS, keep: float = KEEP) -> str:
+    """DuckDB SQL of the same mix over `documents`: with the cells in falling order of weight, the first one that is not full once all
+    before it are tells the factor."""
     steps, last = [], "c0"
     for i in range(passes):
         for d in DIMENSIONS:
@@ -170,8 +172,13 @@ c3 AS (SELECT *, {shares} FROM c2),
 c4 AS (SELECT *, {norms} FROM c3),
 c0 AS (SELECT source, lang, topic, share, share AS mass, {targets} FROM c4),
 {", ".join(steps)},
-w AS (SELECT source, lang, topic, CASE WHEN share > 0 THEN mass / share ELSE 0.0 END AS weight FROM {last}),
-p AS (SELECT *, weight / (SELECT CASE WHEN max(weight) > 0 THEN max(weight) ELSE 1.0 END FROM w) AS prob FROM w)
+w AS (SELECT source, lang, topic, tokens, CASE WHEN share > 0 THEN mass / share ELSE 0.0 END AS weight FROM {last} JOIN c1 USING (source, lang, topic)),
+g AS (SELECT weight, sum(tokens) AS t FROM w WHERE weight > 0 GROUP BY weight),
+h AS (
+  SELECT weight, {keep} * (SELECT sum(tokens) FROM w) - coalesce(sum(t) OVER (ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open,
+    sum(t * weight) OVER (ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM g),
+f AS (SELECT coalesce(max_by(open / rest, weight) FILTER (open / rest * weight < 1), min_by(open / rest, weight), 0.0) AS factor FROM h),
+p AS (SELECT source, lang, topic, weight, least(1.0, weight * factor) AS prob FROM w, f)
 SELECT d.doc_id, d.source, d.lang, d.topic, d.n AS n_tokens, round(weight, 6) AS weight, round(prob, 6) AS prob,
   ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, {_DIGITS}))::BIGINT / {float(16**_DIGITS)!r} < prob AS kept
 FROM d JOIN p USING (source, lang, topic)

@@ -341,7 +341,12 @@ def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]
             places.append((k, tokens[first : last + 1]))
             windows.append([text[a:b] for a, b in places[-1][1]])
             at += 1
+    covered, of = bytearray(), -1  # characters of the present text that a span holds
     for (k, tokens), tags in zip(places, field.decode(windows)):
+        if k != of:  # the windows of a text follow each other
+            covered, of = bytearray(len(texts[k])), k
+            for _, a, b, _ in out[k]:
+                covered[a:b] = b"\1" * (b - a)
         i = 0
         while i < len(tags):
             if tags[i] and TAGS[tags[i]][0] == "B":
@@ -349,8 +354,9 @@ def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]
                 while j < len(tags) and tags[j] == tags[i] + 1:
                     j += 1
                 a, b = _trim(texts[k], tokens[i][0], tokens[j - 1][1])
-                if a < b and all(b <= s[1] or a >= s[2] for s in out[k]) and _formed(texts[k], TAGS[tags[i]][2:], a, b, tokens[i:j]):
+                if a < b and covered.find(1, a, b) < 0 and _formed(texts[k], TAGS[tags[i]][2:], a, b, tokens[i:j]):
                     out[k].append((TAGS[tags[i]][2:], a, b, False))
+                    covered[a:b] = b"\1" * (b - a)
                 i = j
             else:
                 i += 1

@@ -76,7 +76,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=mixing.KEEP)
     names = [F.col(f"mix_{d}").alias(d) for d in mixing.DIMENSIONS]
     return mixed.select("doc_id", *names, F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"), F.round("mix_prob", 6).alias("prob"), F.col("mix_kept").alias("kept"))
 

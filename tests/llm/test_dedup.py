@@ -305,3 +305,34 @@ def test_query_digest(spark, tmp_path, docs, rows):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     want = Counter({(d, n, gone, hashlib.sha256(t.encode()).hexdigest()): c for (d, n, gone, t), c in brute_substrings(rows).items()})
     assert by_row(op5_substring_dedup(spark, str(tmp_path)), "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_pairs_behind_a_frequent_line_are_dealt_to_all_buckets():
+    """One header line before many different repeated lines: no bucket gets over twice its share of the round after it."""
+    from quillon.llm import lines as L
+
+    docs = [[0, 1 + k % 4000] for k in range(8000)]
+    text = np.repeat(np.arange(len(docs)), 2)
+    rank = np.array([x for d in docs for x in d], np.uint64) + np.uint64(1)
+    state = {"rank1": rank, "hash": rank, "text": text, "number": np.tile([0, 1], len(docs)), "doc": np.arange(len(docs))}
+    buckets = 8
+    edges = L._edges([L._sampled(state, 1, (2,), 1024)], buckets)
+    [(at, first, second)] = L._pairs(state, 1, (2,))
+    order = np.lexsort((second, first))
+    pairs = np.unique(np.stack([first, second])[:, order], axis=1)
+    sizes = np.diff(L._bounds(pairs[0], pairs[1], 1, edges))
+    assert sizes.sum() == 4000 and len(sizes) == buckets and sizes.max() <= 2 * 4000 / buckets
+
+
+def test_edges_keep_the_order_of_pairs():
+    from quillon.llm import lines as L
+
+    r = np.random.default_rng(2)
+    pairs = r.integers(0, 6, (2, 500)).astype(np.uint64)
+    edges = L._edges([pairs.tobytes(), b""], 7)
+    own = np.unique(pairs, axis=1)
+    bounds = L._bounds(own[0], own[1], 1, edges)
+    assert (np.diff(bounds) >= 0).all() and bounds[0] == 0 and bounds[-1] == own.shape[1]
+    for (f, s), b in zip(zip(*edges), bounds[1:-1]):
+        assert all((a, c) < (f, s) for a, c in own[:, :b].T) and all((a, c) >= (f, s) for a, c in own[:, b:].T)
+    assert len(L._bounds(own[0], own[1], 1, L._edges([], 7))) == 2

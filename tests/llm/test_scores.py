@@ -316,3 +316,16 @@ def test_mix_of_many_cells_joins_without_broadcast(docs, monkeypatch):
 def test_mix_plan_has_no_python(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_one_odd_row_does_not_set_the_rate(spark):
+    """The registered share holds: one row of a source of its own changes the expected share of the tokens by under a point."""
+    from quillon.shared import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    odd = docs.unionByName(spark.createDataFrame([(10**6, "some words of nobody knows what source they come from, and no more than that", None, None, 76)], docs.schema))
+    share = lambda m: m.agg(F.sum(F.col("mix_tokens") * F.col("mix_prob")) / F.sum("mix_tokens")).first()[0]
+    kept = lambda m: m.agg(F.sum(F.when(F.col("mix_kept"), F.col("mix_tokens"))) / F.sum("mix_tokens")).first()[0]
+    plain, other = mixing.mix(docs, keep=mixing.KEEP), mixing.mix(odd, keep=mixing.KEEP)
+    assert math.isclose(share(plain), mixing.KEEP, rel_tol=1e-9) and math.isclose(share(other), mixing.KEEP, rel_tol=1e-9)
+    assert abs(kept(plain) - kept(other)) < 0.01

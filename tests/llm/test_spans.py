@@ -321,3 +321,29 @@ def test_query_digests(spark, tmp_path):
     for r in op10_secret_scan(spark, str(tmp_path)).collect():
         base = secrets_by_rule(texts[r.doc_id])
         assert r.base_sha256 == sha(base) and r.n_hex == sum(k == "hex" for k, *_ in base)
+
+
+def test_pii_takes_time_in_proportion_to_the_text():
+    """Twice the lines with a phone number and a spelled-out address take about twice the time."""
+    import time
+
+    line = "call +1 (826) 555-4081 or write to jane at acme dot com before friday, number 190-22-3333\n"
+
+    def seconds(n):
+        text = "".join(line.replace("4081", f"{k % 10000:04d}") for k in range(n))
+        began = time.process_time()
+        spans = pii.find([text], pii.default_field())[0]
+        return time.process_time() - began, len(spans)
+
+    seconds(100)
+    (one, a), (two, b) = seconds(4000), seconds(8000)
+    assert b == 2 * a and two < 2.6 * one
+
+
+def test_pii_added_spans_meet_no_other_span():
+    texts = [t or "" for t in TEXTS] + ["jane at acme dot com +1 (826) 555-4081 jane@acme.com 190-22-3333 " * 20]
+    for text, spans in zip(texts, pii.find(texts, pii.default_field())):
+        for kind, a, b, base in spans:
+            assert 0 <= a < b <= len(text)
+            if not base:
+                assert all(b <= c or a >= d for k, c, d, own in spans if (k, c, d) != (kind, a, b))
