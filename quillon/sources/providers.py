@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
 import pyarrow as pa
@@ -85,6 +85,44 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
     return rows.mapInArrow(task, T.StructType([*fields.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
+def embed_each(rows: DataFrame, embedder: Embedder, text: str = "text", key: str = "paper_id", attempts: str = "attempts") -> DataFrame:
+    """embed, with the failures as rows: (.., embedding, error, passing); passing says that another attempt may mend it.
+
+    Rows without attempts so far share calls: a passing failure is one of the whole call, any other is sought by asking for each text
+    alone. Rows with attempts are called paper by paper, so a text that never succeeds takes no other paper with it."""
+    from pyspark.sql import types as T
+
+    def asked(texts: list[str]) -> list[tuple]:
+        try:
+            return [(v, None, None) for v in ordered([{"index": i, "embedding": v} for i, v in enumerate(embedder(texts))], len(texts), embedder.dim)]
+        except Exception as error:  # noqa: BLE001 - the row is routed to the retry log or the dead letters
+            if len(texts) > 1 and not isinstance(error, Transient):
+                return [x for t in texts for x in asked([t])]
+            return [(None, f"{type(error).__name__}: {error}", isinstance(error, Transient))] * len(texts)
+
+    def calls(keys: list, before: list) -> Iterator[list[int]]:
+        shared = [i for i, n in enumerate(before) if not n]
+        yield from (shared[a : a + EMBED_BATCH] for a in range(0, len(shared), EMBED_BATCH))
+        alone: dict = {}
+        for i, n in enumerate(before):
+            if n:
+                alone.setdefault(keys[i], []).append(i)
+        for own in alone.values():
+            yield from (own[a : a + EMBED_BATCH] for a in range(0, len(own), EMBED_BATCH))
+
+    def task(batches):
+        for batch in batches:
+            texts, out = batch.column(text).to_pylist(), [(None, None, None)] * batch.num_rows
+            for own in calls(batch.column(key).to_pylist(), batch.column(attempts).to_pylist()):
+                for i, x in zip(own, asked([texts[i] or "" for i in own])):
+                    out[i] = x
+            made = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.list_(pa.float32()), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "embedding", "error", "passing"])
+
+    more = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType()), T.StructField("passing", T.BooleanType())]
+    return rows.mapInArrow(task, T.StructType([*rows.schema.fields, *more]))
+
+
 def summarize(papers: DataFrame, chunks: DataFrame, summarizer: Summarizer) -> DataFrame:
     """(paper_id, summary, error): of title, abstract and the first 6,000 characters of the introduction; a blank answer is an error."""
     intro = chunks.where(F.lower("section").contains("intro")).groupBy("paper_id").agg(F.min_by("text", "idx").alias("intro"))
