@@ -11,12 +11,12 @@ from pyspark.sql.types import ArrayType, StringType
 
 from quillon.functions import extract
 from quillon.functions.stem import lexemes
-from quillon.functions.text import NEW_ID, OLD_ID, QUOTED_TITLE, YEAR, author_norm
+from quillon.functions.text import PAPER_ID, QUOTED_TITLE, YEAR, author_norm
 
 #: SQL functions of built-in expressions: parameters and body.
 SQL_FUNCTIONS = {
     "norm_title": ("s STRING", "STRING", "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' '))"),
-    "parse_paper_id": ("s STRING", "STRING", rf"nullif(regexp_extract(trim(s), '({NEW_ID}|{OLD_ID})(?:v[0-9]+)?(?:\\.pdf)?/?$', 1), '')".replace(r"\.[0-9]", r"\\.[0-9]").replace(r"\-", r"\\-").replace(r"(?:\.[A-Z]", r"(?:\\.[A-Z]")),
+    "parse_paper_id": ("s STRING", "STRING", f"nullif(regexp_extract(trim(s), r'{PAPER_ID}', 1), '')"),
     "similar_weight": ("sim DOUBLE", "DOUBLE", "least(1.0D, greatest(0.1D, (sim - 0.6D) / 0.2D))"),
     "cosine_sim": (
         "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>",

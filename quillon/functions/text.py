@@ -42,10 +42,13 @@ def norm_title(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
+#: A paper id, alone or with a prefix or in a link, with version and suffix.
+PAPER_ID = rf"^(?:(?i:https?://)?(?i:(?:[a-z]+\.)?arxiv\.org)/(?:abs|pdf|html)/|(?i:arxiv:))?({NEW_ID}|{OLD_ID})(?:v[0-9]+)?(?:\.pdf)?/?$"
+
+
 def parse_paper_id(s: Column) -> Column:
     """The paper id in an id, a prefixed id or a link, without version or suffix; null if there is none."""
-    bare = F.regexp_extract(F.trim(s), rf"^(?:(?i:https?://)?(?i:(?:[a-z]+\.)?arxiv\.org)/(?:abs|pdf|html)/|(?i:arxiv:))?({NEW_ID}|{OLD_ID})(?:v[0-9]+)?(?:\.pdf)?/?$", 1)
-    return F.nullif(bare, F.lit(""))
+    return F.nullif(F.regexp_extract(F.trim(s), PAPER_ID, 1), F.lit(""))
 
 
 def split_version(s: Column) -> Column:

@@ -1,16 +1,19 @@
-"""The paged walk over a feed: a driver-side loop with a request budget, and a batch source of its pages."""
+"""The paged walk over a feed: a driver-side loop with a request budget, a batch source of its pages, and a stream of its papers."""
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quillon.operators.ratebudget import Limiter
 from quillon.sources.feeds import parse_atom
-from quillon.sources.providers import Transient, attempt
+from quillon.sources.lease import SharedLimiter
+from quillon.sources.providers import BACKOFF, Transient, attempt
 
 PAGE, MAX_PAGES, INTERVAL_S = 200, 10, 900
 #: (category, start, page size) to the page's XML; raises Transient where another try may help.
@@ -42,7 +45,7 @@ def walk(category: str, fetch: Fetch, seen: set[str], polled_at: str, limiter: L
     for n in range(max_pages):
         if limiter:
             limiter.wait()
-        xml, error, _ = attempt(lambda n=n: fetch(category, n * page, page), pause=pause)
+        xml, error, _ = attempt(lambda n=n: fetch(category, n * page, page), pause=pause or backoff)
         if error:
             state.error = error
             yield state, []
@@ -61,6 +64,11 @@ def walk(category: str, fetch: Fetch, seen: set[str], polled_at: str, limiter: L
             return
 
 
+def backoff(n: int) -> None:
+    """The pause behind the n-th failed try."""
+    time.sleep(BACKOFF[min(n, len(BACKOFF)) - 1])
+
+
 class _PagePartition(InputPartition):
     def __init__(self, category: str, start: int):
         self.category, self.start = category, start
@@ -103,14 +111,105 @@ class FeedReader(DataSourceReader):
     def read(self, partition):
         size = int(self.options.get("page_size", PAGE))
         for n in range(int(self.options.get("pages", MAX_PAGES))):
-            xml = self.fetch(partition.category, n * size)
+            xml = self.page(partition.category, n * size)
             if xml is None:
                 return
             yield partition.category, n * size, xml
 
+    def page(self, category: str, start: int) -> str | None:
+        """A page under the budget, busy answers tried again; an error ends the batch, which then runs again."""
+        limiter = self.limiter()
+        if limiter:
+            limiter.wait()
+        pauses = [float(x) for x in str(self.options.get("pauses", ",".join(map(str, BACKOFF)))).split(",")]
+        xml, error, tries = attempt(lambda: self.fetch(category, start), pause=lambda n: time.sleep(pauses[min(n, len(pauses)) - 1]))
+        if error:
+            raise RuntimeError(f"{category}, from {start}: {error} ({tries} tries)")
+        return xml
+
+    def limiter(self) -> SharedLimiter | None:
+        """The budget named by the options `budget` (a folder that all hosts mount) and `interval` (seconds)."""
+        if "budget" not in self.options:
+            return None
+        return SharedLimiter(self.options["budget"], float(self.options.get("interval", 3)))
+
+
+class _Span(InputPartition):
+    """A category's papers that were updated after `after`, up to `upto`."""
+
+    def __init__(self, category: str, after: str, upto: str):
+        self.category, self.after, self.upto = category, after, upto
+
+
+class FeedStreamReader(DataSourceStreamReader):
+    """The feed as a stream: a category's offset is the newest time of update that was seen on its first page, so a batch is the papers
+    between two times and can be read again. Every request waits for the budget. A batch's papers are the stream's before its end is
+    committed: a crash between repeats papers and loses none."""
+
+    def __init__(self, pages: FeedReader):
+        self.pages = pages
+        self.categories = [p.category for p in pages.partitions()]
+        self.seen = dict.fromkeys(self.categories, "")
+
+    def initialOffset(self) -> dict:
+        return {c: "" for c in self.categories}
+
+    def latestOffset(self) -> dict:
+        for c in self.categories:
+            xml = self.pages.page(c, 0)
+            if xml is not None:
+                self.seen[c] = max([self.seen[c], *(p["updated_at"] for p in parse_atom(xml, "")[1])])
+        return dict(self.seen)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        for c, upto in end.items():  # a restarted query begins from its checkpoint
+            self.seen[c] = max(self.seen.get(c, ""), upto)
+        return [_Span(c, start.get(c, ""), upto) for c, upto in end.items() if upto > start.get(c, "")]
+
+    def read(self, span: _Span):
+        """(category, key, value): newest first, page by page, as far as the time where the last batch began."""
+        size, most = int(self.pages.options.get("page_size", PAGE)), int(self.pages.options.get("pages", MAX_PAGES))
+        for n in range(most):
+            xml = self.pages.page(span.category, n * size)
+            if xml is None:
+                return
+            total, papers, _ = parse_atom(xml, span.upto)
+            for p in papers:
+                if span.after < p["updated_at"] <= span.upto:
+                    yield span.category, f"{p['arxiv_id']}v{p['version']}", json.dumps(p)
+            if not papers or min(p["updated_at"] for p in papers) <= span.after or (n + 1) * size >= total:
+                return
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        pass
+
+
+class FeedStream(FeedSource):
+    """spark.readStream.format("paperstream") with the options of paperfeed: (category, key, value json) of each paper version."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paperstream"
+
+    def schema(self) -> str:
+        return "category string, key string, value string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FeedStreamReader(FeedReader(dict(self.options)))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FeedSource)
+    spark.dataSource.register(FeedStream)
+
+
+def papers_stream(spark: SparkSession, folder: str, categories: list[str], **options) -> DataFrame:
+    """(category, key, value) of a feed's new paper versions, as a stream. options: page_size, pages, budget, interval, pauses."""
+    register(spark)
+    return spark.readStream.format("paperstream").option("folder", folder).option("categories", ",".join(categories)).options(**options).load()
 
 
 def pages(spark: SparkSession, folder: str, categories: list[str], n: int = MAX_PAGES, size: int = PAGE) -> DataFrame:
@@ -118,4 +217,4 @@ def pages(spark: SparkSession, folder: str, categories: list[str], n: int = MAX_
     return spark.read.format("paperfeed").option("folder", folder).option("categories", ",".join(categories)).option("pages", n).option("page_size", size).load()
 
 
-__all__ = ["FeedSource", "Transient", "Walk", "pages", "register", "walk"]
+__all__ = ["FeedSource", "FeedStream", "Transient", "Walk", "pages", "papers_stream", "register", "walk"]

@@ -147,7 +147,7 @@ class Transient(Exception):
 
 
 def attempt(call: Callable[[], object], tries: int = RETRIES, pause: Callable[[int], None] | None = None) -> tuple[object, str | None, int]:
-    """(value, error, attempts): transient failures are tried again, others are not."""
+    """(value, error, attempts): transient failures are tried again, others are not; pause(n) waits behind the n-th failure."""
     for n in range(1, tries + 1):
         try:
             return call(), None, n

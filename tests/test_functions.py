@@ -222,3 +222,21 @@ def test_registered_functions(spark):
     assert spark.sql("SELECT s.title FROM p, LATERAL extract_sections(html) s").count() == 2
     assert spark.sql("SELECT b.year FROM p, LATERAL parse_bibliography(html) b").count() == 2
     assert spark.sql("SELECT f.n FROM p, LATERAL parse_figures(html, 'https://h/') f").count() == 2
+
+
+def test_sql_names_mean_what_the_columns_mean(spark):
+    """Every SQL function of built-in expressions against its Column, on odd input."""
+    from quillon.functions import register, text
+    from quillon.operators.vectors import cosine
+
+    register.register(spark)
+    odd = ["see 2401.00007v2", "foo/2401.00007", " 2401.00007v2 ", "arXiv:2401.00007", "https://arxiv.org/pdf/2401.00007v3.pdf", "http://export.arxiv.org/abs/math.GT/0309136v1/", "hep-th/9901001", "x2401.00007", "2401.00007x", "", None, "A-B c!  É_1", "v2 GPT-4 a.B+c x1"]
+    rows = spark.createDataFrame([(s,) for s in odd], "s string")
+    for name, column in (("norm_title", text.norm_title), ("parse_paper_id", text.parse_paper_id), ("identifiers", text.identifiers)):
+        got = rows.select(F.expr(f"{name}(s)").alias("sql"), column(F.col("s")).alias("own")).collect()
+        assert all((sorted(r.sql) if isinstance(r.sql, list) else r.sql) == (sorted(r.own) if isinstance(r.own, list) else r.own) for r in got), name
+    sims = spark.createDataFrame([(x,) for x in (0.0, 0.5, 0.6, 0.61, 0.7, 0.8, 1.0, None)], "x double")
+    assert all(r.a == r.b for r in sims.select(F.expr("similar_weight(x)").alias("a"), text.similar_weight(F.col("x")).alias("b")).collect())
+    pairs = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([2.0, -1.0], [0.5, 0.25])], "a array<double>, b array<double>")
+    for r in pairs.select(F.expr("cosine_sim(a, b)").alias("a"), cosine(F.col("a"), F.col("b")).alias("b")).collect():
+        assert r.a is r.b is None or abs(r.a - r.b) < 1e-12
