@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable
 from itertools import chain
 
@@ -41,7 +42,7 @@ from quillon.llm.blocks import cut_blocks, release, squeeze, unsqueeze
 from quillon.llm.words import U, text_bytes
 from quillon.shared import cut
 
-END_ID, LIMIT = 0, 20
+END_ID, LIMIT = 0, 18
 #: Ids of a block (decoded side by side) and of a segment.
 BLOCK_IDS, SEGMENT_IDS = 256, 1 << 20
 BLOCK, PART_BYTES = 8 << 20, 64 << 20
@@ -58,11 +59,9 @@ _ODD_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 _LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _STOP[list(b".,;:!?")] = True
-_PRINTED = np.arange(256) > 0x20
-_PRINTED[0x7F] = False
 _ODD = np.isin(np.arange(256), _ODD_LEADS)
 #: Pieces whose ids a worker keeps (some 150 bytes each); all are dropped when there are more.
-KEPT_PIECES = 1 << 20
+KEPT_PIECES = 5 << 18
 
 
 def pieces(column) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -73,30 +72,36 @@ def pieces(column) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     total = len(data) - 8
     raw = data[:total]
     edges = offsets[:-1][np.diff(offsets) > 0]
-    plain = _PRINTED[raw]
-    odd = np.flatnonzero(_ODD[raw])
+    plain = (raw > 0x20) & (raw != 0x7F)
+    odd = np.flatnonzero((raw >= 0xC2) & _ODD[raw])
     for k in range(3):
         plain[odd[odd + k < total] + k] = False  # these characters, whole
     begins = np.zeros(total + 1, bool)
-    for sign, behind in ((0x20, False), (0x0A, True)):
+    begins[edges] = True
+    cuts = []
+    for sign in (0x20, 0x0A):
         at = np.flatnonzero(raw == sign)
         at = at[(at > 0) & (at < total - 1)]
-        at = at[plain[at - 1] & plain[at + 1]]
-        own = np.searchsorted(edges, at, "right")  # what stands in another text is no neighbour
-        at = at[(own == np.searchsorted(edges, at - 1, "right")) & (own == np.searchsorted(edges, at + 1, "right"))]
-        begins[at] = True
-        if behind:
-            begins[at + 1] = True
-    at = np.flatnonzero(_STOP[raw])
+        at = at[plain[at - 1] & plain[at + 1] & ~begins[at] & ~begins[at + 1]]  # what stands in another text is no neighbour
+        cuts += [at] if sign == 0x20 else [at, at + 1]
+    at = np.flatnonzero((raw >= 0x21) & (raw <= 0x3F) & _STOP[raw])
     at = at[at > 0]
     begins[at[_LETTER[raw[at - 1]]]] = True
-    begins[edges] = True
+    for at in cuts:
+        begins[at] = True
     start = np.flatnonzero(begins[:total])
     ends = pa.py_buffer(np.append(start, total).astype(np.int64))
     column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, ends, pa.py_buffer(data)]).dictionary_encode()
     return np.asarray(column.indices), column.dictionary, np.searchsorted(start, offsets)
 
 
+def _ranges(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[begin : begin + size] of each range, one after the other, and where each of them starts (and the last one ends)."""
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    return values[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)], ends
+
+
 class Encoder:
     """A tokenizer, and the ids of pieces that it was asked for: piece k has ids[start[k] : start[k + 1]]."""
 
@@ -109,10 +114,10 @@ class Encoder:
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids, self.start = np.zeros(1 << 16, np.uint32), [0]
+        self.ids, self.start = np.zeros(1 << 16, np.uint32), array("q", [0])
 
     def _ask(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # no offsets are asked for
         sizes = [len(x) for x in found]
         return np.fromiter(chain.from_iterable(found), np.uint32, sum(sizes)), sizes
 
@@ -138,11 +143,12 @@ class Encoder:
             self.ids[end : end + len(new)] = new
             self.number.update(zip(some, range(len(self.start) - 1, len(self.start) - 1 + len(some))))
             self.start.extend((end + np.cumsum(sizes)).tolist())
-        start = np.array(self.start, np.int64)
-        own = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))[which]
-        begin, size = start[own], start[own + 1] - start[own]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)], np.diff(ends[before])
+        start = np.array(self.start)
+        own = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        sizes = start[own + 1] - start[own]
+        store, offset = _ranges(self.ids, start[own], sizes)  # of this column's pieces alone: small enough to stay near
+        ids, ends = _ranges(store, offset[:-1][which], sizes[which])
+        return ids, np.diff(ends[before])
 
 
 _loaded: dict[str, Encoder] = {}
@@ -222,11 +228,11 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes: numbered upwards by length, then by place."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
-    codes, code, last = np.zeros(len(lengths), np.uint64), 0, 0
-    for k in order.tolist():
-        code <<= int(lengths[k]) - last
-        codes[k], last = code, int(lengths[k])
-        code += 1
+    own = lengths[order]
+    most = own[-1] if len(own) else 1
+    spans = np.left_shift(1, most - own)  # values of `most` bits that begin with each code
+    codes = np.zeros(len(lengths), np.uint64)
+    codes[order] = (np.cumsum(spans) - spans) >> (most - own)
     return codes
 
 
@@ -237,15 +243,16 @@ class Codebook:
         order = np.argsort(ids, kind="stable")
         self.ids, self.lengths = ids[order].astype(np.uint32), lengths[order].astype(np.int64)
         self.codes = canonical(self.lengths)
-        self.place = np.zeros(int(self.ids.max()) + 1, np.int32) if len(ids) and self.ids.max() < DENSE else None
-        if self.place is not None:
-            self.place[self.ids] = np.arange(len(ids))
+        self.packed = self.codes << U(8) | self.lengths.astype(U)
+        self.by_id = np.zeros(int(self.ids.max()) + 1, np.uint64) if len(ids) and self.ids.max() < DENSE else None
+        if self.by_id is not None:
+            self.by_id[self.ids] = self.packed
         self.bits = int(self.lengths.max()) if len(ids) else 1
 
     def encode(self, ids: np.ndarray, block_ids: int = BLOCK_IDS) -> tuple[np.ndarray, bytes]:
         """(bit offset of each block, bits with eight zero bytes behind)."""
-        at = np.searchsorted(self.ids, ids) if self.place is None else self.place[ids]
-        size, code = self.lengths[at], self.codes[at]
+        packed = self.packed[np.searchsorted(self.ids, ids)] if self.by_id is None else self.by_id[ids]
+        size, code = (packed & U(255)).astype(np.int64), packed >> U(8)
         ends = np.cumsum(size)
         begin = ends - size
         total = int(ends[-1]) if len(ids) else 0
@@ -259,28 +266,27 @@ class Codebook:
             out[word[over] + 1] += code[over] << (64 + room[over]).astype(U)
         return begin[::block_ids], out.astype(">u8").tobytes()[: -(-total // 8)] + b"\0" * 8
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each value of the next `bits` bits: the id and its length."""
+    def table(self) -> np.ndarray:
+        """For each value of the next `bits` bits: the id and, in the low byte, its length."""
         order = np.lexsort((self.ids, self.lengths))
-        spans = 1 << (self.bits - self.lengths[order])
-        ids, lengths = np.repeat(self.ids[order], spans), np.repeat(self.lengths[order].astype(np.uint8), spans)
-        free = (1 << self.bits) - len(ids)  # of a code of one symbol
-        return np.append(ids, np.zeros(free, np.uint32)), np.append(lengths, np.ones(free, np.uint8))
+        own = np.repeat(self.ids[order].astype(U) << U(8) | self.lengths[order].astype(U), 1 << (self.bits - self.lengths[order]))
+        return np.append(own, np.ones((1 << self.bits) - len(own), U))  # the rest of a code of one symbol
 
-    def decode(self, offsets: np.ndarray, bits: bytes, n: int, block_ids: int = BLOCK_IDS, table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    def decode(self, offsets: np.ndarray, bits: bytes, n: int, block_ids: int = BLOCK_IDS, table: np.ndarray | None = None) -> np.ndarray:
         """n ids: all blocks side by side, a look-up an id."""
-        ids, lengths = table or self.table()
+        table = self.table() if table is None else table
         raw = np.frombuffer(bits, np.uint8)
         eight = np.ndarray((max(len(raw) - 7, 0),), np.dtype(">u8"), raw, strides=(1,))
-        out = np.zeros((len(offsets), block_ids), np.uint32)
+        out = np.zeros((block_ids, len(offsets)), np.uint32)
         last = n - (len(offsets) - 1) * block_ids  # ids of the last block
         at = offsets.astype(np.int64).copy()
         for k in range(block_ids if len(offsets) > 1 else last):
             own = at if k < last else at[:-1]
             value = (eight[own >> 3].astype(np.uint64) << (own & 7).astype(U)) >> U(64 - self.bits)
-            out[: len(own), k] = ids[value]
-            own += lengths[value]
-        return out.ravel()[:n]
+            found = table[value]
+            out[k, : len(own)] = found >> U(8)
+            own += (found & U(255)).astype(np.int64)
+        return out.T.ravel()[:n]
 
 
 # -- files -----------------------------------------------------------------------------------------
@@ -292,7 +298,12 @@ def count_ids(segments: DataFrame) -> DataFrame:
     def task(batches):
         for batch in batches:
             for payload in batch.column("ids"):
-                ids, n = np.unique(np.frombuffer(unsqueeze(payload.as_py()), "<u4"), return_counts=True)
+                ids = np.frombuffer(unsqueeze(payload.as_py()), "<u4")
+                if len(ids) and ids.max() < DENSE:
+                    n = np.bincount(ids)
+                    ids, n = np.flatnonzero(n), n[n > 0]
+                else:
+                    ids, n = np.unique(ids, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n.astype(np.int64))], ["id", "n"])
 
     return segments.select("ids").mapInArrow(task, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -329,7 +340,6 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
                 columns += [pa.array([offsets.astype("<u8").tobytes()], pa.binary()), pa.array([bits], pa.binary())]
                 at += len(ids)
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CODED.split(", ")])
-                release()
 
     parts.mapInArrow(task, CODED).write.mode("overwrite").parquet(f"{folder}/segments")
 
@@ -347,7 +357,6 @@ def read_ids(spark: SparkSession, folder: str, make: Callable[[list, np.ndarray,
                 counts = np.array(counts.as_py(), np.int64)
                 ids = book.decode(np.frombuffer(offsets.as_py(), "<u8"), bits.as_py(), int(counts.sum()), block_ids, table)
                 yield make(docs.as_py(), counts, ids, start.as_py())
-                release()
 
     return spark.read.parquet(f"{folder}/segments").select("start", "doc_ids", "counts", "offsets", "bits").mapInArrow(task, schema)
 
