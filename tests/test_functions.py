@@ -131,7 +131,7 @@ def test_pdf_text(spark):
         "none": None,
     }
     table = spark.createDataFrame(list(texts.items()), "paper_id string, text string")
-    clean = {r.paper_id: r.c for r in table.select("paper_id", extract.clean_pdf_text(F.col("text")).alias("c")).collect()}
+    clean = {r.paper_id: r.c for r in extract.clean_pdf_texts(table).select("paper_id", F.col("clean").alias("c")).collect()}
     assert "example text" in clean["cut"] and "[1]" not in clean["cut"] and "References" not in clean["cut"] and clean["early"].startswith("References")
     got = {}
     for r in sorted(extract.extract_pdf_sections(table).collect()):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon import schema
 from quillon.operators import audit
+from quillon.operators.metrics import rate
 from quillon.sources import log
 from quillon.sources.providers import HashEmbedder
 from quillon.streaming import dedup, ingest
@@ -110,4 +111,9 @@ def test_metrics_of_streams(spark, tmp_path):
     spark.streams.removeListener(metrics)
     assert metrics.totals["papers", "rows"] == 2 and metrics.totals["papers", "versions"] == 3
     assert 'quillon_rows_total{name="papers"} 2' in metrics.text()
+    assert metrics.flush(spark, str(tmp_path / "samples")) >= 4 and metrics.flush(spark, str(tmp_path / "samples")) == 0
+    samples = spark.read.parquet(str(tmp_path / "samples"))
+    last = {(r.name, r.metric): r.value for r in samples.groupBy("name", "metric").agg(F.max("value").alias("value")).collect()}
+    assert last["papers", "rows"] == 2.0 and last["papers", "versions"] == 3.0
+    assert {r.metric for r in rate(samples, ["name", "metric"], ["name", "metric"], "1 day").collect() if r.name == "papers"} == {"rows", "versions"}
     assert observe.snapshot(a=spark.range(3), b=spark.range(2)).first().asDict() == {"a": 3, "b": 2}
