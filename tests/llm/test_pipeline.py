@@ -23,7 +23,7 @@ def plain(v):
 
 def compare(df, sql):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     columns = sorted(df.columns)
     relation = con.sql(sql)

@@ -70,7 +70,7 @@ def texts():
     for d in range(60):
         words = [w for w in base for _ in range(r.randrange(6))] + [changed(r.choice(base)) for _ in range(40)] + [changed(changed(base[0])) for _ in range(6)]
         rows.append((d, " ".join(w.upper() if r.random() < 0.2 else w for w in words) + ", I'm a_b9c short."))
-    rows += [(100, "aaaaaaa aaaaaaaa aaaaaaaaa " * 50), (101, "aaaaaaa"), (None, "aaaaaaab " * 40), (102, None), (103, ""), (104, "x" * 70_000 + " " + "x" * 70_000), (105, "Ünïcödé ÜNÏCÖDÉ ünïcödé")]
+    rows += [(100, "aaaaaaa aaaaaaaa aaaaaaaaa " * 50), (101, "aaaaaaa"), (None, "aaaaaaab " * 40), (102, None), (103, ""), (104, "x" * 70_000 + " " + "x" * 70_000), (105, "Ünïcödé ÜNÏCÖDÉ ünïcödé"), (106, "chainword " * 300 + "chainwort " * 20 + "chainwoxt chainwoxt")]
     return rows + [rows[0], rows[0], (-3, rows[1][1])]
 
 
