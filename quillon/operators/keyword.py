@@ -21,11 +21,14 @@ WEIGHTS = {"A": 1.0, "B": 0.4}
 TOKEN = r"[^a-z0-9]+"
 
 
+def exact_tokens() -> Column:
+    return F.array_remove(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), TOKEN), "")
+
+
 def exact_postings(papers: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(term, paper_id, tf, length): exact lower-case tokens of title and abstract, without stemming; of the terms of a table (term) alone if given."""
-    tokens = F.array_remove(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), TOKEN), "")
     # the length is made below the explode: above it, it would be made again for each token
-    rows = papers.select("paper_id", tokens.alias("tokens")).select("paper_id", F.size("tokens").cast("long").alias("length"), "tokens")
+    rows = papers.select("paper_id", exact_tokens().alias("tokens")).select("paper_id", F.size("tokens").cast("long").alias("length"), "tokens")
     # explode() would add a test for empty arrays that splits the text once more
     rows = rows.select("paper_id", "length", F.explode_outer("tokens").alias("term")).where("term is not null")
     if terms is not None:
@@ -36,13 +39,16 @@ def exact_postings(papers: DataFrame, terms: DataFrame | None = None) -> DataFra
 def exact_search(queries: DataFrame, postings: DataFrame | None, papers: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, paper_id, kscore, krank) of papers that hold every term of a query (query_id, text).
 
-    Without stored postings they are made of the queries' terms alone. Terms meet postings by broadcast where there are at most
-    BROADCAST_TERMS, else by a shuffled join."""
+    Without stored postings the papers are read once for the whole set (`scan`), and nothing but each task's best rows is shuffled. Stored
+    postings are for a few queries: each posting of an asked term is shuffled once for each query that asks it. Terms meet them by
+    broadcast where there are at most BROADCAST_TERMS, else by a shuffled join."""
     terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), TOKEN), lambda t: t != ""))).alias("term"))
+    if postings is None:
+        from quillon.operators import scan
+
+        return scan.exact(terms, papers, limit)
     terms = cut(terms.withColumn("needed", F.count("*").over(Window.partitionBy("query_id"))))
     small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
-    if postings is None:
-        postings = exact_postings(papers, small(terms.select("term").distinct()))
     hits = postings.join(small(terms), "term").groupBy("query_id", "paper_id").agg(F.count("*").alias("found"), F.first("needed").alias("needed"), F.round(F.sum("tf") / (1 + F.log(F.first("length").cast("double"))), 6).alias("kscore"))
     hits = hits.where("found = needed").join(papers.select("paper_id", "published_at"), "paper_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("kscore"), F.desc("published_at"), "paper_id")
@@ -60,13 +66,17 @@ VERSION = 1
 _STEMMED = "paper_id long, titled int, lexemes array<string>"
 
 
-def _lexemes(texts: DataFrame, lexer: str) -> DataFrame:
-    """(paper_id, titled, lexemes): the tokens of title and abstract in order (a stop word is null), the first `titled` of the title.
-    simple: ASCII letters and digits, lower-cased. english: letters and digits of any script, stemmed; each distinct word of a batch once."""
+def lexed(lexer: str) -> list[Column]:
+    """(titled, lexemes): the tokens of title and abstract in order, not yet stemmed, the first `titled` of the title.
+    simple: ASCII letters and digits, lower-cased. english: letters and digits of any script."""
     sign = TOKEN if lexer == SIMPLE else r"[^\p{L}\p{N}]+"
     tokens = lambda c: F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), sign), "")
-    rows = texts.select(F.col("paper_id").cast("long").alias("paper_id"), tokens("title").alias("t"), tokens("abstract").alias("a"))
-    rows = rows.select("paper_id", F.size("t").alias("titled"), F.concat("t", "a").alias("lexemes"))
+    return [F.size(tokens("title")).alias("titled"), F.concat(tokens("title"), tokens("abstract")).alias("lexemes")]
+
+
+def _lexemes(texts: DataFrame, lexer: str) -> DataFrame:
+    """(paper_id, titled, lexemes): a stop word is null, english words are stemmed, each distinct word of a batch once."""
+    rows = texts.select(F.col("paper_id").cast("long").alias("paper_id"), *lexed(lexer))
     if lexer == SIMPLE:
         return rows
 
@@ -204,7 +214,11 @@ def search_queries(queries: DataFrame, postings: DataFrame, papers: DataFrame, l
     return found.withColumn("krank", F.row_number().over(order)).where(F.col("krank") <= limit).select("query_id", "paper_id", "rank", "krank")
 
 
-def web_search(query: str, postings: DataFrame, papers: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """(paper_id, rank, krank) of one query: search_queries of a set of one."""
+def web_search(query: str, postings: DataFrame | None, papers: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """(paper_id, rank, krank) of one query: search_queries of a set of one, or without stored postings one reading of the papers."""
     one = papers.sparkSession.createDataFrame([(0, query)], "query_id long, text string")
+    if postings is None:
+        from quillon.operators import scan
+
+        return scan.search(one, papers, limit).drop("query_id")
     return search_queries(one, postings, papers, limit).drop("query_id")
