@@ -195,6 +195,12 @@ def dense_fallback(spark, d):
     return out.withColumn("score", F.round("score", 4))
 
 
+def _as_2401(rows):
+    """paper_id as an id of January 2024: five digits, and all digits of longer numbers, so each paper keeps an id of its own."""
+    digits = _text("paper_id")
+    return rows.withColumn("paper_id", F.concat(F.lit("2401."), F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits)))
+
+
 @query(
     """
 SELECT 'id' AS asked, paper_id, title FROM papers WHERE paper_id = 7
@@ -203,9 +209,8 @@ UNION ALL SELECT 'name', paper_id, title FROM papers WHERE paper_id IN (SELECT p
 )
 def routed_queries(spark, d):
     """An id in a link goes to its paper, a name to its author's papers, other texts to nothing."""
-    p = V.papers(spark, d).select((2401 * 100000 + F.col("paper_id")).alias("paper_id"), "title")
-    numbered = p.withColumn("paper_id", F.concat_ws(".", F.lit("2401"), F.lpad((F.col("paper_id") % 100000).cast(STRING), 5, "0")))
-    a = V.authors(spark, d).withColumn("name", F.concat(F.lit("By "), "name")).withColumn("paper_id", F.concat_ws(".", F.lit("2401"), F.lpad(_text("paper_id"), 5, "0")))
+    numbered = _as_2401(V.papers(spark, d).select("paper_id", "title"))
+    a = _as_2401(V.authors(spark, d).withColumn("name", F.concat(F.lit("By "), "name")))
     number = F.substring_index("paper_id", ".", -1).cast("long").alias("paper_id")
     one = search.route("https://arxiv.org/abs/2401.00007v2", numbered, a).select(F.lit("id").alias("asked"), number, "title")
     named = search.route("by CUSTOMER#000000005", numbered, a).select(F.lit("name").alias("asked"), number, "title")
