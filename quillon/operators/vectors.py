@@ -1,7 +1,8 @@
 """Vector operators: cosine scores, filtered top-N, batched nearest neighbours, and an optional inverted-file index.
 
-Scoring runs over Arrow batches in numpy: a batch's vectors are one matrix, multiplied with the query matrix, and only each query's
-best `n` of the batch leave the task. So the shuffle carries at most n rows a query and batch, however large the corpus is.
+Scoring runs over Arrow batches in numpy: `TILE` vectors are one matrix, multiplied with as many queries at a time, and only each query's
+best `n` of all batches leave the task. So the shuffle carries at most n rows a query and task, and a task holds one tile of
+scores and those n rows a query, however large the corpus and the query set are.
 Query sets are read to the driver in blocks of at most `QUERY_BLOCK` vectors and broadcast; a larger set takes more passes.
 """
 
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 4096
+from quillon.operators.best import Best
+
+QUERY_BLOCK, TILE = 4096, 1024
 DIGITS = 6  # scores are rounded before they are compared, so ties fall alike everywhere
 
 
@@ -51,7 +54,7 @@ def top_matches(queries: DataFrame, base: DataFrame, n: int, keys: Sequence[str]
     queries = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
-    schema = ", ".join(["query_id long", *[f"{k} long" for k in keys], "score double"])
+    schema = ", ".join(["query_id long", "score double", *[f"{k} long" for k in keys]])
     out = None
     for b in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -60,33 +63,34 @@ def top_matches(queries: DataFrame, base: DataFrame, n: int, keys: Sequence[str]
         matrix = _unit(np.array([r.vector for r in rows], np.float64)) if rows else np.zeros((0, 1))
         shared = base.sparkSession.sparkContext.broadcast((ids, matrix, probe(matrix) if probe else None))
 
-        def best(q, m, batch):
-            values = [np.asarray(batch.column(k)) for k in keys]
-            scores = np.round(_unit(_matrix(batch.column("embedding"))) @ m.T, DIGITS)
-            if not_self:
-                scores[values[keys.index(not_self)][:, None] == q] = -np.inf
-            order = np.lexsort((*[np.broadcast_to(v[:, None], scores.shape) for v in reversed(values)], -scores), axis=0)[:n]
-            rank, column = np.nonzero(np.isfinite(np.take_along_axis(scores, order, 0)))
-            row = order[rank, column]
-            return pa.RecordBatch.from_arrays([pa.array(q[column]), *[pa.array(v[row]) for v in values], pa.array(scores[row, column])], ["query_id", *keys, "score"])
-
         def task(batches, shared=shared):
             q, m, probed = shared.value
+            best = Best(len(q), n, len(keys))
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
-                if probed is None:
-                    yield best(q, m, batch)
-                    continue
-                cell = np.asarray(batch.column("cell"))
+                cell = np.asarray(batch.column("cell")) if probe else np.zeros(batch.num_rows, np.int32)
                 for c in np.unique(cell):  # a cell's rows meet the queries that read the cell
-                    if probed[:, c].any():
-                        yield best(q[probed[:, c]], m[probed[:, c]], batch.take(pa.array(np.flatnonzero(cell == c))))
+                    asked = np.flatnonzero(probed[:, c]) if probe else np.arange(len(q))
+                    rows = np.flatnonzero(cell == c)
+                    for at in range(0, len(rows) if len(asked) else 0, TILE):
+                        meet(best, q, m, asked, batch.take(pa.array(rows[at : at + TILE])))
+            yield from best.batches(q, ["query_id", "score", *keys])
+
+        def meet(best, q, m, asked, batch):
+            values = [np.asarray(batch.column(k)) for k in keys]
+            unit = _unit(_matrix(batch.column("embedding")))
+            for a in range(0, len(asked), TILE):
+                own = asked[a : a + TILE]
+                scores = np.round(m[own] @ unit.T, DIGITS)
+                if not_self:
+                    scores[q[own][:, None] == values[keys.index(not_self)]] = -np.inf
+                best.add_matrix(own, scores, *values)
 
         part = base.mapInArrow(task, schema)
         out = part if out is None else out.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys)
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).drop("rank")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("query_id", *keys, "score")
 
 
 def best_per_paper(matches: DataFrame) -> DataFrame:
