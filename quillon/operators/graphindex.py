@@ -31,6 +31,8 @@ from quillon.operators.vectors import DIGITS, QUERY_BLOCK
 from quillon.shared import cut
 
 LINKS, BEAM, SHARD_ROWS, ENTRIES = 16, 96, 20_000, 16
+#: Walks side by side, and nodes of a graph that are linked together.
+WALKS, LINKED = 512, 256
 #: Rows that a shard gives beyond the n asked for: walks score in single precision, results are ranked in double.
 SPARE = 8
 #: Shards with so many allowed nodes a place of the beam, or fewer, are scored directly.
@@ -49,8 +51,8 @@ def link(vectors: np.ndarray, m: int = LINKS, seed: int = 7) -> tuple[np.ndarray
     n = len(vectors)
     order = np.random.default_rng(seed).permutation(n)
     v, forward, near = vectors[order], np.full((n, m), -1, np.int64), np.zeros((n, m), np.float32)
-    for a in range(0, n, 1024):
-        b = min(n, a + 1024)
+    for a in range(0, n, LINKED):
+        b = min(n, a + LINKED)
         s = v[a:b] @ v[:b].T
         s[np.arange(b) >= np.arange(a, b)[:, None]] = -np.inf  # only earlier nodes
         k = min(m, b)
@@ -246,12 +248,15 @@ class GraphIndex:
                             continue
                         shard = Shard.open([batch.column(p)[k].as_py() for p in PARTS], size)
                         may = np.asarray(batch.column("allowed")[k].values)
-                        query, row = shard.search(vectors.astype(np.float32), n + SPARE, width, may)
                         held = batch.column("keys")[k].values
-                        values = [np.asarray(held.field(c))[row] for c in keys]
-                        score = np.round(np.einsum("rd,rd->r", unit(shard.raw.astype(np.float64))[shard.node[row]], vectors[query]), DIGITS)
-                        keep = values[keys.index(not_self)] != ids[query] if not_self else np.ones(len(row), bool)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[query][keep]), *[pa.array(v[keep]) for v in values], pa.array(score[keep])], ["query_id", *keys, "score"])
+                        unit_rows = unit(shard.raw.astype(np.float64))
+                        for a in range(0, len(ids), WALKS):  # memory is that of so many walks
+                            own = vectors[a : a + WALKS]
+                            query, row = shard.search(own.astype(np.float32), n + SPARE, width, may)
+                            values = [np.asarray(held.field(c))[row] for c in keys]
+                            score = np.round(np.einsum("rd,rd->r", unit_rows[shard.node[row]], own[query]), DIGITS)
+                            keep = values[keys.index(not_self)] != ids[a + query] if not_self else np.ones(len(row), bool)
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[a + query][keep]), *[pa.array(v[keep]) for v in values], pa.array(score[keep])], ["query_id", *keys, "score"])
 
             found = shards.mapInArrow(task, schema)
             return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).drop("place")
