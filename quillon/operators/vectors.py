@@ -69,9 +69,9 @@ def top_matches(queries: DataFrame, base: DataFrame, n: int, keys: Sequence[str]
             for batch in batches:
                 if not batch.num_rows or not len(q):
                     continue
-                cell = np.asarray(batch.column("cell")) if probe else np.zeros(batch.num_rows, np.int32)
+                cell = np.asarray(batch.column("cell")) if probed is not None else np.zeros(batch.num_rows, np.int32)
                 for c in np.unique(cell):  # a cell's rows meet the queries that read the cell
-                    asked = np.flatnonzero(probed[:, c]) if probe else np.arange(len(q))
+                    asked = np.flatnonzero(probed[:, c]) if probed is not None else np.arange(len(q))
                     rows = np.flatnonzero(cell == c)
                     for at in range(0, len(rows) if len(asked) else 0, TILE):
                         meet(best, q, m, asked, batch.take(pa.array(rows[at : at + TILE])))
