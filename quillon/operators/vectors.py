@@ -3,7 +3,8 @@
 Scoring runs over Arrow batches in numpy: `TILE` vectors are one matrix, multiplied with as many queries at a time, and only each query's
 best `n` of all batches leave the task. So the shuffle carries at most n rows a query and task, and a task holds one tile of
 scores and those n rows a query, however large the corpus and the query set are.
-Query sets are read to the driver in blocks of at most `QUERY_BLOCK` vectors and broadcast; a larger set takes more passes.
+Query sets are read to the driver in blocks of at most `QUERY_BLOCK` vectors and broadcast; a larger set takes more passes, over queries,
+vectors and matches that are each computed once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.operators.best import Best
+from quillon.shared import cut
 
 QUERY_BLOCK, TILE = 4096, 1024
 DIGITS = 6  # scores are rounded before they are compared, so ties fall alike everywhere
@@ -54,6 +56,8 @@ def top_matches(queries: DataFrame, base: DataFrame, n: int, keys: Sequence[str]
     queries = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
+    if blocks > 1:  # else each pass would compute both anew
+        queries, base = cut(queries), cut(base)
     schema = ", ".join(["query_id long", "score double", *[f"{k} long" for k in keys]])
     out = None
     for b in range(blocks):
@@ -90,7 +94,8 @@ def top_matches(queries: DataFrame, base: DataFrame, n: int, keys: Sequence[str]
         part = base.mapInArrow(task, schema)
         out = part if out is None else out.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys)
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("query_id", *keys, "score")
+    out = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("query_id", *keys, "score")
+    return cut(out) if blocks > 1 else out  # else each use of the matches would make all passes again
 
 
 def best_per_paper(matches: DataFrame) -> DataFrame:

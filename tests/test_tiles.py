@@ -31,6 +31,29 @@ def test_a_task_sends_its_best_rows_once(spark):
     assert metrics == [150]
 
 
+def test_more_passes_compute_queries_vectors_and_matches_once(spark, monkeypatch):
+    """With 8 passes the query set was computed 9 times, the vectors 8 times for each use of the matches."""
+    met = {name: spark.sparkContext.accumulator(0) for name in ("queries", "base")}
+
+    def counted(df, name):
+        def task(batches):
+            for batch in batches:
+                met[name].add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(task, df.schema)
+
+    r = np.random.default_rng(4)
+    vectors = [[float(x) for x in v] for v in np.round(r.normal(size=(300, 4)), 1)]
+    base = spark.createDataFrame([(k, 0, v) for k, v in enumerate(vectors)], "paper_id long, idx long, embedding array<float>")
+    queries = spark.createDataFrame([(k, v) for k, v in enumerate(vectors[:50])], "query_id long, vector array<float>")
+    want = sorted(map(tuple, V.top_matches(queries, base, 5).collect()))
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    found = V.top_matches(counted(queries, "queries"), counted(base, "base"), 5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, found.collect())) == want and len(want) == 250
+    assert met["queries"].value <= 100 and met["base"].value == 300
+
+
 def _rows_of(df, node):
     """Output rows of the nodes of that name in df's executed plan."""
     def walk(plan):
