@@ -1,9 +1,13 @@
 """Memory and shuffles of vector search that do not grow with the query set or the table, and ids beyond five digits."""
 
 import os
+import tracemalloc
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from quillon.operators import graphindex as G
 from quillon.operators import vectors as V
@@ -70,6 +74,58 @@ def _rows_of(df, node):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
+def _made(folder, n):
+    """n vectors, every third one repeated, in one file of one batch, a paper for each four of them, and the customers."""
+    os.makedirs(folder)
+    r = np.random.default_rng(8)
+    rows = np.repeat(r.normal(size=(-(-n // 3), 8)).astype(np.float32), 3, axis=0)[:n]
+    rows[1::3] = r.normal(size=rows[1::3].shape)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(rows)), "label": pa.array(np.zeros(n, np.int32))}), f"{folder}/embeddings.parquet")
+    ids = np.arange(n // 4)
+    texts = [f"paper {k} of many" for k in ids]
+    pq.write_table(pa.table({"doc_id": ids, "text": texts, "lang": ["en" if k % 3 else "fr" for k in ids], "source": ["web"] * len(ids), "n_chars": [len(x) for x in texts]}), f"{folder}/documents.parquet")
+    pq.write_table(pq.read_table(f"{DATA}/customer.parquet"), f"{folder}/customer.parquet")
+    return str(folder)
+
+
+def _plain(row):
+    return repr(tuple(round(v, 6) if isinstance(v, float) else v for v in row))
+
+
+@pytest.mark.parametrize("name", ["search_hits"])
+def test_a_task_of_the_searches_holds_one_tile_of_scores(spark, monkeypatch, tmp_path, name):
+    """With four times the vectors, and so four times the queries, a task's arrays grow no faster than they: when scores of a whole
+    batch were held for all queries, they grew 14 times. The rows are the SQL's over many tiles with equal scores."""
+    frame, peak = type(spark.range(1)), spark.sparkContext.accumulator(0)
+
+    def traced(self, task, schema, *more, plain=frame.mapInArrow):
+        def run(batches):
+            np.asarray(pa.array(np.zeros(1)))  # modules that a worker loads at first use are no arrays of the task
+            tracemalloc.start()
+            try:
+                yield from task(batches)
+                peak.add(tracemalloc.get_traced_memory()[1])
+            finally:
+                tracemalloc.stop()
+
+        return plain(self, run, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", traced)
+    peaks = []
+    small, large = _made(tmp_path / "small", 2000), _made(tmp_path / "large", 8000)
+    for d in (small, large):
+        peak.value = 0
+        found = catalogue.QUERIES[name](spark, d)
+        rows = [tuple(r) for r in found.collect()]
+        peaks.append(peak.value)
+    assert 0 < peaks[1] <= 4 * peaks[0], peaks
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "customer", "events"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA if t == 'events' else large}/{t}.parquet'")
+    want = duck.sql(f"SELECT {', '.join(found.columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
+    assert sorted(map(_plain, rows)) == sorted(map(_plain, want)) and len(want) >= 80
+
+
 def test_walks_go_in_groups(spark, monkeypatch):
     monkeypatch.setattr(G, "WALKS", 7)
     r = np.random.default_rng(6)
