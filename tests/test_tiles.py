@@ -92,7 +92,7 @@ def _plain(row):
     return repr(tuple(round(v, 6) if isinstance(v, float) else v for v in row))
 
 
-@pytest.mark.parametrize("name", ["search_hits", "dense_fallback"])
+@pytest.mark.parametrize("name", ["search_hits", "dense_fallback", "category_precision"])
 def test_a_task_of_the_searches_holds_one_tile_of_scores(spark, monkeypatch, tmp_path, name):
     """With four times the vectors, and so four times the queries, a task's arrays grow no faster than they: when scores of a whole
     batch were held for all queries, they grew 14 times. The rows are the SQL's over many tiles with equal scores."""
